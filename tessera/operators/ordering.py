@@ -23,7 +23,6 @@ from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,4 +125,4 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[C
     ).drop("__gidx", "__gstart")
 
 
-__all__ = ["global_index", "prefix_sums", "rank_within", "pd"]
+__all__ = ["global_index", "prefix_sums", "rank_within"]

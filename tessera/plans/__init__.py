@@ -3,6 +3,7 @@
 from tessera.plans import registry  # noqa: F401
 from tessera.plans import series  # noqa: F401
 from tessera.plans import profiling  # noqa: F401
+from tessera.plans import prep  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE
