@@ -5,6 +5,7 @@ from tessera.plans import series  # noqa: F401
 from tessera.plans import profiling  # noqa: F401
 from tessera.plans import prep  # noqa: F401
 from tessera.plans import evaluation  # noqa: F401
+from tessera.plans import textq  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE
