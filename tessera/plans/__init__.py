@@ -7,6 +7,7 @@ from tessera.plans import prep  # noqa: F401
 from tessera.plans import evaluation  # noqa: F401
 from tessera.plans import textq  # noqa: F401
 from tessera.plans import agentq  # noqa: F401
+from tessera.plans import arraysq  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE
