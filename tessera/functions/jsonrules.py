@@ -47,14 +47,21 @@ def _value_repr(v: Column, path: str, pytype: Column) -> Column:
             .otherwise(as_str))
 
 
-def validation_error(json_col: Column | str, schema: dict) -> Column:
-    """First validation error message of a JSON string column, NULL when valid."""
+def validation_error(json_col: Column | str, schema: dict, keys: Column | None = None) -> Column:
+    """First validation error message, NULL when valid.
+
+    ``json_col`` is a JSON string column, or an already parsed VARIANT column
+    together with ``keys`` (the payload's key list in payload order).
+    """
     if schema.get("type") != "object":
         return F.lit(None).cast("string")
     raw = F.col(json_col) if isinstance(json_col, str) else json_col
-    v = F.try_parse_json(raw)
+    if keys is None:
+        v = F.try_parse_json(raw)
+        keys = F.json_object_keys(raw)
+    else:
+        v = raw
     top_type = python_type_name(F.schema_of_variant(v))
-    keys = F.json_object_keys(raw)
     candidates = [F.struct(F.lit(0).alias("r"),
                            F.when(top_type != "dict", F.concat(F.lit("Expected object, got "), top_type))
                            .alias("msg"))]

@@ -50,18 +50,30 @@ def arith_expression(query: Column | str) -> Column:
 def arith_value(expr: Column | str) -> Column:
     """struct(value double, error string) of a + - * / chain with the usual precedence.
 
-    Numbers and binary operators are split with regexes; the chain is folded
-    left to right keeping (sum of finished terms, current term). Division by
-    zero and literals Python rejects give an error instead of a value.
+    Single-expression form for small inputs; tables use
+    ``operators.routing.with_arith_value``, which stages the same steps as
+    separate projections (higher-order functions share no sub-expressions,
+    so a one-expression fold would re-split the text several times).
     """
     e = F.regexp_replace(F.col(expr) if isinstance(expr, str) else expr, "\\s+", "")
+    parts = arith_parts(e)
+    return arith_result(parts["nums"], parts["ops"], parts["vals"], e)
+
+
+def arith_parts(e: Column) -> dict[str, Column]:
+    """Numbers (signed literals) and binary operators of a whitespace-free chain."""
     nums = F.split(e, _BINARY_OP)
-    ops = F.regexp_extract_all(e, F.lit(_BINARY_OP), 0)
-    vals = F.transform(nums, lambda s: s.try_cast("double"))
-    bad_literal = F.exists(nums, lambda s: s.rlike(_LEADING_ZERO))
-    unsafe = ~e.rlike(SAFE_EXPR_PATTERN) & (e != "")
-    steps = F.arrays_zip(ops.alias("op"), F.slice(vals, 2, F.size(vals)).alias("v"))
-    init = F.struct(F.lit(0.0).alias("acc"), F.element_at(vals, 1).alias("term"))
+    return {"nums": nums, "ops": F.regexp_extract_all(e, F.lit(_BINARY_OP), 0),
+            "vals": F.transform(nums, lambda s: s.try_cast("double"))}
+
+
+def arith_steps(ops: Column, vals: Column) -> Column:
+    return F.arrays_zip(ops.alias("op"), F.slice(vals, 2, F.size(vals)).alias("v"))
+
+
+def arith_fold(steps: Column, first: Column) -> Column:
+    """Left fold keeping (sum of finished terms, current term): * and / bind tighter."""
+    init = F.struct(F.lit(0.0).alias("acc"), first.alias("term"))
 
     def step(st, x):
         additive = (x["op"] == "+") | (x["op"] == "-")
@@ -72,13 +84,25 @@ def arith_value(expr: Column | str) -> Column:
         acc = F.when(additive, st["acc"] + st["term"]).otherwise(st["acc"])
         return F.struct(acc.alias("acc"), term.alias("term"))
 
-    folded = F.aggregate(steps, init, step)
-    value = folded["acc"] + folded["term"]
+    return F.aggregate(steps, init, step)
+
+
+def arith_error(e: Column, nums: Column, steps: Column, value: Column) -> Column:
+    """Why no value: unsafe characters, a literal Python rejects, division by zero."""
+    bad_literal = F.exists(nums, lambda s: s.rlike(_LEADING_ZERO))
+    unsafe = ~e.rlike(SAFE_EXPR_PATTERN) & (e != "")
     div_zero = F.exists(steps, lambda x: (x["op"] == "/") & (x["v"] == 0))
-    error = (F.when(unsafe, F.lit("Unsafe or invalid expression"))
-             .when(bad_literal, F.lit("leading zeros in decimal integer literals are not permitted"))
-             .when(div_zero, F.lit("division by zero"))
-             .when(value.isNull(), F.lit("invalid expression")))
+    return (F.when(unsafe, F.lit("Unsafe or invalid expression"))
+            .when(bad_literal, F.lit("leading zeros in decimal integer literals are not permitted"))
+            .when(div_zero, F.lit("division by zero"))
+            .when(value.isNull(), F.lit("invalid expression")))
+
+
+def arith_result(nums: Column, ops: Column, vals: Column, e: Column) -> Column:
+    steps = arith_steps(ops, vals)
+    folded = arith_fold(steps, F.element_at(vals, 1))
+    value = folded["acc"] + folded["term"]
+    error = arith_error(e, nums, steps, value)
     return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 

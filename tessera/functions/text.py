@@ -72,16 +72,36 @@ def words(col: Column | str) -> Column:
     return F.split(collapse_ws(col), " ")
 
 
+def chunk_count(words_col: Column | str, size: int = 110, overlap: int = 25) -> Column:
+    """1 + ceil(max(0, n - size) / step) chunks for an array of n words."""
+    step = max(1, size - overlap)
+    n = F.size(F.col(words_col) if isinstance(words_col, str) else words_col)
+    return F.greatest(F.lit(1), F.ceil((n - F.lit(size)) / F.lit(step)).cast("int") + 1)
+
+
+def chunks_of_words(words_col: str, size: int = 110, overlap: int = 25) -> Column:
+    """Overlapping word windows over an existing word-array COLUMN.
+
+    Takes a column name on purpose: higher-order functions do not share
+    sub-expressions, so the word array must already be materialised by a
+    projection below, or the whole text would be re-split once per chunk.
+    """
+    step = max(1, size - overlap)
+    w = F.col(words_col)
+    starts = F.sequence(F.lit(0), chunk_count(w, size, overlap) - 1)
+    return F.transform(starts, lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+
+
 def chunk_texts(col: Column | str, size: int = 110, overlap: int = 25) -> Column:
     """Overlapping word chunks: starts 0, step, 2*step, ... until a chunk reaches the end.
 
     Count = 1 + ceil(max(0, n - size) / step); step = max(1, size - overlap).
+    Convenience form for small inputs; tables use ``operators.text.chunks``,
+    which materialises the word array first.
     """
     step = max(1, size - overlap)
     w = words(col)
-    n = F.size(w)
-    m = F.greatest(F.lit(1), F.ceil((n - F.lit(size)) / F.lit(step)).cast("int") + 1)
-    starts = F.sequence(F.lit(0), m - 1)
+    starts = F.sequence(F.lit(0), chunk_count(w, size, overlap) - 1)
     return F.transform(starts, lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
 
 

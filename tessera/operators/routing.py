@@ -19,13 +19,32 @@ from tessera.functions import text as tx
 from tessera.functions.jsonrules import validation_error
 
 
+def with_arith_value(df: DataFrame, expr_col: str, out: str = "calc") -> DataFrame:
+    """Add ``out`` = struct(value, error) for the arithmetic chain in ``expr_col``.
+
+    Each intermediate is its own projected column (each referenced at least
+    twice, so the optimizer keeps it materialised): the text is split once
+    and the fold runs once per row.
+    """
+    cols = df.columns
+    a = df.withColumn("__e", F.regexp_replace(F.col(expr_col), "\\s+", ""))
+    parts = rt.arith_parts(F.col("__e"))
+    b = a.select(*cols, "__e", parts["nums"].alias("__nums"), parts["ops"].alias("__ops"))
+    c = b.withColumn("__vals", F.transform("__nums", lambda s: s.try_cast("double")))
+    d = c.withColumn("__steps", rt.arith_steps(F.col("__ops"), F.col("__vals")))
+    f = d.withColumn("__fold", rt.arith_fold(F.col("__steps"), F.element_at("__vals", 1)))
+    g = f.withColumn("__value", F.col("__fold.acc") + F.col("__fold.term"))
+    h = g.withColumn("__err", rt.arith_error(F.col("__e"), F.col("__nums"), F.col("__steps"), F.col("__value")))
+    return h.select(*cols, F.struct(F.when(F.col("__err").isNull(), F.col("__value")).alias("value"),
+                                    F.col("__err").alias("error")).alias(out))
+
+
 def route_and_answer(queries: DataFrame, key_cols: Sequence[str], query_col: str = "query") -> DataFrame:
     """Route each query, run its tool and finalise (status SUCCESS / FAILED)."""
     q = F.col(query_col)
-    r = rt.route(q)
-    expr = rt.arith_expression(q)
-    calc = rt.arith_value(expr)
-    routed = queries.select(*key_cols, query_col, r.alias("route"), expr.alias("expression"), calc.alias("calc"))
+    routed0 = queries.select(*key_cols, query_col, rt.route(q).alias("route"),
+                             rt.arith_expression(q).alias("expression"))
+    routed = with_arith_value(routed0, "expression", "calc")
     is_calc = F.col("route") == rt.ROUTE_CALCULATOR
     is_kw = F.col("route") == rt.ROUTE_KEYWORDS
     text = (F.when(is_kw, tx.keywords(q))
@@ -72,9 +91,13 @@ def trajectory(answered: DataFrame, key_cols: Sequence[str], query_col: str = "q
 def validate_payloads(df: DataFrame, key_cols: Sequence[str], json_col: str,
                       rule_sets: dict[str, dict]) -> DataFrame:
     """Every payload against every rule set in one scan: (*keys, rule_set, valid, error)."""
-    checks = F.array(*[F.struct(F.lit(name).alias("rule_set"), validation_error(json_col, schema).alias("error"))
+    # parse once per row; every rule set reads the parsed value and key list
+    parsed = df.select(*key_cols, F.try_parse_json(json_col).alias("__v"),
+                       F.json_object_keys(json_col).alias("__keys"))
+    checks = F.array(*[F.struct(F.lit(name).alias("rule_set"),
+                                validation_error(F.col("__v"), schema, F.col("__keys")).alias("error"))
                        for name, schema in rule_sets.items()])
-    return df.select(*key_cols, F.inline(checks)).withColumn("valid", F.col("error").isNull())
+    return parsed.select(*key_cols, F.inline(checks)).withColumn("valid", F.col("error").isNull())
 
 
 def attempt_summary(log: DataFrame, task_col: str, order_cols: Sequence[str], failed,

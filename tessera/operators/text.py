@@ -35,7 +35,11 @@ def assemble(df: DataFrame, doc_col: str, part_col: str, text_col: str = "text")
 def chunks(df: DataFrame, id_col: str, text_col: str = "text", size: int = 110,
            overlap: int = 25, preview: int = 90) -> DataFrame:
     """(id, chunk_id, chunk, n_words, n_chars, preview) -- overlapping word windows."""
-    exploded = df.select(id_col, F.posexplode(tx.chunk_texts(text_col, size, overlap)).alias("chunk_id", "chunk"))
+    # the word array is its own projected column (referenced twice, so it is
+    # not inlined back into the lambda): each text is split exactly once
+    words = df.select(id_col, tx.words(text_col).alias("__words"))
+    exploded = words.select(id_col, F.posexplode(tx.chunks_of_words("__words", size, overlap))
+                            .alias("chunk_id", "chunk"))
     return exploded.select(
         id_col, "chunk_id", "chunk",
         F.when(F.col("chunk") == "", F.lit(0)).otherwise(F.size(F.split("chunk", " "))).alias("n_words"),

@@ -92,8 +92,8 @@ FROM gq WHERE {_route('query')} = 'calculator'
 def arith_value(spark, sf_dir):
     q = generated_queries(Tables(spark, sf_dir)).where(rt.route("query") == rt.ROUTE_CALCULATOR)
     e = q.select(*KEYS, rt.arith_expression("query").alias("expression"))
-    v = rt.arith_value("expression")
-    return e.select(*KEYS, "expression", v["value"].alias("value"), v["error"].alias("error"))
+    v = ro.with_arith_value(e, "expression", "calc")
+    return v.select(*KEYS, "expression", F.col("calc.value").alias("value"), F.col("calc.error").alias("error"))
 
 
 _PYTYPE = """CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float'
