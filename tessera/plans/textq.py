@@ -242,3 +242,53 @@ def rag_prompts(spark, sf_dir):
     t = Tables(spark, sf_dir)
     ch, top = _ranked(t)
     return rv.prompts(rv.answers(top, ch, t.benchmark, "item_id", ["doc_id", "chunk_id"]), "item_id")
+
+
+# ---- next-word model and greedy generation -----------------------------------
+
+from tessera.operators import ngram as ng  # noqa: E402
+
+_NEXT_SQL = f"""
+el AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en'),
+lt AS (SELECT list_filter(string_split(regexp_replace(lower(line), '{KF}', ' ', 'g'), ' '), lambda t: t <> '') AS toks
+       FROM el),
+cr AS (SELECT n, array_to_string(toks[pos - n : pos - 1], ' ') AS context, toks[pos] AS next_word
+       FROM (SELECT toks, n, unnest(range(n + 1, len(toks) + 1)) AS pos FROM lt, range(1, 4) r(n) WHERE len(toks) > n)),
+cc AS (SELECT n, context, next_word, count(*) AS cnt FROM cr GROUP BY ALL),
+nb AS (SELECT CAST(n AS INTEGER) AS n, context, first(next_word ORDER BY cnt DESC, next_word) AS next_word,
+              max(cnt) AS n_next, CAST(sum(cnt) AS BIGINT) AS n_context FROM cc GROUP BY n, context)"""
+
+
+def _en_lines(t):
+    lines = te.text_lines(t.documents.where(F.col("lang") == "en"), ["doc_id"])
+    return lines.select(tx.keras_tokens("line").alias("toks"))
+
+
+@register("next_word", sql=f"WITH {_NEXT_SQL} SELECT * FROM nb")
+def next_word(spark, sf_dir):
+    return ng.next_word_table(_en_lines(Tables(spark, sf_dir)), "toks", 3)
+
+
+def _ctx_sql(k: int) -> str:
+    return (f"(SELECT next_word FROM nb WHERE n = {k} AND len(g.toks) >= {k} "
+            f"AND context = array_to_string(g.toks[-{k}:], ' '))")
+
+
+@register("generate_text", sql=f"""
+WITH RECURSIVE {_NEXT_SQL},
+sd AS (SELECT item_id,
+              list_filter(string_split(regexp_replace(lower(text), '{KF}', ' ', 'g'), ' '), lambda t: t <> '')[1:3] AS toks
+       FROM benchmark),
+g AS (SELECT item_id, 0 AS step, toks FROM sd
+      UNION ALL
+      SELECT item_id, step + 1, CASE WHEN w IS NULL THEN toks ELSE list_append(toks, w) END
+      FROM (SELECT item_id, step, toks, coalesce({_ctx_sql(3)}, {_ctx_sql(2)}, {_ctx_sql(1)}) AS w
+            FROM g WHERE step < 10))
+SELECT item_id, array_to_string(toks, ' ') AS generated FROM g WHERE step = 10
+""")
+def generate_text(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    model = ng.next_word_table(_en_lines(t), "toks", 3)
+    seeds = t.benchmark.select("item_id", F.slice(tx.keras_tokens("text"), 1, 3).alias("toks"))
+    out = ng.generate(seeds, "item_id", "toks", model, 10, 3)
+    return out.select("item_id", F.array_join("toks", " ").alias("generated"))
