@@ -9,6 +9,7 @@ from tessera.plans import textq  # noqa: F401
 from tessera.plans import agentq  # noqa: F401
 from tessera.plans import arraysq  # noqa: F401
 from tessera.plans import modelsq  # noqa: F401
+from tessera.plans import io  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE
