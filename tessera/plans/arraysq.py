@@ -185,3 +185,14 @@ def inertia(spark, sf_dir):
     d2 = F.aggregate(F.zip_with(ar.as_double("embedding"), F.col("centroid"), lambda a, b: (a - b) * (a - b)),
                      F.lit(0.0), lambda s, v: s + v)
     return joined.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(d2), 6).alias("inertia"))
+
+
+@register("argmax", sql="""
+SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax
+FROM embeddings
+""")
+def argmax(spark, sf_dir):
+    """Index of the largest score in each row (first one on ties)."""
+    emb = Tables(spark, sf_dir).embeddings
+    return emb.select("vec_id", "label",
+                      (F.array_position("embedding", F.array_max("embedding")) - 1).cast("int").alias("argmax"))

@@ -26,7 +26,7 @@ from tessera.plans.registry import register
 from tessera.session import cut_lineage, scratch_path
 from tessera.sources.tables import Tables
 
-TREES, ROUNDS, RESTARTS = 30, 30, 3
+TREES, ROUNDS, RESTARTS = 20, 20, 3
 CHURN_FEATURES = ["c_acctbal", "n_orders", "total_spent", "avg_price", "c_nationkey", "segment"]
 CLUSTER_FEATURES = ["c_acctbal", "n_orders", "total_spent", "avg_price"]
 
@@ -239,8 +239,8 @@ def vector_to_array_col(c: str):
     return vector_to_array(c)
 
 
-@register("pca_denoise")
-def pca_denoise(spark, sf_dir):
+def _denoised(spark, sf_dir):
+    """Test images (15 % exact split) with clean, noisy and PCA-denoised pixels."""
     from tessera.plans.arraysq import NOISE_SEED, _scaled
 
     t = Tables(spark, sf_dir)
@@ -254,7 +254,12 @@ def pca_denoise(spark, sf_dir):
     mean = [r["m"] for r in mean]
     comps = model.pc.toArray().T.tolist()  # k x d, bounded by the model size
     test = clean.where("split = 'val'").withColumn("noisy", ar.corrupt("scaled", "vec_id", 0.30, 0.15, NOISE_SEED))
-    recon = mo.pca_reconstruct(test, "noisy", mean, comps, "denoised")
+    return mo.pca_reconstruct(test, "noisy", mean, comps, "denoised")
+
+
+@register("pca_denoise")
+def pca_denoise(spark, sf_dir):
+    recon = _denoised(spark, sf_dir)
     return recon.select("vec_id", F.round(ar.psnr(ar.mse("scaled", "noisy")), 6).alias("psnr_noisy"),
                         F.round(ar.psnr(ar.mse("scaled", "denoised")), 6).alias("psnr_denoised"))
 
@@ -265,3 +270,12 @@ def psnr_eval(spark, sf_dir):
     return per.agg(F.count(F.lit(1)).alias("n_test"), F.round(F.avg("psnr_noisy"), 4).alias("mean_psnr_noisy"),
                    F.round(F.avg("psnr_denoised"), 4).alias("mean_psnr_denoised")).withColumn(
         "gain", F.round(F.col("mean_psnr_denoised") - F.col("mean_psnr_noisy"), 4))
+
+
+@register("denoise_examples")
+def denoise_examples(spark, sf_dir):
+    """Sample-grid data: the first 8 test images (by id) as clean / noisy / denoised 8x8 grids."""
+    first = _denoised(spark, sf_dir).orderBy("vec_id").limit(8)
+    return first.select("vec_id", ar.as_image("scaled", 8, 8).alias("clean"),
+                        ar.as_image("noisy", 8, 8).alias("noisy"),
+                        ar.as_image("denoised", 8, 8).alias("denoised"))

@@ -8,6 +8,7 @@ from tessera.functions import text as tx
 from tessera.operators import retrieval as rv
 from tessera.operators import text as te
 from tessera.plans.registry import register
+from tessera.session import cut_lineage
 from tessera.sources.tables import Tables
 
 WS = tx.PY_WHITESPACE_CLASS
@@ -166,7 +167,9 @@ top AS (SELECT * FROM rk WHERE rank <= 3)"""
 
 
 def _fit(t):
-    ch = _en_chunks(t)
+    # the chunk table feeds the document count, the postings and the answers:
+    # write it once (shared checkpoint folder) instead of re-chunking per branch
+    ch = cut_lineage(_en_chunks(t))
     idf, post = rv.tfidf_fit(ch, ["doc_id", "chunk_id"], "chunk")
     return ch, idf, post
 
