@@ -47,11 +47,22 @@ def _value_repr(v: Column, path: str, pytype: Column) -> Column:
             .otherwise(as_str))
 
 
-def validation_error(json_col: Column | str, schema: dict, keys: Column | None = None) -> Column:
+def json_path(name: str) -> str:
+    return "$." + name if name.isidentifier() else f"$['{name}']"
+
+
+def field_type(v: Column, name: str) -> Column:
+    return python_type_name(F.schema_of_variant(F.try_variant_get(v, json_path(name), "variant")))
+
+
+def validation_error(json_col: Column | str, schema: dict, keys: Column | None = None,
+                     top_type: Column | None = None, field_types: dict[str, Column] | None = None) -> Column:
     """First validation error message, NULL when valid.
 
     ``json_col`` is a JSON string column, or an already parsed VARIANT column
     together with ``keys`` (the payload's key list in payload order).
+    ``top_type`` / ``field_types`` may carry precomputed Python type names
+    (columns) so that many rule sets share one type probe per field.
     """
     if schema.get("type") != "object":
         return F.lit(None).cast("string")
@@ -61,7 +72,7 @@ def validation_error(json_col: Column | str, schema: dict, keys: Column | None =
         keys = F.json_object_keys(raw)
     else:
         v = raw
-    top_type = python_type_name(F.schema_of_variant(v))
+    top_type = top_type if top_type is not None else python_type_name(F.schema_of_variant(v))
     candidates = [F.struct(F.lit(0).alias("r"),
                            F.when(top_type != "dict", F.concat(F.lit("Expected object, got "), top_type))
                            .alias("msg"))]
@@ -73,10 +84,12 @@ def validation_error(json_col: Column | str, schema: dict, keys: Column | None =
     for name, spec in (schema.get("properties") or {}).items():
         if not spec:
             continue
-        path = "$." + name if name.isidentifier() else f"$['{name}']"
+        path = json_path(name)
         pos = F.coalesce(F.array_position(keys, F.lit(name)), F.lit(0)).cast("int")
         present = pos > 0
-        ptype = python_type_name(F.schema_of_variant(F.try_variant_get(v, path, "variant")))
+        ptype = (field_types or {}).get(name)
+        if ptype is None:
+            ptype = field_type(v, name)
         expected = spec.get("type")
         if expected in TYPE_MAP:
             ok = ptype.isin(*TYPE_MAP[expected])

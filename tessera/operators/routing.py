@@ -91,12 +91,21 @@ def trajectory(answered: DataFrame, key_cols: Sequence[str], query_col: str = "q
 def validate_payloads(df: DataFrame, key_cols: Sequence[str], json_col: str,
                       rule_sets: dict[str, dict]) -> DataFrame:
     """Every payload against every rule set in one scan: (*keys, rule_set, valid, error)."""
-    # parse once per row; every rule set reads the parsed value and key list
+    # parse once per row, probe each field's type once; every rule set reads these columns
+    from tessera.functions.jsonrules import field_type, python_type_name
+
+    fields = sorted({f for sch in rule_sets.values() for f in (sch.get("properties") or {})})
     parsed = df.select(*key_cols, F.try_parse_json(json_col).alias("__v"),
                        F.json_object_keys(json_col).alias("__keys"))
+    typed = parsed.select(*key_cols, "__v", "__keys",
+                          python_type_name(F.schema_of_variant("__v")).alias("__top"),
+                          *[field_type(F.col("__v"), f).alias(f"__t{i}") for i, f in enumerate(fields)])
+    ftypes = {f: F.col(f"__t{i}") for i, f in enumerate(fields)}
     checks = F.array(*[F.struct(F.lit(name).alias("rule_set"),
-                                validation_error(F.col("__v"), schema, F.col("__keys")).alias("error"))
+                                validation_error(F.col("__v"), schema, F.col("__keys"), F.col("__top"),
+                                                 ftypes).alias("error"))
                        for name, schema in rule_sets.items()])
+    parsed = typed
     return parsed.select(*key_cols, F.inline(checks)).withColumn("valid", F.col("error").isNull())
 
 
