@@ -279,3 +279,19 @@ def denoise_examples(spark, sf_dir):
     return first.select("vec_id", ar.as_image("scaled", 8, 8).alias("clean"),
                         ar.as_image("noisy", 8, 8).alias("noisy"),
                         ar.as_image("denoised", 8, 8).alias("denoised"))
+
+
+@register("silhouette")
+def silhouette(spark, sf_dir):
+    """Silhouette of the given embedding labels as clusters (squared Euclidean, MLlib).
+
+    The evaluator works from per-cluster sums (no pairwise distances), so it
+    scales with the data; sklearn's Euclidean silhouette needs all pairs.
+    """
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    emb = Tables(spark, sf_dir).embeddings.select(
+        array_to_vector(ar.as_double("embedding")).alias("features"), F.col("label").cast("double").alias("prediction"))
+    k = emb.select("prediction").distinct().count()
+    score = ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(emb)
+    return spark.createDataFrame([(int(k), float(score))], "n_clusters int, silhouette double")
