@@ -295,3 +295,51 @@ def silhouette(spark, sf_dir):
     k = emb.select("prediction").distinct().count()
     score = ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(emb)
     return spark.createDataFrame([(int(k), float(score))], "n_clusters int, silhouette double")
+
+
+# ---- density clustering on two standardized customer features -------------------
+
+from tessera.operators import density as dn  # noqa: E402
+
+DB_EPS, DB_MIN = 1.2, 10
+
+
+def _density_points(spark, sf_dir):
+    cust = customer_table(Tables(spark, sf_dir))
+    moments = fe.fit_standard_scaler(cust, ["c_acctbal", "total_spent"])
+    return fe.apply_standard_scaler(cust, moments, "_z").select("c_custkey", "c_acctbal_z", "total_spent_z")
+
+
+def _dbscan(spark, sf_dir):
+    key = ("dbscan", sf_dir, spark.sparkContext.applicationId)
+    if key not in _memo:
+        _memo[key] = cut_lineage(dn.dbscan(_density_points(spark, sf_dir), "c_custkey", "c_acctbal_z",
+                                           "total_spent_z", DB_EPS, DB_MIN))
+    return _memo[key]
+
+
+@register("dbscan")
+def dbscan(spark, sf_dir):
+    return _dbscan(spark, sf_dir)
+
+
+@register("dbscan_core", sql=f"""
+WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total_spent FROM orders GROUP BY o_custkey),
+c AS (SELECT c_custkey, c_acctbal, coalesce(total_spent, 0.0) AS total_spent
+      FROM customer LEFT JOIN spent ON c_custkey = o_custkey),
+z AS (SELECT c_custkey, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS x,
+             (total_spent - avg(total_spent) OVER ()) / stddev_pop(total_spent) OVER () AS y FROM c),
+n AS (SELECT a.c_custkey, count(*) AS n_neighbors FROM z a JOIN z b
+      ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {DB_EPS * DB_EPS} GROUP BY a.c_custkey)
+SELECT c_custkey, n_neighbors >= {DB_MIN} AS is_core, n_neighbors FROM n
+""")
+def dbscan_core(spark, sf_dir):
+    return _dbscan(spark, sf_dir).select("c_custkey", "is_core", "n_neighbors")
+
+
+@register("dbscan_summary")
+def dbscan_summary(spark, sf_dir):
+    d = _dbscan(spark, sf_dir)
+    return d.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"),
+                 F.count_if(F.col("cluster") == -1).alias("n_noise"),
+                 F.count_if("is_core").alias("n_core"), F.count(F.lit(1)).alias("n_points"))
