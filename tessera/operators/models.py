@@ -1,8 +1,8 @@
 """Supervised models, clustering and projections on MLlib.
 
-Training frames are assembled once and checkpointed into the shared folder
-(iterative learners rescan their input many times; the checkpoint cuts the
-lineage so a lost executor recomputes from the checkpoint, not the scans).
+Callers assemble training frames once and checkpoint them into the shared
+folder (iterative learners rescan their input many times; the checkpoint
+cuts the lineage so a lost executor recomputes from it, not from the scans).
 Evaluation reuses the exact aggregates of ``operators.metrics``.
 """
 
@@ -11,20 +11,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics as me
-from tessera.session import cut_lineage
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -160,5 +159,5 @@ def save_and_reload(model: PipelineModel, path: str) -> PipelineModel:
 __all__ = [
     "assemble", "regressors", "regression_compare", "classifiers", "classification_scores",
     "feature_importance", "comparison_table", "grid_search", "mlp", "kmeans_sweep", "standardize",
-    "pca_fit", "pca_reconstruct", "save_and_reload", "Pipeline", "array_to_vector", "cut_lineage",
+    "pca_fit", "pca_reconstruct", "save_and_reload",
 ]

@@ -11,7 +11,7 @@ import datetime as dt
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,15 +230,10 @@ def kmeans_assign(spark, sf_dir):
 def pca_2d(spark, sf_dir):
     data = _scaled_customers(spark, sf_dir)
     model = mo.pca_fit(data, 2)
-    out = model.transform(data).select("c_custkey", vector_to_array_col("pca").alias("pc"))
+    out = model.transform(data).select("c_custkey", vector_to_array("pca").alias("pc"))
     return out.select("c_custkey", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
 
 
-def vector_to_array_col(c: str):
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(c)
-
-
 def _denoised(spark, sf_dir):
     """Test images (15 % exact split) with clean, noisy and PCA-denoised pixels."""
     from tessera.plans.arraysq import NOISE_SEED, _scaled
@@ -248,7 +243,7 @@ def _denoised(spark, sf_dir):
     train = cut_lineage(clean.where("split = 'train'").select("vec_id", array_to_vector("scaled").alias("features")))
     d = len(clean.select("scaled").first()[0])
     model = mo.pca_fit(train, 16)
-    mean = train.select(vector_to_array_col("features").alias("a")).select(
+    mean = train.select(vector_to_array("features").alias("a")).select(
         F.inline(F.arrays_zip(F.sequence(F.lit(0), F.lit(d - 1)).alias("i"), F.col("a").alias("x")))) \
         .groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
     mean = [r["m"] for r in mean]
