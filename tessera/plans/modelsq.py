@@ -41,7 +41,7 @@ def customer_table(t) -> DataFrame:
         F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("total_spent"),
         F.avg("o_totalprice").alias("avg_price"), F.max("o_orderdate").alias("last_order"))
     c = fe.label_encode(t.customer, "c_mktsegment", "segment").join(per, "c_custkey", "left")
-    churned = F.when(F.col("last_order").isNull() | (F.col("last_order") < F.lit(cutoff).cast("timestamp_ntz")), 1).otherwise(0)
+    churned = F.when(F.col("last_order").isNull() | (F.col("last_order") < F.lit(str(cutoff)).cast("timestamp_ntz")), 1).otherwise(0)
     return c.select(
         "c_custkey", "c_acctbal", "c_nationkey", F.coalesce("segment", F.lit(-1)).alias("segment"),
         F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("total_spent", F.lit(0.0)).alias("total_spent"),

@@ -219,7 +219,8 @@ def _ranked(t):
     return ch, rv.top_k(scores, ["item_id"], ["doc_id", "chunk_id"], 3)
 
 
-@register("retrieve_topk", sql=f"WITH {_TFIDF_SQL} SELECT item_id, rank, doc_id, chunk_id, score FROM top")
+@register("retrieve_topk", sql=f"""
+WITH {_TFIDF_SQL} SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_id, score FROM top""")
 def retrieve_topk(spark, sf_dir):
     _, top = _ranked(Tables(spark, sf_dir))
     return top.select("item_id", "rank", "doc_id", "chunk_id", "score")
