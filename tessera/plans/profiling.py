@@ -210,3 +210,21 @@ _CORR_SQL = "\nUNION ALL\n".join(
 @register("corr_matrix", sql=_CORR_SQL)
 def corr_matrix(spark, sf_dir):
     return cd.corr_matrix(Tables(spark, sf_dir).lineitem, LINEITEM_NUMERIC)
+
+
+_NUMERIC_LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINEITEM_NUMERIC]
+_CORR_NUM_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
+    + ("1.0::DOUBLE AS corr" if a == b else f"round(corr({a}::DOUBLE, {b}::DOUBLE), 6) AS corr FROM lineitem")
+    for a in _NUMERIC_LI for b in _NUMERIC_LI
+)
+
+
+@register("corr_numeric", sql=_CORR_NUM_SQL)
+def corr_numeric(spark, sf_dir):
+    """Correlation over every numeric column, computed only when there are at least four."""
+    li = Tables(spark, sf_dir).lineitem
+    cols = pf.numeric_columns(li)
+    if len(cols) < 4:
+        return spark.createDataFrame([], "col_a string, col_b string, corr double")
+    return cd.corr_matrix(li, cols)
