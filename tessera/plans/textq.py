@@ -213,10 +213,15 @@ def index_stats(spark, sf_dir):
 
 
 def _ranked(t):
-    ch, idf, post = _fit(t)
-    q = rv.tfidf_transform(t.benchmark, idf, ["item_id"], "text")
-    scores = rv.sparse_scores(q, post, ["item_id"], ["doc_id", "chunk_id"])
-    return ch, rv.top_k(scores, ["item_id"], ["doc_id", "chunk_id"], 3)
+    """Top-3 chunks per benchmark question, computed once per session (answers,
+    prompts and the ranking query all read the same retrieval)."""
+    key = ("ranked", t.sf_dir, t.spark.sparkContext.applicationId)
+    if key not in _INDEX:
+        ch, idf, post = _fit(t)
+        q = rv.tfidf_transform(t.benchmark, idf, ["item_id"], "text")
+        scores = rv.sparse_scores(q, post, ["item_id"], ["doc_id", "chunk_id"])
+        _INDEX[key] = (ch, cut_lineage(rv.top_k(scores, ["item_id"], ["doc_id", "chunk_id"], 3)))
+    return _INDEX[key]
 
 
 @register("retrieve_topk", sql=f"""
