@@ -162,17 +162,27 @@ def pair_bins(df: DataFrame, cols: Sequence[str], hue: str, bins: int = 10) -> D
     )
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """Pairwise Pearson correlation of ``cols`` in ONE aggregate, as long rows."""
+def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, pairs_per_pass: int = 15) -> DataFrame:
+    """Pairwise Pearson correlation of ``cols`` as long rows (diagonal = 1).
+
+    Each correlation keeps six buffer fields; beyond ~16 pairs one aggregate
+    exceeds whole-stage codegen's field limit and runs interpreted, so the
+    pairs are computed ``pairs_per_pass`` at a time (one scan per pass).
+    """
+    from functools import reduce
+
     pairs = list(combinations(range(len(cols)), 2))
-    one = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"r{i}_{j}")
-                   for i, j in pairs])
-    rows = []
-    for i, a in enumerate(cols):
-        for j, c in enumerate(cols):
-            if i == j:
-                val = F.lit(1.0)
-            else:
-                val = F.round(F.col(f"r{min(i, j)}_{max(i, j)}"), digits)
-            rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(c).alias("col_b"), val.alias("corr")))
-    return one.select(F.inline(F.array(*rows)))
+    parts = []
+    for start in range(0, len(pairs), pairs_per_pass):
+        chunk = pairs[start:start + pairs_per_pass]
+        one = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"r{i}_{j}")
+                       for i, j in chunk])
+        rows = []
+        for i, j in chunk:
+            val = F.round(F.col(f"r{i}_{j}"), digits)
+            rows.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), val.alias("corr")))
+            rows.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), val.alias("corr")))
+        parts.append(one.select(F.inline(F.array(*rows))))
+    spark = df.sparkSession
+    diag = spark.createDataFrame([(c, c, 1.0) for c in cols], "col_a string, col_b string, corr double")
+    return reduce(DataFrame.unionByName, parts, diag)
