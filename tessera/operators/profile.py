@@ -44,7 +44,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int | Non
 
     Exact quantiles keep a value->count map per group, so their memory grows
     with the number of DISTINCT values; pass ``approx_accuracy`` to switch to
-    ``percentile_approx`` for continuous columns at very large scale.
+    ``percentile_approx``, or use ``exact_quantiles_by_sort`` (range sort +
+    global ranks) for an exact answer on a very high-cardinality column.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
@@ -149,3 +150,27 @@ def safe_ratio(num: Column | str, den: Column | str, scale: float = 1.0,
     if digits is not None:
         v = F.bround(v, digits) if half_even else F.round(v, digits)
     return v
+
+
+def exact_quantiles_by_sort(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> dict[float, float | None]:
+    """Exact linear-interpolation quantiles without a per-group value map.
+
+    ``percentile`` merges value->count maps in one task, which grows with the
+    number of distinct values. Here the column is range-sorted, ranked with
+    ``ordering.global_index`` and only the (at most 2 per quantile) rows at
+    ranks floor/ceil(p * (n - 1)) are read back -- a bounded result.
+    """
+    from tessera.operators.ordering import global_index
+
+    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    n = vals.count()
+    if n == 0:
+        return {p: None for p in probs}
+    want = {}
+    for p in probs:
+        pos = p * (n - 1)
+        want[p] = (pos, int(pos // 1), int(-(-pos // 1)))
+    ranks = sorted({r for _, lo, hi in want.values() for r in (lo, hi)})
+    idx = global_index(vals, ["v"], "i")
+    got = {r["i"]: r["v"] for r in idx.where(F.col("i").isin(ranks)).collect()}
+    return {p: got[lo] + (pos - lo) * (got[hi] - got[lo]) for p, (pos, lo, hi) in want.items()}

@@ -50,3 +50,15 @@ def test_hot_key_results_stay_exact(spark):
     split = sp.stratified_split(df.withColumn("hot", (F.col("key") == "hot").cast("int")), "hot", "id", 0.8)
     sizes = {(r["hot"], r["split"]): r["count"] for r in split.groupBy("hot", "split").count().collect()}
     assert sizes[(1, "train")] == 800 and sizes[(0, "train")] == 1600
+
+
+def test_sort_based_quantiles_match_percentile(spark):
+    import math
+    import random
+    rng = random.Random(9)
+    rows = [(rng.choice([rng.random() * 100, 7.0, 7.0, None]),) for _ in range(2001)]
+    df = spark.createDataFrame(rows, "x double")
+    got = pf.exact_quantiles_by_sort(df, "x")
+    want = df.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).first()["q"]
+    for p, w in zip((0.25, 0.5, 0.75), want):
+        assert math.isclose(got[p], w, rel_tol=1e-12, abs_tol=1e-12)
