@@ -101,20 +101,38 @@ def mlp(layers: Sequence[int], seed: int = 42, max_iter: int = 100, label: str =
                                           maxIter=max_iter, seed=seed, blockSize=128)
 
 
-def kmeans_sweep(data: DataFrame, ks: Sequence[int], restarts: int = 10, seed: int = 42) -> DataFrame:
-    """Per k: the lowest-cost fit over ``restarts`` seeds; inertia and silhouette (squared Euclidean)."""
+def kmeans_sweep(data: DataFrame, ks: Sequence[int], restarts: int = 10, seed: int = 42,
+                 parallelism: int = 4) -> DataFrame:
+    """Per k: the lowest-cost fit over ``restarts`` seeds; inertia and silhouette (squared Euclidean).
+
+    The (k, seed) fits are independent, so they are submitted as concurrent
+    Spark jobs from a small thread pool (as ``CrossValidator(parallelism)``
+    does); each fit is seeded, so the result does not depend on scheduling.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = data.sparkSession
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    out = []
-    for k in ks:
-        best = None
-        for r in range(restarts):
-            m = KMeans(k=k, seed=seed + r, featuresCol="features").fit(data)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, m)
-        sil = ev.evaluate(best[1].transform(data))
-        out.append((int(k), float(best[0]), float(sil)))
+
+    def fit(task):
+        k, r = task
+        m = KMeans(k=k, seed=seed + r, featuresCol="features").fit(data)
+        return k, r, m.summary.trainingCost, m
+
+    tasks = [(int(k), r) for k in ks for r in range(restarts)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fits = list(pool.map(fit, tasks))
+    best: dict[int, tuple] = {}
+    for k, r, cost, m in fits:  # lowest cost; ties -> lowest restart index
+        if k not in best or (cost, r) < (best[k][0], best[k][1]):
+            best[k] = (cost, r, m)
+
+    def score(k):
+        return k, ev.evaluate(best[k][2].transform(data))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        sil = dict(pool.map(score, sorted(best)))
+    out = [(k, float(best[k][0]), float(sil[k])) for k in sorted(best)]
     return spark.createDataFrame(out, "k int, inertia double, silhouette double")
 
 
