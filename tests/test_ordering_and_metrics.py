@@ -77,3 +77,19 @@ def test_class_report_and_confusion(spark):
     assert cm == {(0, 0): 2, (0, 1): 1, (1, 0): 1, (1, 1): 1}
     m = me.class_metrics(df, "a", "p").first()
     assert (m["accuracy"], m["precision"], m["recall"], m["f1"]) == (0.6, 0.5, 0.5, 0.5)
+
+
+def test_splits_and_batches_ignore_partitioning(spark):
+    df = spark.range(1500).withColumn("y", (F.col("id") % 4 == 0).cast("int"))
+
+    def snap(frame, cols):
+        return sorted(tuple(r[c] for c in cols) for r in frame.collect())
+
+    for parts in (1, 17):
+        d = df.repartition(parts)
+        assert snap(sp.hash_split(d, "id", 0.8, 42), ["id", "split"]) == \
+            snap(sp.hash_split(df, "id", 0.8, 42), ["id", "split"])
+        assert snap(sp.mini_batches(d, "id", 128, 2, 0), ["epoch", "id", "batch_id", "pos_in_batch"]) == \
+            snap(sp.mini_batches(df, "id", 128, 2, 0), ["epoch", "id", "batch_id", "pos_in_batch"])
+        assert snap(sp.stratified_split(d, "y", "id", 0.8, 42), ["id", "split"]) == \
+            snap(sp.stratified_split(df, "y", "id", 0.8, 42), ["id", "split"])
