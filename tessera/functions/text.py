@@ -6,14 +6,11 @@ they stay inside whole-stage code generation -- no Python UDF.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.stopwords import ENGLISH_STOP_WORDS
+
 # ---- fixed values -----------------------------------------------------------
 # Characters Python's str.split()/\s treats as whitespace (str.isspace()).
 PY_WHITESPACE_CLASS = (
@@ -47,18 +44,9 @@ def _class_of(chars: str) -> str:
 KERAS_FILTER_CLASS = _class_of(KERAS_FILTERS)
 
 
-@lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    """Spark MLlib's default English stop-word list, read from the bundled jar.
-
-    Same list as ``StopWordsRemover.loadDefaultStopWords("english")`` but
-    available without a JVM (the oracle SQL is built from it too).
-    """
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
+    """Spark MLlib's default English stop-word list (the oracle SQL is built from it too)."""
+    return ENGLISH_STOP_WORDS
 
 
 def collapse_ws(col: Column | str) -> Column:
