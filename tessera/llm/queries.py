@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import linededup, packing, simhash, urlfilter
+from tessera.llm import langid, linededup, packing, simhash, substring, urlfilter
 from tessera.sources.tables import load
 
 # ---- fixed values: the URL rules (verdict, host, path prefix) ----
@@ -23,10 +23,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(load(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.parse(load(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed",
+                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     index = linededup.build(docs, min_docs=5, min_chars=40)
@@ -70,7 +83,9 @@ FROM m GROUP BY doc_id
 
 LLM_QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
