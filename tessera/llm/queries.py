@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, linededup, packing, simhash, substring, urlfilter
+from tessera.llm import decontam, embed, langid, linededup, packing, simhash, substring, urlfilter
 from tessera.sources.tables import load
 
 # ---- fixed values: the URL rules (verdict, host, path prefix) ----
@@ -40,6 +40,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(load(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     index = linededup.build(docs, min_docs=5, min_chars=40)
@@ -86,6 +94,8 @@ LLM_QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
