@@ -14,11 +14,12 @@ is as if they had never been there. Lines are first tested against the filter
 of their shard; what passes is settled by the exact counts, so a filter's false
 positive never removes a line.
 
-A key is carried as two independent 64-bit hashes of it (128 bits).
+A key is carried as the two halves of a 128-bit hash of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -26,8 +27,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from tessera.llm.common import ASCII_SPACE, ascii_lower, stored
+from tessera.llm.common import ASCII_SPACE, stored
 
 #: All filters of an index are sent to every task while they are at most so large; beyond it lines are
 #: settled by the exact counts alone, in a shuffled join with the same result.
@@ -37,7 +39,7 @@ KEYS_PER_SHARD = 50_000
 SLOTS = 4
 MAX_KICKS = 500
 _SALT = 0x9E3779B97F4A7C15
-_SECOND = "line-key"  # makes the second hash of a key independent of the first
+_SPACE = ASCII_SPACE.encode()
 
 
 class CuckooFilter:
@@ -131,26 +133,53 @@ class LineIndex:
     text_col: str
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(ASCII_SPACE)))
+def eligible(lines: list[bytes], min_chars: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Places of the lines whose key has at least ``min_chars`` code points, and both halves of the keys' hashes.
 
+    A key is the line without ASCII white space at its ends, A-Z lower-cased.
+    """
+    places, digests = [], []
+    for i, line in enumerate(lines):
+        if len(line) >= min_chars:
+            key = line.strip(_SPACE).lower()
+            if len(key) >= min_chars and (key.isascii() or len(key.decode()) >= min_chars):
+                places.append(i)
+                digests.append(xxh3_128_digest(key))
+    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return places, halves[:, 0], halves[:, 1]
 
-def _hashes(lines: Column) -> Column:
-    """Each line's (h1, h2)."""
-    return F.transform(lines, lambda x: F.struct(
-        F.xxhash64(line_key(x)).alias("h1"), F.xxhash64(F.lit(_SECOND), line_key(x)).alias("h2")))
 
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
+    for text in batch.column(column).cast(pa.binary()):
+        yield text.as_py() or b""
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
+def _held_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, wanted=None) -> DataFrame:
+    """(h1, h2, doc) of the eligible lines, once per document; ``wanted(h1, h2)`` picks among them.
 
-def _references(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """Distinct (h1, h2, doc) of the eligible lines; rows without an id are no document of the index."""
-    long_lines = F.filter(_lines(F.col(text_col)), lambda x: F.length(line_key(x)) >= min_chars)
-    found = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc"), F.explode(F.array_distinct(_hashes(long_lines))).alias("key"))
-    return found.select("key.h1", "key.h2", "doc").distinct()
+    Rows without an id are no document of the index.
+    """
+    def found(batches):
+        picks = wanted() if wanted else None
+        for batch in batches:
+            h1s, h2s, owner = [], [], []
+            for i, text in enumerate(_texts(batch, 1)):
+                _, h1, h2 = eligible(text.split(b"\n"), min_chars)
+                if len(h1):
+                    keys = np.unique(np.stack([h1, h2], axis=1), axis=0) if len(h1) > 1 else np.stack([h1, h2], axis=1)
+                    h1s.append(keys[:, 0])
+                    h2s.append(keys[:, 1])
+                    owner.append(np.full(len(keys), i))
+            if h1s:
+                h1, h2, at = map(np.concatenate, (h1s, h2s, owner))
+                if picks:
+                    hit = picks(h1, h2)
+                    h1, h2, at = h1[hit], h2[hit], at[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column(0).take(pa.array(at))],
+                                                 ["h1", "h2", "doc"])
+
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_col)
+    return own.mapInArrow(found, "h1 long, h2 long, doc long")
 
 
 def _count(refs: DataFrame) -> DataFrame:
@@ -176,7 +205,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_d
 
     Rows that repeat an id are one document; rows without an id are not indexed.
     """
-    refs = stored(_references(docs, id_col, text_col, min_chars), "line-refs")
+    refs = stored(_held_lines(docs, id_col, text_col, min_chars).distinct(), "line-refs")
     counts = stored(_count(refs), "line-counts")
     repeated = counts.where(F.col("n_docs") >= min_docs)
     shards = max(1, -(-repeated.count() // KEYS_PER_SHARD))
@@ -219,7 +248,7 @@ def _updated(index: LineIndex, refs: DataFrame, touched: DataFrame) -> LineIndex
 
 def insert(index: LineIndex, docs: DataFrame) -> LineIndex:
     """The index with ``docs`` added. Documents that it already holds gain the lines that are new to them."""
-    found = _references(docs, index.id_col, index.text_col, index.min_chars)
+    found = _held_lines(docs, index.id_col, index.text_col, index.min_chars).distinct()
     new = stored(found.join(index.refs, ["h1", "h2", "doc"], "left_anti"), "line-refs")
     return _updated(index, index.refs.unionByName(new), new)
 
@@ -232,33 +261,28 @@ def delete(index: LineIndex, ids: DataFrame) -> LineIndex:
     return _updated(index, left, lost)
 
 
-def _candidates(index: LineIndex, lines: DataFrame) -> DataFrame:
-    """Rows of ``lines(doc, keys)`` as (doc, h1, h2), only those that the filters let through."""
+def _candidates(index: LineIndex, docs: DataFrame) -> DataFrame:
+    """(h1, h2, doc) of the eligible lines of ``docs``, only those that the filters let through."""
     total = index.filters.agg(F.coalesce(F.sum(F.length("cells")), F.lit(0))).first()[0]
-    if total > MAX_FILTER_BYTES:
-        return lines.select("doc", F.explode("keys").alias("key")).select("doc", "key.h1", "key.h2")
-    held = {r["shard"]: r["cells"] for r in index.filters.collect()}  # MAX_FILTER_BYTES at most
-    sent = lines.sparkSession.sparkContext.broadcast(held)
-    shards = index.shards
-
-    def probe(batches):
-        filters = {k: CuckooFilter.load(v) for k, v in sent.value.items()}
-        for batch in batches:
-            keys = batch.column(1)
-            sizes = np.diff(keys.offsets.to_numpy())
-            flat = keys.flatten()
-            h1 = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            h2 = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
-            shard, hit = np.mod(h1, shards), np.zeros(len(h1), bool)
-            for k, held_keys in filters.items():
-                own = np.flatnonzero(shard == k)
-                if len(own):
-                    hit[own] = held_keys.contains(h1[own].view(np.uint64), h2[own].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[hit], pa.int64()), pa.array(h1[hit], pa.int64()),
-                                              pa.array(h2[hit], pa.int64())], ["doc", "h1", "h2"])
-
-    return lines.mapInArrow(probe, "doc long, h1 long, h2 long")
+    pick = None
+    if total <= MAX_FILTER_BYTES:
+        held = {r["shard"]: bytes(r["cells"]) for r in index.filters.collect()}  # MAX_FILTER_BYTES at most
+        sent, shards = docs.sparkSession.sparkContext.broadcast(held), index.shards
+
+        def pick():
+            filters = {k: CuckooFilter.load(v) for k, v in sent.value.items()}
+
+            def probe(h1, h2):
+                shard, hit = np.mod(h1, shards), np.zeros(len(h1), bool)
+                for k, keys in filters.items():
+                    own = np.flatnonzero(shard == k)
+                    if len(own):
+                        hit[own] = keys.contains(h1[own].view(np.uint64), h2[own].view(np.uint64))
+                return hit
+
+            return probe
+
+    return _held_lines(docs, index.id_col, index.text_col, index.min_chars, pick)
 
 
 def drop_repeated(index: LineIndex, docs: DataFrame) -> DataFrame:
@@ -269,25 +293,33 @@ def drop_repeated(index: LineIndex, docs: DataFrame) -> DataFrame:
     repeated rows are treated alike. The texts are shuffled once, to meet their lists of lost lines;
     lists are bounded by the lines of one document. Input columns of the same names are replaced.
     """
-    long_lines = F.filter(_lines(F.col(index.text_col)), lambda x: F.length(line_key(x)) >= index.min_chars)
-    own = docs.where(F.col(index.id_col).isNotNull()).select(
-        F.col(index.id_col).cast("long").alias("doc"), F.array_distinct(_hashes(long_lines)).alias("keys"))
     repeated = index.counts.where(F.col("n_docs") >= index.min_docs).select("h1", "h2", "last_doc")
-    lost = _candidates(index, own.where(F.size("keys") > 0)).join(repeated, ["h1", "h2"]).where("doc <> last_doc")
-    lost = lost.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
-    out = docs.drop("n_lines", "n_dropped", "kept").join(
-        lost, docs[index.id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
-    out = out.withColumn("__lines", _lines(F.col(index.text_col)))
-
-    def keep(line: Column) -> Column:
-        hashes = F.struct(F.xxhash64(line_key(line)).alias("h1"),
-                          F.xxhash64(F.lit(_SECOND), line_key(line)).alias("h2"))
-        return ~((F.length(line_key(line)) >= index.min_chars) & F.array_contains("__lost", hashes))
-
-    kept = F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(F.filter("__lines", keep))
-    out = out.withColumn("__kept", kept)
-    return out.select(
-        *[c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")],
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
-        F.array_join("__kept", "\n").alias("kept"))
+    lost = _candidates(index, docs).join(repeated, ["h1", "h2"]).where("doc <> last_doc")
+    lost = lost.groupBy(F.col("doc").alias("__doc")).agg(
+        F.collect_set(F.concat_ws(",", F.col("h1").cast("string"), F.col("h2").cast("string"))).alias("__lost"))
+    kept_cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    text_at, lost_at = kept_cols.index(index.text_col), len(kept_cols)
+    joined = docs.select(kept_cols).join(lost, docs[index.id_col].cast("long") == F.col("__doc"), "left")
+    schema = docs.select(kept_cols).schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
+    min_chars = index.min_chars
+
+    def drop(batches):
+        for batch in batches:
+            n_lines, n_dropped, kept = [], [], []
+            for text, gone in zip(_texts(batch, text_at), batch.column(lost_at)):
+                lines = text.split(b"\n")
+                n_lines.append(len(lines))
+                if gone.is_valid:
+                    keys = set(gone.as_py())
+                    places, h1, h2 = eligible(lines, min_chars)
+                    out = {i for i, a, b in zip(places, h1.tolist(), h2.tolist()) if f"{a},{b}" in keys}
+                    text = b"\n".join([x for i, x in enumerate(lines) if i not in out])
+                    n_dropped.append(len(out))
+                else:
+                    n_dropped.append(0)
+                kept.append(text)
+            new = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()),
+                   pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept_cols)], *new], schema.names)
+
+    return joined.select(*[joined[c] for c in kept_cols], "__lost").mapInArrow(drop, schema)
