@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, embed, langid, linededup, packing, simhash, substring, urlfilter
+from tessera.llm import decontam, embed, html_extract, langid, license_scan, linededup, packing, simhash, substring, urlfilter
 from tessera.sources.tables import load
 
 # ---- fixed values: the URL rules (verdict, host, path prefix) ----
@@ -23,6 +23,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(load(spark, sf_dir, "pages"), carry=("url",))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
@@ -44,6 +48,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")),
+                       F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"), id_col="doc_id")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(load(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -91,10 +102,12 @@ FROM m GROUP BY doc_id
 
 LLM_QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_license_scan": op7_license_scan,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
