@@ -13,7 +13,7 @@ piece counts with a forward and a backward pass, and a table of at most
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
 
@@ -249,13 +249,17 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return Model(languages, vocabulary, probs)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row, from its whole text alone.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: Sequence[str] = ("doc_id",),
+             pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The carried columns, the predicted language and its score of every row, from its whole text alone.
 
     ``score`` is the posterior of the predicted language under equal priors. A null text, one without a
     letter, or a model without languages gives ``und`` with score 0; a tie goes to the language that
-    sorts first. Repeated rows are predicted each, null ids are carried, other columns are not read.
+    sorts first. Repeated rows are predicted each; columns not named in ``carry`` are not read, carried ones
+    with the names of the two new columns are replaced; an empty table gives no rows.
     """
+    kept = [c for c in carry if c not in (pred_col, score_col)]
+    schema = docs.select(kept).schema.add(pred_col, "string").add(score_col, "double")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # one row per piece of the fixed vocabulary
 
     def predict(batches):
@@ -294,7 +298,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     held.clear()
                     owner.clear()
 
-            for i, text in enumerate(batch.column(1) if languages else []):
+            for i, text in enumerate(batch.column(len(kept)) if languages else []):
                 for found in words_of(text.as_py() or ""):
                     letters[i] |= bool(found)
                     held += found
@@ -306,11 +310,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             odds = np.exp(total - total.max(axis=1, keepdims=True))
             score = np.where(letters, 1 / odds.sum(axis=1), 0.0)
             pred = [languages[b] if has else UNKNOWN for b, has in zip(best, letters)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)],
-                                             [id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(pred, pa.string()), pa.array(score)],
+                                             schema.names)
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(predict, f"`{id_col}` {id_type}, lang_pred string, score double")
+    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(predict, schema)
 
 
 def held_out(id_col: str = "doc_id"):
