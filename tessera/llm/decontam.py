@@ -47,9 +47,17 @@ def question_and_answer(text: str | None) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (parts[0], "")
 
 
-def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    """Runs of ``SHINGLE`` words; fewer words are one run."""
-    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+def shingles(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    """Runs of ``size`` words; fewer words are one run."""
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def share_held(part: list[bytes], passage: list[bytes]) -> float | None:
+    """Share of the part's shingles that the passage holds; null for a part without words."""
+    if not part:
+        return None
+    own = shingles(part)
+    return len(own & shingles(passage, min(SHINGLE, len(part)))) / len(own)
 
 
 class Index:
@@ -58,11 +66,8 @@ class Index:
     def __init__(self, items: list[tuple[object, str | None]]):
         self.items = [(item, terms_of(text)) for item, text in items]
         self.items = [x for x in self.items if x[1]]
-        self.parts = []
         texts = dict(items)
-        for item, words in self.items:
-            question, answer = question_and_answer(texts[item])
-            self.parts.append((shingles(words), shingles(terms_of(question)), shingles(terms_of(answer))))
+        self.parts = [[terms_of(x) for x in question_and_answer(texts[item])] for item, _ in self.items]
         counts = [Counter(words) for _, words in self.items]
         df = Counter(t for c in counts for t in c)
         self.number = {t: i for i, t in enumerate(sorted(df))}
@@ -80,8 +85,8 @@ class Index:
                 self.postings[k].append((i, x / own))
                 self.block_max[k, i // BLOCK_ITEMS] = max(self.block_max[k, i // BLOCK_ITEMS], x / own)
         pad = -self.block_max.shape[1] % COARSE_BLOCKS
-        coarse = np.pad(self.block_max, ((0, 0), (0, pad))).reshape(len(df), -1, COARSE_BLOCKS)
-        self.coarse_max = coarse.max(axis=2)
+        padded = np.pad(self.block_max, ((0, 0), (0, pad)))
+        self.coarse_max = padded.reshape(len(df), padded.shape[1] // COARSE_BLOCKS, COARSE_BLOCKS).max(axis=2)
         self.term_max = self.block_max.max(axis=1) if len(df) else np.zeros(0, np.float32)
         self.longest = max((len(w) for _, w in self.items), default=0)
 
@@ -156,12 +161,10 @@ def leaks_of(words: list[bytes], index: Index, threshold: float, min_overlap: fl
         if index.block_max[distinct].sum(axis=0).max() < threshold - 1e-3:
             continue
         for item, score in index.search(distinct.tolist(), threshold):
-            around = shingles(words[max(0, spans[p][0] - index.longest) : spans[p][1] + index.longest])
-            whole, question, answer = index.parts[item]
-            share = len(whole & around) / len(whole)
+            around = words[max(0, spans[p][0] - index.longest) : spans[p][1] + index.longest]
+            share = share_held(index.items[item][1], around)
             if share >= min_overlap:
-                got = (score, share, len(question & around) / len(question) if question else None,
-                       len(answer & around) / len(answer) if answer else None)
+                got = (score, share, *(share_held(part, around) for part in index.parts[item]))
                 best[item] = max(best.get(item, got), got, key=lambda x: (x[1], x[0]))
     return best
 

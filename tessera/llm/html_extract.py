@@ -48,10 +48,12 @@ KEEPS_OPEN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("
 # ------------------------------------------------------------------------------------------------
 
 PUNCTUATION = regex.compile(r"[.,;:!?。，、；：！？…]")
+#: A tag that the page ends in.
+CUT_OFF = regex.compile(r"</?[a-zA-Z][^<>]*\Z")
 #: Neighbours that a node's ratio is smoothed over, with weights of a bell curve.
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 #: A path is content from this part of the best score; the article holds this part of the content's characters.
-LEAST_SCORE = 0.05
+LEAST_SCORE = 0.2
 MOST_OF_IT = 0.9
 #: Text below an article or main element counts so many times.
 ARTICLE_WEIGHT = 4.0
@@ -170,7 +172,7 @@ def content_nodes(paths: list[str], lengths: np.ndarray, marks: np.ndarray, weig
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by one space; empty if there is none."""
     page = _Page()
-    page.feed(html or "")
+    page.feed(CUT_OFF.sub("", html or ""))
     page.close()
     page._flush()
     nodes = page.nodes
