@@ -38,10 +38,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars`` follows the text; a null text stays null.
     """
     index = linededup.build(docs, min_docs=5, min_chars=40)
-    out = linededup.drop_repeated(index, docs)
-    changed = F.col("n_dropped") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    n_chars = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    out = linededup.drop_repeated(index, docs, added=("__lines", "__dropped", "__kept"))
+    changed = F.col("__dropped") > 0
+    text = F.when(changed, F.col("__kept")).otherwise(F.col("text"))
+    n_chars = F.when(changed, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
 
 

@@ -285,22 +285,23 @@ def _candidates(index: LineIndex, docs: DataFrame) -> DataFrame:
     return _held_lines(docs, index.id_col, index.text_col, index.min_chars, pick)
 
 
-def drop_repeated(index: LineIndex, docs: DataFrame) -> DataFrame:
-    """``docs`` with the kept text and two counts: columns ``n_lines``, ``n_dropped`` and ``kept`` are added.
+def drop_repeated(index: LineIndex, docs: DataFrame,
+                  added: tuple[str, str, str] = ("n_lines", "n_dropped", "kept")) -> DataFrame:
+    """``docs`` with three more columns: its lines, how many of them go, and the kept text.
 
     A line goes if its key is repeated in the index and another document with a larger id holds it.
     Null texts count as one empty line and become the empty text; rows without an id keep every line;
     repeated rows are treated alike. The texts are shuffled once, to meet their lists of lost lines;
-    lists are bounded by the lines of one document. Input columns of the same names are replaced.
+    lists are bounded by the lines of one document. Input columns that are named like ``added`` are replaced.
     """
     repeated = index.counts.where(F.col("n_docs") >= index.min_docs).select("h1", "h2", "last_doc")
     lost = _candidates(index, docs).join(repeated, ["h1", "h2"]).where("doc <> last_doc")
     lost = lost.groupBy(F.col("doc").alias("__doc")).agg(
         F.collect_set(F.concat_ws(",", F.col("h1").cast("string"), F.col("h2").cast("string"))).alias("__lost"))
-    kept_cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    kept_cols = [c for c in docs.columns if c not in added]
     text_at, lost_at = kept_cols.index(index.text_col), len(kept_cols)
     joined = docs.select(kept_cols).join(lost, docs[index.id_col].cast("long") == F.col("__doc"), "left")
-    schema = docs.select(kept_cols).schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
+    schema = docs.select(kept_cols).schema.add(added[0], "long").add(added[1], "long").add(added[2], "string")
     min_chars = index.min_chars
 
     def drop(batches):
