@@ -23,6 +23,18 @@ CHAIN_PATTERN = "[-+]?\\d*\\.?\\d+(?:\\s*[+\\-*/]\\s*[-+]?\\d*\\.?\\d+)+"
 SAFE_EXPR_PATTERN = "^[0-9+\\-*/().\\s]+$"
 GENERAL_TEMPLATE = "I don't have a specialized tool for this, but here's my best general answer to: "
 MAX_ATTEMPTS = 3
+STATUS_SUCCESS, STATUS_FAILED = "SUCCESS", "FAILED"
+# nodes and texts of the step log
+NODE_ROUTE, NODE_FINAL = "query_analysis", "finalize"
+NODE_TOOL = {ROUTE_CALCULATOR: "calculator_tool", ROUTE_KEYWORDS: "keyword_extraction_tool",
+             ROUTE_GENERAL: "general_response"}
+TEXT_ROUTED = ("Routed query to '", "'")
+TEXT_COMPUTED = ("Computed ", " = ", " (attempt ", ")")
+TEXT_ATTEMPT_FAILED = ("Attempt ", " failed: ")
+TEXT_GAVE_UP = ("Calculator tool failed after ", " attempts")
+TEXT_KEYWORDS = "Extracted keywords: "
+TEXT_KEYWORDS_FAILED = "Failed: "
+TEXT_FINISHED = "Pipeline finished with status: "
 # -----------------------------------------------------------------------------
 
 # a binary operator is an operator sign right after a digit (numbers never end in '.')
@@ -47,19 +59,6 @@ def arith_expression(query: Column | str) -> Column:
     return F.when(found == "", F.lit("0")).otherwise(found)
 
 
-def arith_value(expr: Column | str) -> Column:
-    """struct(value double, error string) of a + - * / chain with the usual precedence.
-
-    Single-expression form for small inputs; tables use
-    ``operators.routing.with_arith_value``, which stages the same steps as
-    separate projections (higher-order functions share no sub-expressions,
-    so a one-expression fold would re-split the text several times).
-    """
-    e = F.regexp_replace(F.col(expr) if isinstance(expr, str) else expr, "\\s+", "")
-    parts = arith_parts(e)
-    return arith_result(parts["nums"], parts["ops"], parts["vals"], e)
-
-
 def arith_parts(e: Column) -> dict[str, Column]:
     """Numbers (signed literals) and binary operators of a whitespace-free chain."""
     nums = F.split(e, _BINARY_OP)
@@ -98,14 +97,6 @@ def arith_error(e: Column, nums: Column, steps: Column, value: Column) -> Column
             .when(value.isNull(), F.lit("invalid expression")))
 
 
-def arith_result(nums: Column, ops: Column, vals: Column, e: Column) -> Column:
-    steps = arith_steps(ops, vals)
-    folded = arith_fold(steps, F.element_at(vals, 1))
-    value = folded["acc"] + folded["term"]
-    error = arith_error(e, nums, steps, value)
-    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
-
-
 def general_answer(query: Column | str) -> Column:
     from tessera.functions.text import py_repr
     return F.concat(F.lit(GENERAL_TEMPLATE), py_repr(query))

@@ -80,19 +80,6 @@ def chunks_of_words(words_col: str, size: int = 110, overlap: int = 25) -> Colum
     return F.transform(starts, lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
 
 
-def chunk_texts(col: Column | str, size: int = 110, overlap: int = 25) -> Column:
-    """Overlapping word chunks: starts 0, step, 2*step, ... until a chunk reaches the end.
-
-    Count = 1 + ceil(max(0, n - size) / step); step = max(1, size - overlap).
-    Convenience form for small inputs; tables use ``operators.text.chunks``,
-    which materialises the word array first.
-    """
-    step = max(1, size - overlap)
-    w = words(col)
-    starts = F.sequence(F.lit(0), chunk_count(w, size, overlap) - 1)
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-
-
 def keras_tokens(col: Column | str) -> Column:
     """Keras ``text_to_word_sequence``: lower, filters -> space, split, drop empties."""
     c = F.col(col) if isinstance(col, str) else col
@@ -114,10 +101,19 @@ def keywords(col: Column | str) -> Column:
 
 
 def py_repr(col: Column | str) -> Column:
-    """Python ``repr`` of a str for the common cases: single quotes unless the text has a
-    single quote and no double quote; backslashes and the chosen quote escaped."""
+    """Python ``repr`` of a str: single quotes unless the text has a single quote and no double quote;
+    backslashes, the chosen quote and ASCII control characters escaped.
+
+    Non-ASCII characters that Python calls unprintable stay as they are.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    esc = F.regexp_replace(c, "\\\\", "\\\\\\\\")
+    esc = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for char, text in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        esc = F.replace(esc, F.lit(char), F.lit(text))
+    rare = esc
+    for code in [*range(9), 11, 12, *range(14, 32), 127]:
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    esc = F.when(c.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"), rare).otherwise(esc)
     dq = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
     return F.when(dq, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
-        F.concat(F.lit("'"), F.regexp_replace(esc, "'", "\\\\'"), F.lit("'")))
+        F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))

@@ -16,7 +16,7 @@ from pyspark.ml.classification import (GBTClassifier, MultilayerPerceptronClassi
                                        RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -136,12 +136,6 @@ def kmeans_sweep(data: DataFrame, ks: Sequence[int], restarts: int = 10, seed: i
     return spark.createDataFrame(out, "k int, inertia double, silhouette double")
 
 
-def standardize(df: DataFrame, in_col: str = "raw", out: str = "features", with_std: bool = True):
-    """Centre (and scale) a vector column; returns the fitted model too."""
-    model = StandardScaler(inputCol=in_col, outputCol=out, withMean=True, withStd=with_std).fit(df)
-    return model.transform(df), model
-
-
 def pca_fit(df: DataFrame, k: int, features: str = "features"):
     return PCA(k=k, inputCol=features, outputCol="pca").fit(df)
 
@@ -176,6 +170,6 @@ def save_and_reload(model: PipelineModel, path: str) -> PipelineModel:
 
 __all__ = [
     "assemble", "regressors", "regression_compare", "classifiers", "classification_scores",
-    "feature_importance", "comparison_table", "grid_search", "mlp", "kmeans_sweep", "standardize",
+    "feature_importance", "comparison_table", "grid_search", "mlp", "kmeans_sweep",
     "pca_fit", "pca_reconstruct", "save_and_reload",
 ]

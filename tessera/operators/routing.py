@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import router as rt
 from tessera.functions import text as tx
-from tessera.functions.jsonrules import validation_error
+from tessera.functions.jsonrules import missing_value_error, validation_error
 
 
 def with_arith_value(df: DataFrame, expr_col: str, out: str = "calc") -> DataFrame:
@@ -40,52 +40,77 @@ def with_arith_value(df: DataFrame, expr_col: str, out: str = "calc") -> DataFra
 
 
 def route_and_answer(queries: DataFrame, key_cols: Sequence[str], query_col: str = "query") -> DataFrame:
-    """Route each query, run its tool and finalise (status SUCCESS / FAILED)."""
+    """Route each query, validate and run its tool, finalise (status SUCCESS / FAILED).
+
+    The calculator is tried ``MAX_ATTEMPTS`` times; a table's failures repeat, so a failing row uses all
+    attempts: ``tool_error`` is what each attempt said, ``error`` the final message. A null query has no
+    route of its own (general) and fails the tool's input check. Only calculator rows carry an expression,
+    so the arithmetic runs for these alone.
+    """
     q = F.col(query_col)
-    routed0 = queries.select(*key_cols, query_col, rt.route(q).alias("route"),
-                             rt.arith_expression(q).alias("expression"))
+    route = F.coalesce(rt.route(q), F.lit(rt.ROUTE_GENERAL))
+    routed0 = queries.select(*key_cols, query_col, route.alias("route")).withColumn(
+        "expression", F.when(F.col("route") == rt.ROUTE_CALCULATOR, rt.arith_expression(q)))
     routed = with_arith_value(routed0, "expression", "calc")
     is_calc = F.col("route") == rt.ROUTE_CALCULATOR
     is_kw = F.col("route") == rt.ROUTE_KEYWORDS
-    text = (F.when(is_kw, tx.keywords(q))
-            .when(F.col("route") == rt.ROUTE_GENERAL, rt.general_answer(q)))
-    error = F.when(is_calc, F.col("calc.error"))
-    return routed.select(
-        *key_cols, query_col, "route",
-        F.when(is_calc, F.col("expression")).alias("expression"),
-        F.when(is_calc, F.col("calc.value")).alias("result_value"),
-        text.alias("result_text"),
-        error.alias("error"),
-        F.when(error.isNull(), F.lit("SUCCESS")).otherwise(F.lit("FAILED")).alias("status"),
-        F.lit(1).alias("tool_calls"),
+    # input first, then the tool's own error, then the output, as the tools check them
+    calc_error = F.coalesce(missing_value_error(F.col("expression"), "expression", "string"), F.col("calc.error"),
+                            missing_value_error(F.col("calc.value"), "value", "number"))
+    keywords = tx.keywords(q)
+    text_error = F.when(~is_calc, missing_value_error(q, "text", "string"))
+    tool_error = F.when(is_calc, calc_error).otherwise(text_error)
+    failed = F.col("tool_error").isNotNull()
+    text = F.when(is_kw, keywords).when(F.col("route") == rt.ROUTE_GENERAL, rt.general_answer(q))
+    gave_up = F.lit(f"{rt.TEXT_GAVE_UP[0]}{rt.MAX_ATTEMPTS}{rt.TEXT_GAVE_UP[1]}")
+    answered = routed.select(*key_cols, query_col, "route", "expression", F.col("calc.value").alias("result_value"),
+                             text.alias("result_text"), tool_error.alias("tool_error"))
+    retried = failed & (F.col("route") == rt.ROUTE_CALCULATOR)
+    return answered.select(
+        *key_cols, query_col, "route", "expression", "result_value", "result_text", "tool_error",
+        F.when(retried, gave_up).otherwise(F.col("tool_error")).alias("error"),
+        F.when(failed, F.lit(rt.STATUS_FAILED)).otherwise(F.lit(rt.STATUS_SUCCESS)).alias("status"),
+        F.when(retried, rt.MAX_ATTEMPTS).otherwise(1).alias("tool_calls"),
+        F.when(retried, rt.MAX_ATTEMPTS).otherwise(0).alias("retries"),
     )
 
 
 def trajectory(answered: DataFrame, key_cols: Sequence[str], query_col: str = "query") -> DataFrame:
-    """One row per logged step: (*keys, run_id, step 1.., node, detail)."""
-    route = F.col("route")
-    tool_node = (F.when(route == rt.ROUTE_CALCULATOR, F.lit("calculator_tool"))
-                 .when(route == rt.ROUTE_KEYWORDS, F.lit("keyword_extraction_tool"))
-                 .otherwise(F.lit("general_response")))
-    tool_detail = (
-        F.when((route == rt.ROUTE_CALCULATOR) & F.col("error").isNull(),
-               F.concat(F.lit("Computed "), F.col("expression"), F.lit(" = "),
-                        F.col("result_value").cast("string"), F.lit(" (attempt 1)")))
-        .when(route == rt.ROUTE_CALCULATOR, F.concat(F.lit("Failed: "), F.col("error")))
-        .when(route == rt.ROUTE_KEYWORDS, F.concat(F.lit("Extracted keywords: "), F.col("result_text")))
-        .otherwise(F.col("result_text"))
-    )
-    steps = F.array(
-        F.struct(F.lit("query_analysis").alias("node"),
-                 F.concat(F.lit("Routed query to '"), route, F.lit("'")).alias("detail")),
-        F.struct(tool_node.alias("node"), tool_detail.alias("detail")),
-        F.struct(F.lit("finalize").alias("node"),
-                 F.concat(F.lit("Pipeline finished with status: "), F.col("status")).alias("detail")),
-    )
+    """One row per logged step: (*keys, run_id, step 1.., node, detail, route, attempt, error).
+
+    ``route`` is set on the routing step, ``attempt`` on each calculator attempt, ``error`` where an
+    attempt or a tool failed; a failing calculator logs every attempt and a last line.
+    """
+    route, failed = F.col("route"), F.col("tool_error").isNotNull()
+
+    def step(node, detail, route=None, attempt=None, error=None):
+        null = F.lit(None).cast("string")
+        return F.struct(F.lit(node).alias("node"), detail.alias("detail"),
+                        (null if route is None else route).alias("route"),
+                        F.lit(attempt).cast("int").alias("attempt"),
+                        (null if error is None else error).alias("error"))
+
+    first = step(rt.NODE_ROUTE, F.concat(F.lit(rt.TEXT_ROUTED[0]), route, F.lit(rt.TEXT_ROUTED[1])), route=route)
+    last = step(rt.NODE_FINAL, F.concat(F.lit(rt.TEXT_FINISHED), F.col("status")))
+    calculator, keywords, general = (rt.NODE_TOOL[r] for r in (rt.ROUTE_CALCULATOR, rt.ROUTE_KEYWORDS, rt.ROUTE_GENERAL))
+    computed = step(calculator, F.concat(
+        F.lit(rt.TEXT_COMPUTED[0]), F.col("expression"), F.lit(rt.TEXT_COMPUTED[1]), F.col("result_value").cast("string"),
+        F.lit(f"{rt.TEXT_COMPUTED[2]}1{rt.TEXT_COMPUTED[3]}")), attempt=1)
+    attempts = [step(calculator, F.concat(F.lit(f"{rt.TEXT_ATTEMPT_FAILED[0]}{i}{rt.TEXT_ATTEMPT_FAILED[1]}"),
+                                          F.col("tool_error")), attempt=i, error=F.col("tool_error"))
+                for i in range(1, rt.MAX_ATTEMPTS + 1)]
+    extracted = step(keywords, F.concat(F.lit(rt.TEXT_KEYWORDS), F.col("result_text")))
+    not_extracted = step(keywords, F.concat(F.lit(rt.TEXT_KEYWORDS_FAILED), F.col("tool_error")), error=F.col("tool_error"))
+    is_calc, is_kw = route == rt.ROUTE_CALCULATOR, route == rt.ROUTE_KEYWORDS
+    steps = (F.when(is_calc & failed, F.array(first, *attempts, step(calculator, F.col("error")), last))
+             .when(is_calc, F.array(first, computed, last))
+             .when(is_kw & failed, F.array(first, not_extracted, last))
+             .when(is_kw, F.array(first, extracted, last))
+             .otherwise(F.array(first, step(general, F.coalesce("result_text", "error")), last)))
     run_id = F.substring(F.sha2(F.concat_ws(":", F.col(query_col), *[F.col(k).cast("string") for k in key_cols]),
                                 256), 1, 8)
     return answered.select(*key_cols, run_id.alias("run_id"), F.posexplode(steps).alias("pos", "s")).select(
-        *key_cols, "run_id", (F.col("pos") + 1).alias("step"), "s.node", "s.detail")
+        *key_cols, "run_id", (F.col("pos") + 1).alias("step"), "s.*")
 
 
 def validate_payloads(df: DataFrame, key_cols: Sequence[str], json_col: str,
@@ -95,11 +120,11 @@ def validate_payloads(df: DataFrame, key_cols: Sequence[str], json_col: str,
     from tessera.functions.jsonrules import field_type, python_type_name
 
     fields = sorted({f for sch in rule_sets.values() for f in (sch.get("properties") or {})})
-    parsed = df.select(*key_cols, F.try_parse_json(json_col).alias("__v"),
+    parsed = df.select(*key_cols, F.col(json_col).alias("__raw"), F.try_parse_json(json_col).alias("__v"),
                        F.json_object_keys(json_col).alias("__keys"))
     typed = parsed.select(*key_cols, "__v", "__keys",
                           python_type_name(F.schema_of_variant("__v")).alias("__top"),
-                          *[field_type(F.col("__v"), f).alias(f"__t{i}") for i, f in enumerate(fields)])
+                          *[field_type(F.col("__v"), f, F.col("__raw")).alias(f"__t{i}") for i, f in enumerate(fields)])
     ftypes = {f: F.col(f"__t{i}") for i, f in enumerate(fields)}
     checks = F.array(*[F.struct(F.lit(name).alias("rule_set"),
                                 validation_error(F.col("__v"), schema, F.col("__keys"), F.col("__top"),
@@ -134,8 +159,8 @@ def attempt_summary(log: DataFrame, task_col: str, order_cols: Sequence[str], fa
         (calls - F.when(ok, 1).otherwise(0)).cast("int").alias("retries"),
         F.col("first_success").cast("int").alias("first_success"),
         F.when(ok, F.lit(None)).otherwise(
-            F.concat(F.lit("Calculator tool failed after "), calls.cast("string"), F.lit(" attempts"))).alias("error"),
-        F.when(ok, F.lit("SUCCESS")).otherwise(F.lit("FAILED")).alias("status"),
+            F.concat(F.lit(rt.TEXT_GAVE_UP[0]), calls.cast("string"), F.lit(rt.TEXT_GAVE_UP[1]))).alias("error"),
+        F.when(ok, F.lit(rt.STATUS_SUCCESS)).otherwise(F.lit(rt.STATUS_FAILED)).alias("status"),
     )
 
 
@@ -143,7 +168,7 @@ def eval_summary(tasks: DataFrame, digits: int = 6) -> DataFrame:
     """Totals over per-task rows (status, tool_calls, retries) plus the two ratios (0 when empty)."""
     one = tasks.agg(
         F.count(F.lit(1)).alias("total_tasks"),
-        F.count_if(F.col("status") == "SUCCESS").alias("completed_tasks"),
+        F.count_if(F.col("status") == rt.STATUS_SUCCESS).alias("completed_tasks"),
         F.coalesce(F.sum("tool_calls"), F.lit(0)).cast("long").alias("total_tool_calls"),
         F.coalesce(F.sum("retries"), F.lit(0)).cast("long").alias("total_retries"),
     )

@@ -2,7 +2,9 @@
 
 Natural texts in the driver tables almost never exercise the router, so the
 query column is generated from lineitem x part (all rows):
-  (l_orderkey + l_linenumber) mod 3 = 0 -> "calculate <qty> * <linenumber> + <size>"
+  (l_orderkey + l_linenumber) mod 3 = 0 -> "calculate <qty> * <linenumber> + <size>" for even order keys,
+                                           "calculate <qty> / <discount in percent> + <size>" for odd ones
+                                           (a discount of zero makes the calculator fail)
                                     = 1 -> "extract the keywords from <p_name> <p_type>"
                                     = 2 -> "tell me about <p_name>"
 """
@@ -31,13 +33,16 @@ RULE_SETS = {
 
 
 def generated_queries(t):
-    li = t.lineitem.select(*KEYS, "l_partkey", "l_quantity")
+    li = t.lineitem.select(*KEYS, "l_partkey", "l_quantity", "l_discount")
     part = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_size")
     kind = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(3))
+    percent = F.round(F.col("l_discount") * 100).cast("bigint")
     query = (
         F.when(kind == 0, F.concat(F.lit("calculate "), F.col("l_quantity").cast("bigint").cast("string"),
-                                   F.lit(" * "), F.col("l_linenumber").cast("string"), F.lit(" + "),
-                                   F.col("p_size").cast("string")))
+                                   F.when(F.col("l_orderkey") % 2 == 0,
+                                          F.concat(F.lit(" * "), F.col("l_linenumber").cast("string")))
+                                   .otherwise(F.concat(F.lit(" / "), percent.cast("string"))),
+                                   F.lit(" + "), F.col("p_size").cast("string")))
         .when(kind == 1, F.concat(F.lit("extract the keywords from "), F.col("p_name"), F.lit(" "), F.col("p_type")))
         .otherwise(F.concat(F.lit("tell me about "), F.col("p_name")))
     )
@@ -47,11 +52,15 @@ def generated_queries(t):
 _GQ = """
 gq AS (SELECT l_orderkey, l_linenumber,
               CASE (l_orderkey + l_linenumber) % 3
-                WHEN 0 THEN 'calculate ' || CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR) || ' * '
-                            || CAST(l_linenumber AS VARCHAR) || ' + ' || CAST(p_size AS VARCHAR)
+                WHEN 0 THEN 'calculate ' || CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR)
+                            || CASE WHEN l_orderkey % 2 = 0 THEN ' * ' || CAST(l_linenumber AS VARCHAR)
+                                    ELSE ' / ' || CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) END
+                            || ' + ' || CAST(p_size AS VARCHAR)
                 WHEN 1 THEN 'extract the keywords from ' || p_name || ' ' || p_type
                 ELSE 'tell me about ' || p_name END AS query,
-              CAST(CAST(trunc(l_quantity) AS BIGINT) * l_linenumber + p_size AS DOUBLE) AS calc_value
+              CASE WHEN l_orderkey % 2 = 0 THEN CAST(CAST(trunc(l_quantity) AS BIGINT) * l_linenumber + p_size AS DOUBLE)
+                   ELSE CAST(trunc(l_quantity) AS DOUBLE) / nullif(CAST(round(l_discount * 100) AS DOUBLE), 0) + p_size
+              END AS calc_value
        FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 _ROUTE_SQL = (f"CASE WHEN contains(lower({{q}}), '{rt.CALC_WORD}') OR regexp_matches(lower({{q}}), '{rt.CALC_PATTERN}') "
@@ -86,7 +95,7 @@ def arith_expr(spark, sf_dir):
 @register("arith_value", sql=f"""
 WITH {_GQ}
 SELECT l_orderkey, l_linenumber, regexp_extract(query, '{rt.CHAIN_PATTERN}', 0) AS expression,
-       calc_value AS value, CAST(NULL AS VARCHAR) AS error
+       calc_value AS value, CASE WHEN calc_value IS NULL THEN 'division by zero' END AS error
 FROM gq WHERE {_route('query')} = 'calculator'
 """)
 def arith_value(spark, sf_dir):
@@ -99,7 +108,6 @@ def arith_value(spark, sf_dir):
 _PYTYPE = """CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float'
              WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'NoneType'
              WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' END"""
-_NOT_OBJ = "CASE WHEN json_type(props) IS DISTINCT FROM 'OBJECT' THEN 'Expected object, got dict' END"
 _HAS_K = "list_contains(json_keys(props), 'k')"
 
 
@@ -135,8 +143,11 @@ def json_validate(spark, sf_dir):
 
 
 def _repr_sql(q: str) -> str:
-    return (f"CASE WHEN contains({q}, '''') AND NOT contains({q}, '\"') THEN '\"' || replace({q}, '\\', '\\\\') || '\"' "
-            f"ELSE '''' || replace(replace({q}, '\\', '\\\\'), '''', '\\''') || '''' END")
+    esc = f"replace({q}, '\\', '\\\\')"
+    for char, text in (("chr(10)", "\\n"), ("chr(13)", "\\r"), ("chr(9)", "\\t")):
+        esc = f"replace({esc}, {char}, '{text}')"
+    return (f"CASE WHEN contains({q}, '''') AND NOT contains({q}, '\"') THEN '\"' || {esc} || '\"' "
+            f"ELSE '''' || replace({esc}, '''', '\\''') || '''' END")
 
 
 _KW_SQL = (f"CASE WHEN len(list_distinct(regexp_extract_all(lower(query), '{tx.KEYWORD_PATTERN}'))) > 0 THEN "
@@ -152,15 +163,19 @@ ans AS (SELECT l_orderkey, l_linenumber, query, route,
                CASE WHEN route = 'keywords' THEN {_KW_SQL}
                     WHEN route = 'general' THEN '{rt.GENERAL_TEMPLATE.replace("'", "''")}' || {_repr_sql('query')}
                END AS result_text,
-               CAST(NULL AS VARCHAR) AS error, 'SUCCESS' AS status, 1 AS tool_calls
-        FROM rq)"""
+               CASE WHEN route = 'calculator' AND calc_value IS NULL THEN 'division by zero' END AS tool_error
+        FROM rq),
+fin AS (SELECT *, CASE WHEN tool_error IS NOT NULL THEN 'Calculator tool failed after 3 attempts' END AS error,
+               CASE WHEN tool_error IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+               CASE WHEN tool_error IS NULL THEN 1 ELSE 3 END AS tool_calls,
+               CASE WHEN tool_error IS NULL THEN 0 ELSE 3 END AS retries FROM ans)"""
 
 
 def _answered(t):
     return ro.route_and_answer(generated_queries(t), KEYS, "query")
 
 
-@register("route_and_answer", sql=f"WITH {_ANSWERED} SELECT * FROM ans")
+@register("route_and_answer", sql=f"WITH {_ANSWERED} SELECT * FROM fin")
 def route_and_answer(spark, sf_dir):
     return _answered(Tables(spark, sf_dir))
 
@@ -168,17 +183,26 @@ def route_and_answer(spark, sf_dir):
 @register("trajectory", sql=f"""
 WITH {_ANSWERED},
 ids AS (SELECT *, substring(sha256(query || ':' || CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR)),
-                           1, 8) AS run_id FROM ans)
+                           1, 8) AS run_id FROM fin)
 SELECT l_orderkey, l_linenumber, run_id, 1 AS step, 'query_analysis' AS node,
-       'Routed query to ''' || route || '''' AS detail FROM ids
+       'Routed query to ''' || route || '''' AS detail, route, CAST(NULL AS INTEGER) AS attempt,
+       CAST(NULL AS VARCHAR) AS error FROM ids
 UNION ALL
 SELECT l_orderkey, l_linenumber, run_id, 2,
        CASE route WHEN 'calculator' THEN 'calculator_tool' WHEN 'keywords' THEN 'keyword_extraction_tool'
                   ELSE 'general_response' END,
        CASE route WHEN 'calculator' THEN 'Computed ' || expression || ' = ' || CAST(result_value AS VARCHAR) || ' (attempt 1)'
-                  WHEN 'keywords' THEN 'Extracted keywords: ' || result_text ELSE result_text END FROM ids
+                  WHEN 'keywords' THEN 'Extracted keywords: ' || result_text ELSE result_text END,
+       NULL, CASE route WHEN 'calculator' THEN 1 END, NULL FROM ids WHERE tool_error IS NULL
 UNION ALL
-SELECT l_orderkey, l_linenumber, run_id, 3, 'finalize', 'Pipeline finished with status: ' || status FROM ids
+SELECT l_orderkey, l_linenumber, run_id, 1 + a.i, 'calculator_tool',
+       'Attempt ' || a.i || ' failed: ' || tool_error, NULL, a.i, tool_error
+FROM ids, (VALUES (1), (2), (3)) a(i) WHERE tool_error IS NOT NULL
+UNION ALL
+SELECT l_orderkey, l_linenumber, run_id, 5, 'calculator_tool', error, NULL, NULL, NULL FROM ids WHERE tool_error IS NOT NULL
+UNION ALL
+SELECT l_orderkey, l_linenumber, run_id, CASE WHEN tool_error IS NULL THEN 3 ELSE 6 END, 'finalize',
+       'Pipeline finished with status: ' || status, NULL, NULL, NULL FROM ids
 """)
 def trajectory(spark, sf_dir):
     return ro.trajectory(_answered(Tables(spark, sf_dir)), KEYS, "query")
