@@ -19,8 +19,13 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 
 SCORE_DIGITS = 9
+
+# ---- fixed values: texts of answers and prompts ----
 EXTRACTIVE_PREFIX = "(extractive answer, no generative model available — top match, score="
 PROMPT_HEAD = "Answer the question using only the context below.\n\nContext:\n"
+PROMPT_QUESTION = "\n\nQuestion: "
+PROMPT_ANSWER = "\nAnswer:"
+# -----------------------------------------------------
 
 
 def term_rows(df: DataFrame, id_cols: Sequence[str], text_col: str = "text",
@@ -71,6 +76,28 @@ def sparse_scores(q_post: DataFrame, d_post: DataFrame, q_ids: Sequence[str],
         F.round(F.sum(F.col("wq") * F.col("wd")), SCORE_DIGITS).alias("score"))
 
 
+def with_unmatched(scores: DataFrame, questions: DataFrame, chunks: DataFrame, q_ids: Sequence[str],
+                   d_ids: Sequence[str], k: int = 3) -> DataFrame:
+    """``scores`` and, with score 0, enough chunks that every question has at least ``k``.
+
+    A question matches fewer than ``k`` chunks or needs no filling, so the first ``2k - 1`` chunks by id
+    hold the ``k`` smallest ids among those it does not match.
+    """
+    first = chunks.select(*d_ids).orderBy(*d_ids).limit(2 * k - 1).collect()
+    if not first:
+        return scores
+    filler = F.explode(F.array(*[F.struct(*[F.lit(r[c]).cast(chunks.schema[c].dataType).alias(c) for c in d_ids])
+                                 for r in first]))
+    zero = questions.select(*q_ids, filler.alias("__d")).select(*q_ids, "__d.*", F.lit(0.0).alias("score"))
+    every = scores.select(*q_ids, *d_ids, "score").unionByName(zero)
+    return every.groupBy(*q_ids, *d_ids).agg(F.max("score").alias("score"))
+
+
+def sources(ranked: DataFrame, chunks: DataFrame, d_ids: Sequence[str]) -> DataFrame:
+    """The ranked chunks with their texts."""
+    return ranked.join(chunks.select(*d_ids, "chunk"), list(d_ids))
+
+
 def top_k(scores: DataFrame, q_ids: Sequence[str], d_ids: Sequence[str], k: int = 3) -> DataFrame:
     """Best ``k`` per question, rank 1..k; ties broken by the chunk ids ascending."""
     w = Window.partitionBy(*q_ids).orderBy(F.desc("score"), *[F.asc(c) for c in d_ids])
@@ -81,10 +108,10 @@ def answers(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, q_id: st
             d_ids: Sequence[str], question_col: str = "text") -> DataFrame:
     """Batch ``ask``: question, extractive answer from the rank-1 chunk, sources.
 
-    ``sources`` is 'doc:chunk@score' strings in rank order; questions with
-    no matching chunk get a null answer and no sources.
+    ``sources`` is 'doc:chunk@score' strings in rank order (``sources()`` has them as rows, with
+    texts). Only an empty index leaves a question without an answer.
     """
-    hits = ranked.join(chunks.select(*d_ids, "chunk"), list(d_ids))
+    hits = sources(ranked, chunks, d_ids)
     src = F.concat_ws(":", *[F.col(c).cast("string") for c in d_ids])
     per_q = hits.groupBy(q_id).agg(
         F.array_sort(F.collect_list(F.struct("rank", F.col("score"), F.col("chunk"),
@@ -107,8 +134,8 @@ def prompts(answered: DataFrame, q_id: str) -> DataFrame:
     """Fill the generation prompt with the retrieved context (input for an external model)."""
     return answered.select(
         q_id,
-        F.concat(F.lit(PROMPT_HEAD), F.coalesce("context", F.lit("")), F.lit("\n\nQuestion: "),
-                 F.col("question"), F.lit("\nAnswer:")).alias("prompt"),
+        F.concat(F.lit(PROMPT_HEAD), F.coalesce("context", F.lit("")), F.lit(PROMPT_QUESTION),
+                 F.col("question"), F.lit(PROMPT_ANSWER)).alias("prompt"),
     )
 
 
@@ -135,33 +162,51 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, vec_id: str, vec_col: str, q_id: str,
-               q_col: str, k: int = 3, batch_rows: int = 256) -> DataFrame:
+               q_col: str, k: int = 3, block_rows: int = 4096) -> DataFrame:
     """Exact cosine top-k of ``vectors`` for each query vector.
 
-    Query vectors travel to the tasks as literals, at most ``batch_rows`` at
-    a time (streamed from the cluster with ``toLocalIterator``, so the driver
-    holds one bounded batch). Each batch is one pass over ``vectors``, scored
-    JVM-side with ``transform``/``aggregate``; there is no join at all.
+    Queries are taken in blocks of about ``block_rows``, each a broadcast of bounded size and one pass
+    over ``vectors``. A task scores its batches as matrix products and keeps ``k`` rows per query, so
+    what is shuffled is k rows per query and task. Null vectors are no candidates.
     """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    queries = queries.select(q_id, q_col).where(F.col(q_col).isNotNull())
+    n_blocks = max(1, -(-queries.count() // block_rows))
     results = None
-    batch: list = []
-
-    def flush(rows):
-        lit = F.array(*[F.struct(F.lit(r[0]).alias(q_id),
-                                 F.array(*[F.lit(float(x)) for x in r[1]]).alias("v")) for r in rows])
-        scored = vectors.select(vec_id, F.explode(F.transform(lit, lambda q: F.struct(
-            q[q_id].alias(q_id), F.round(cosine(F.col(vec_col), q["v"]), SCORE_DIGITS).alias("score")))).alias("s"))
-        return top_k(scored.select(F.col(f"s.{q_id}"), vec_id, "s.score"), [q_id], [vec_id], k)
-
-    for row in queries.select(q_id, q_col).orderBy(q_id).toLocalIterator():
-        batch.append((row[0], row[1]))
-        if len(batch) == batch_rows:
-            part = flush(batch)
-            results = part if results is None else results.unionByName(part)
-            batch = []
-    if batch or results is None:
-        part = flush(batch) if batch else None
-        if part is None:
-            return vectors.sparkSession.createDataFrame([], f"{q_id} int, {vec_id} long, score double, rank int")
+    for b in range(n_blocks):
+        block = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64(q_id), F.lit(n_blocks)) == b)
+        rows = block.collect()  # about block_rows
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [list(map(float, r[1])) for r in rows]))
+
+        def best(batches, sent=sent):
+            ids, wanted = sent.value
+            if not ids:
+                return
+            w = np.array(wanted)
+            w = w / (np.linalg.norm(w, axis=1, keepdims=True) + 1e-10)
+            held_id, held = None, None
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
+                score = np.round((x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-10)) @ w.T, SCORE_DIGITS).T
+                own = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), score.shape)
+                if held is not None:
+                    score, own = np.concatenate([held, score], axis=1), np.concatenate([held_id, own], axis=1)
+                order = np.lexsort((own, -score), axis=1)[:, :k]
+                held, held_id = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
+            if held is not None:
+                at = np.repeat(np.arange(len(ids)), held.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([str(ids[i]) for i in at]), pa.array(held_id.ravel(), batch.schema.field(0).type),
+                     pa.array(held.ravel())], [q_id, vec_id, "score"])
+
+        scored = vectors.select(vec_id, vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(
+            best, f"{q_id} string, {vec_id} {vectors.schema[vec_id].dataType.simpleString()}, score double")
+        scored = scored.withColumn(q_id, F.col(q_id).cast(queries.schema[q_id].dataType))
+        part = top_k(scored, [q_id], [vec_id], k)
         results = part if results is None else results.unionByName(part)
     return results

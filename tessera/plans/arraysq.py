@@ -159,16 +159,14 @@ def cosine_topk(spark, sf_dir):
 
 
 @register("cluster_profile", sql="""
-SELECT label, count(*) AS n,
-       round(avg(embedding[1]::DOUBLE), 6) AS mean_0, round(avg(embedding[2]::DOUBLE), 6) AS mean_1,
-       round(avg(embedding[3]::DOUBLE), 6) AS mean_2, round(avg(embedding[4]::DOUBLE), 6) AS mean_3
-FROM embeddings GROUP BY label
+SELECT label, CAST(i AS INTEGER) AS dim, count(*) AS n, round(avg(embedding[i + 1]::DOUBLE), 6) AS mean
+FROM (SELECT label, embedding, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i
 """)
 def cluster_profile(spark, sf_dir):
-    emb = Tables(spark, sf_dir).embeddings
-    return emb.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.round(F.avg(F.element_at("embedding", i + 1).cast("double")), 6).alias(f"mean_{i}") for i in range(4)])
+    """Mean of every dimension per cluster, one row per (cluster, dimension)."""
+    cells = Tables(spark, sf_dir).embeddings.select("label", F.posexplode("embedding").alias("dim", "x"))
+    return cells.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"),
+                                             F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
 @register("inertia", sql=f"""

@@ -188,16 +188,18 @@ def _bin_sql(c: str) -> str:
             f"(((SELECT max({c}) FROM lineitem) - (SELECT min({c}) FROM lineitem)) / 10)), 9) AS INTEGER)")
 
 
+NUMERIC_LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINEITEM_NUMERIC]
+
 _PAIR_SQL = "\nUNION ALL\n".join(
     f"SELECT '{a}' AS x_col, '{b}' AS y_col, l_returnflag, {_bin_sql(a)} AS x_bin, {_bin_sql(b)} AS y_bin, "
     f"count(*) AS count FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL"
-    for i, a in enumerate(LINEITEM_NUMERIC) for b in LINEITEM_NUMERIC[i + 1:]
+    for i, a in enumerate(NUMERIC_LI) for b in NUMERIC_LI[i + 1:]
 )
 
 
 @register("pair_bins", sql=_PAIR_SQL)
 def pair_bins(spark, sf_dir):
-    return cd.pair_bins(Tables(spark, sf_dir).lineitem, LINEITEM_NUMERIC, "l_returnflag", 10)
+    return cd.pair_bins(Tables(spark, sf_dir).lineitem, NUMERIC_LI, "l_returnflag", 10)
 
 
 _CORR_SQL = "\nUNION ALL\n".join(
@@ -212,11 +214,10 @@ def corr_matrix(spark, sf_dir):
     return cd.corr_matrix(Tables(spark, sf_dir).lineitem, LINEITEM_NUMERIC)
 
 
-_NUMERIC_LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINEITEM_NUMERIC]
 _CORR_NUM_SQL = "\nUNION ALL\n".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
     + ("1.0::DOUBLE AS corr" if a == b else f"round(corr({a}::DOUBLE, {b}::DOUBLE), 6) AS corr FROM lineitem")
-    for a in _NUMERIC_LI for b in _NUMERIC_LI
+    for a in NUMERIC_LI for b in NUMERIC_LI
 )
 
 

@@ -18,10 +18,10 @@ SIZE, OVERLAP = 110, 25
 STEP = SIZE - OVERLAP
 
 
-def _chunk_sql(where: str = "") -> str:
+def _chunk_sql() -> str:
     return f"""
 w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '{WS}+', ' ', 'g')), ' ') AS words
-      FROM documents {where}),
+      FROM documents),
 cm AS (SELECT doc_id, words, greatest(1, CAST(ceil((len(words) - {SIZE}) / {STEP}.0) AS BIGINT) + 1) AS m FROM w),
 ce AS (SELECT doc_id, words, unnest(range(m)) AS i FROM cm),
 ch AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk_id,
@@ -68,25 +68,23 @@ def tokens(spark, sf_dir):
 
 
 @register("vocabulary", sql=f"""
-WITH {_TOKENS_SQL.replace('FROM documents)', "FROM documents WHERE lang = 'en')")},
+WITH {_TOKENS_SQL},
 c AS (SELECT token, count(*) AS n, first(doc_id ORDER BY doc_id, pos) AS fd, first(pos ORDER BY doc_id, pos) AS fp
       FROM tk GROUP BY token)
 SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, fd, fp) AS INTEGER) AS token_id FROM c
 """)
 def vocabulary(spark, sf_dir):
-    en = Tables(spark, sf_dir).documents.where(F.col("lang") == "en")
-    return te.vocabulary(te.tokens(en, ["doc_id"]), ["doc_id", "pos"])
+    return te.vocabulary(te.tokens(Tables(spark, sf_dir).documents, ["doc_id"]), ["doc_id", "pos"])
 
 
 @register("keywords", sql=f"""
 SELECT doc_id, CASE WHEN len(list_distinct(regexp_extract_all(lower(text), '{tx.KEYWORD_PATTERN}'))) > 0
                     THEN array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '{tx.KEYWORD_PATTERN}'))), ', ')
                     ELSE '{tx.NO_KEYWORDS}' END AS keywords
-FROM documents WHERE lang = 'en'
+FROM documents
 """)
 def keywords(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents.where(F.col("lang") == "en")
-    return docs.select("doc_id", tx.keywords("text").alias("keywords"))
+    return Tables(spark, sf_dir).documents.select("doc_id", tx.keywords("text").alias("keywords"))
 
 
 def _conv_line_tokens(t):
@@ -142,14 +140,17 @@ def padded_sequences(spark, sf_dir):
     return te.pad_and_cut(pre, max_len, "prefix").select("conv_id", "turn", "line_no", "prefix_len", "x", "y")
 
 
-# ---- TF-IDF and retrieval over chunks of the English documents -------------
+# ---- TF-IDF and retrieval over chunks of all documents ----------------------
+
+TOP = 3
+
 
-def _en_chunks(t):
-    return te.chunks(t.documents.where(F.col("lang") == "en"), "doc_id", "text", SIZE, OVERLAP)
+def _chunks(t):
+    return te.chunks(t.documents, "doc_id", "text", SIZE, OVERLAP)
 
 
 _TFIDF_SQL = f"""
-{_chunk_sql("WHERE lang = 'en'")},
+{_chunk_sql()},
 nc AS (SELECT count(*) AS n FROM ch),
 tt AS (SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower(chunk), '{tx.WORD2_PATTERN}')) AS term FROM ch),
 tf AS (SELECT doc_id, chunk_id, term, count(*) AS tf FROM tt WHERE term NOT IN ({STOP_SQL}) GROUP BY ALL),
@@ -160,10 +161,13 @@ qt AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{tx.WORD2_PATTERN
 qf AS (SELECT item_id, term, count(*) AS tf FROM qt WHERE term NOT IN ({STOP_SQL}) GROUP BY ALL),
 qw AS (SELECT item_id, term, tf, tf * idf AS w FROM qf JOIN idf USING (term)),
 qp AS (SELECT item_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM qw),
-sc AS (SELECT item_id, doc_id, chunk_id, round(sum(qp.weight * dp.weight), 9) AS score
+sm AS (SELECT item_id, doc_id, chunk_id, round(sum(qp.weight * dp.weight), 9) AS score
        FROM qp JOIN dp USING (term) GROUP BY ALL),
+fc AS (SELECT doc_id, chunk_id FROM ch ORDER BY doc_id, chunk_id LIMIT {2 * TOP - 1}),
+sc AS (SELECT item_id, doc_id, chunk_id, max(score) AS score
+       FROM (SELECT * FROM sm UNION ALL SELECT item_id, doc_id, chunk_id, 0.0 FROM benchmark, fc) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk_id) AS rank FROM sc),
-top AS (SELECT * FROM rk WHERE rank <= 3)"""
+top AS (SELECT * FROM rk WHERE rank <= {TOP})"""
 
 
 _INDEX: dict = {}
@@ -178,7 +182,7 @@ def _fit(t):
     """
     key = (t.sf_dir, t.spark.sparkContext.applicationId)
     if key not in _INDEX:
-        ch = cut_lineage(_en_chunks(t))
+        ch = cut_lineage(_chunks(t))
         idf, post = rv.tfidf_fit(ch, ["doc_id", "chunk_id"], "chunk")
         _INDEX[key] = (ch, cut_lineage(idf), cut_lineage(post))
     return _INDEX[key]
@@ -220,7 +224,8 @@ def _ranked(t):
         ch, idf, post = _fit(t)
         q = rv.tfidf_transform(t.benchmark, idf, ["item_id"], "text")
         scores = rv.sparse_scores(q, post, ["item_id"], ["doc_id", "chunk_id"])
-        _INDEX[key] = (ch, cut_lineage(rv.top_k(scores, ["item_id"], ["doc_id", "chunk_id"], 3)))
+        every = rv.with_unmatched(scores, t.benchmark, ch, ["item_id"], ["doc_id", "chunk_id"], TOP)
+        _INDEX[key] = (ch, cut_lineage(rv.top_k(every, ["item_id"], ["doc_id", "chunk_id"], TOP)))
     return _INDEX[key]
 
 
@@ -252,6 +257,16 @@ def rag_answers(spark, sf_dir):
     return rv.answers(top, ch, t.benchmark, "item_id", ["doc_id", "chunk_id"]).drop("context")
 
 
+@register("rag_sources", sql=f"""
+WITH {_TFIDF_SQL}
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_id, score, chunk FROM top JOIN ch USING (doc_id, chunk_id)
+""")
+def rag_sources(spark, sf_dir):
+    """The sources of each answer with their texts, one row per source."""
+    ch, top = _ranked(Tables(spark, sf_dir))
+    return rv.sources(top, ch, ["doc_id", "chunk_id"]).select("item_id", "rank", "doc_id", "chunk_id", "score", "chunk")
+
+
 @register("rag_prompts", sql=f"""
 WITH {_ANSWER_SQL}
 SELECT item_id, '{rv.PROMPT_HEAD.replace(chr(10), "' || chr(10) || '")}' || coalesce(context, '')
@@ -268,7 +283,7 @@ def rag_prompts(spark, sf_dir):
 from tessera.operators import ngram as ng  # noqa: E402
 
 _NEXT_SQL = f"""
-el AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en'),
+el AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
 lt AS (SELECT list_filter(string_split(regexp_replace(lower(line), '{KF}', ' ', 'g'), ' '), lambda t: t <> '') AS toks
        FROM el),
 cr AS (SELECT n, array_to_string(toks[pos - n : pos - 1], ' ') AS context, toks[pos] AS next_word
@@ -278,8 +293,8 @@ nb AS (SELECT CAST(n AS INTEGER) AS n, context, first(next_word ORDER BY cnt DES
               max(cnt) AS n_next, CAST(sum(cnt) AS BIGINT) AS n_context FROM cc GROUP BY n, context)"""
 
 
-def _en_lines(t):
-    lines = te.text_lines(t.documents.where(F.col("lang") == "en"), ["doc_id"])
+def _lines(t):
+    lines = te.text_lines(t.documents, ["doc_id"])
     return lines.select(tx.keras_tokens("line").alias("toks"))
 
 
@@ -287,7 +302,7 @@ def _next_model(t):
     """The next-word count table, built once per session (read by generation too)."""
     key = ("next_word", t.sf_dir, t.spark.sparkContext.applicationId)
     if key not in _INDEX:
-        _INDEX[key] = cut_lineage(ng.next_word_table(_en_lines(t), "toks", 3))
+        _INDEX[key] = cut_lineage(ng.next_word_table(_lines(t), "toks", 3))
     return _INDEX[key]
 
 
@@ -304,7 +319,7 @@ def _ctx_sql(k: int) -> str:
 @register("generate_text", sql=f"""
 WITH RECURSIVE {_NEXT_SQL},
 sd AS (SELECT item_id,
-              list_filter(string_split(regexp_replace(lower(text), '{KF}', ' ', 'g'), ' '), lambda t: t <> '')[1:3] AS toks
+              list_filter(string_split(regexp_replace(lower(text), '{KF}', ' ', 'g'), ' '), lambda t: t <> '') AS toks
        FROM benchmark),
 g AS (SELECT item_id, 0 AS step, toks FROM sd
       UNION ALL
@@ -316,6 +331,6 @@ SELECT item_id, array_to_string(toks, ' ') AS generated FROM g WHERE step = 10
 def generate_text(spark, sf_dir):
     t = Tables(spark, sf_dir)
     model = _next_model(t)
-    seeds = t.benchmark.select("item_id", F.slice(tx.keras_tokens("text"), 1, 3).alias("toks"))
+    seeds = t.benchmark.select("item_id", tx.keras_tokens("text").alias("toks"))
     out = ng.generate(seeds, "item_id", "toks", model, 10, 3)
     return out.select("item_id", F.array_join("toks", " ").alias("generated"))
