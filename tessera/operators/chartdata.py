@@ -15,6 +15,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import broadcast_if_small
+from tessera.operators.profile import grouped_quantiles
+
 
 def _moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     aggs = []
@@ -72,21 +75,16 @@ def pie_shares(df: DataFrame, col: str, top: int = 30, digits: int = 1) -> DataF
     )
 
 
-def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5,
-              digits: int = 6, approx_accuracy: int | None = None) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5, digits: int = 6) -> DataFrame:
     """Per group: quartiles, whisker ends (last data point within 1.5 IQR), outlier count.
 
-    Quartiles come from a grouped aggregate (partial maps per partition); the
-    per-group fences are joined back to the rows -- a table of one row per
-    group, which AQE broadcasts when small -- and whiskers are conditional
-    min/max, so no group is ever materialised in one task.
+    Quartiles come from a range sort (``profile.grouped_quantiles``); the fences, one row per group, are
+    joined back to the rows (broadcast once measured to be small) and whiskers are conditional min/max,
+    so no group is ever gathered in one task.
     """
     x = F.col(value).cast("double")
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile_approx(x, probs, approx_accuracy) if approx_accuracy else F.percentile(x, probs)
-    quart = (df.groupBy(group).agg(q.alias("q"))
-             .select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                     F.col("q")[2].alias("q3")))
+    quart = grouped_quantiles(df.select(group, x.alias("__v")), [group], "__v", (0.25, 0.5, 0.75),
+                              ("q1", "median", "q3"))
     fenced = quart.withColumn("iqr", F.col("q3") - F.col("q1")).select(
         group, "q1", "median", "q3",
         (F.col("q1") - whisker * F.col("iqr")).alias("lo_fence"),
@@ -96,7 +94,7 @@ def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5,
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
     return (
         df.select(group, x.alias("__v")).where(v.isNotNull())
-        .join(fenced, group)
+        .join(broadcast_if_small(fenced), group)
         .groupBy(group, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_lo"),

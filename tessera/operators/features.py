@@ -7,28 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import global_index
+from tessera.operators.ordering import broadcast_if_small, global_index
 
-# Largest table we hint as a broadcast side without asking Spark's own estimate.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` only after proving it has at most ``max_rows`` rows.
-
-    The proof is a ``limit(max_rows + 1).count()`` (stops early on big
-    inputs). Above the bound the frame is returned unhinted, and Spark picks
-    a shuffle join -- or AQE a runtime broadcast if it turns out small.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def lookup(df: DataFrame, dim: DataFrame, on, how: str = "inner",
-           max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Dimension lookup join; the dimension is broadcast behind a size check."""
-    return df.join(sized_broadcast(dim, max_rows), on, how)
+def lookup(df: DataFrame, dim: DataFrame, on, how: str = "inner", **bounds) -> DataFrame:
+    """Dimension lookup join; the dimension is broadcast once its rows and bytes are measured to be small."""
+    return df.join(broadcast_if_small(dim, **bounds), on, how)
 
 
 def label_codes(df: DataFrame, col: str, out: str = "code") -> DataFrame:

@@ -38,46 +38,42 @@ def column_info(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = 6,
-             approx_accuracy: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = 6) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (linear interpolation), max per column.
 
-    Exact quantiles keep a value->count map per group, so their memory grows
-    with the number of DISTINCT values; pass ``approx_accuracy`` to switch to
-    ``percentile_approx``, or use ``exact_quantiles_by_sort`` (range sort +
-    global ranks) for an exact answer on a very high-cardinality column.
+    Quantiles are exact and come from one range sort of all (column, value) pairs; see ``grouped_quantiles``.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, probs, approx_accuracy) if approx_accuracy
-             else F.percentile(x, probs))
-        aggs += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-            F.min(x).alias(f"min{i}"), q.alias(f"q{i}"), F.max(x).alias(f"max{i}"),
-        ]
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
     one = df.agg(*aggs)
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__column"), F.col(c).cast("double").alias("__value")) for i, c in enumerate(cols)])))
+    quantiles = grouped_quantiles(cells, ["__column"], "__value", (0.25, 0.5, 0.75), ("p25", "p50", "p75"))
 
     def r(col: Column) -> Column:
         return F.round(col, digits) if digits is not None else col
 
     rows = [
         F.struct(
+            F.lit(i).alias("__i"),
             F.lit(c).alias("column_name"),
             F.col(f"n{i}").alias("count"),
             r(F.col(f"mean{i}")).alias("mean"),
             r(F.col(f"std{i}")).alias("std"),
             F.col(f"min{i}").alias("min"),
-            r(F.col(f"q{i}")[0]).alias("p25"),
-            r(F.col(f"q{i}")[1]).alias("p50"),
-            r(F.col(f"q{i}")[2]).alias("p75"),
             F.col(f"max{i}").alias("max"),
         )
         for i, c in enumerate(cols)
     ]
-    return one.select(F.inline(F.array(*rows)))
+    moments = one.select(F.inline(F.array(*rows)))
+    # a row per column on either side
+    return moments.join(F.broadcast(quantiles), F.col("__i") == F.col("__column"), "left").select(
+        "column_name", "count", "mean", "std", "min", r(F.col("p25")).alias("p25"), r(F.col("p50")).alias("p50"),
+        r(F.col("p75")).alias("p75"), "max")
 
 
 def null_counts(df: DataFrame, table_name: str | None = None) -> DataFrame:
@@ -152,25 +148,41 @@ def safe_ratio(num: Column | str, den: Column | str, scale: float = 1.0,
     return v
 
 
-def exact_quantiles_by_sort(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> dict[float, float | None]:
-    """Exact linear-interpolation quantiles without a per-group value map.
+def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value: str, probs: Sequence[float],
+                      names: Sequence[str]) -> DataFrame:
+    """Exact linear-interpolation quantiles of every group: (*group_cols, *names); nulls are left out.
 
-    ``percentile`` merges value->count maps in one task, which grows with the
-    number of distinct values. Here the column is range-sorted, ranked with
-    ``ordering.global_index`` and only the (at most 2 per quantile) rows at
-    ranks floor/ceil(p * (n - 1)) are read back -- a bounded result.
+    No group is gathered anywhere: (group, value) pairs are range-sorted and numbered with
+    ``ordering.global_index``, a group's first number and count (partially aggregated) give the at most
+    two numbers that each quantile needs, and only these rows are read back by a join on the number.
     """
-    from tessera.operators.ordering import global_index
-
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = vals.count()
-    if n == 0:
-        return {p: None for p in probs}
-    want = {}
-    for p in probs:
-        pos = p * (n - 1)
-        want[p] = (pos, int(pos // 1), int(-(-pos // 1)))
-    ranks = sorted({r for _, lo, hi in want.values() for r in (lo, hi)})
-    idx = global_index(vals, ["v"], "i")
-    got = {r["i"]: r["v"] for r in idx.where(F.col("i").isin(ranks)).collect()}
-    return {p: got[lo] + (pos - lo) * (got[hi] - got[lo]) for p, (pos, lo, hi) in want.items()}
+    from tessera.operators.ordering import broadcast_if_small, global_index
+
+    values = df.select(*group_cols, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    placed = global_index(values, [*group_cols, "__v"], "__at")
+    spans = placed.groupBy(*group_cols).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    wanted = []
+    for p, name in zip(probs, names):
+        at = F.lit(float(p)) * (F.col("__n") - 1)
+        low = F.floor(at)
+        wanted += [F.struct(F.lit(name).alias("__name"), (F.col("__first") + low).alias("__want"),
+                            (1 - (at - low)).alias("__share")),
+                   F.struct(F.lit(name).alias("__name"), (F.col("__first") + F.ceil(at)).alias("__want"),
+                            (at - low).alias("__share"))]
+    asked = spans.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group_cols)], F.inline(F.array(*wanted)))
+    found = placed.select("__at", "__v").join(broadcast_if_small(asked), F.col("__at") == F.col("__want"))
+    # low + (high - low) * part, as the two ends weighted: exact where both ends are equal
+    ends = found.groupBy(*[f"__g{i}" for i in range(len(group_cols))], "__name").agg(
+        F.min("__v").alias("__low"), F.max("__v").alias("__high"),
+        F.max(F.struct("__want", "__share"))["__share"].alias("__part"))
+    value_of = F.col("__low") + F.col("__part") * (F.col("__high") - F.col("__low"))
+    wide = ends.groupBy(*[f"__g{i}" for i in range(len(group_cols))]).agg(
+        *[F.max(F.when(F.col("__name") == name, value_of)).alias(name) for name in names])
+    return wide.select(*[F.col(f"__g{i}").alias(c) for i, c in enumerate(group_cols)], *names)
+
+
+def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> dict[float, float | None]:
+    """Exact quantiles of one column, None where it has no value."""
+    names = [f"q{i}" for i in range(len(probs))]
+    row = grouped_quantiles(df.select(F.lit(0).alias("__all"), col), ["__all"], col, probs, names).first()
+    return {p: row[n] if row else None for p, n in zip(probs, names)}

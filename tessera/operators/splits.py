@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import global_index, rank_within
+from tessera.operators.ordering import broadcast_if_small, global_index, rank_within
 
 # Fixed constants of the shared hash.
 HASH_MULTIPLIER = 2654435761
@@ -67,9 +67,9 @@ def stratified_split(df: DataFrame, label: str, id_col: str, train_frac: float =
     """
     keyed = df.withColumn("__h", hash_bits(id_col, seed))
     ranked = rank_within(keyed, [label], ["__h", id_col], "__r")
-    sizes = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = keyed.groupBy(F.col(label).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
     return (
-        ranked.join(sizes, label)
+        ranked.join(broadcast_if_small(sizes), F.col(label).eqNullSafe(F.col("__class"))).drop("__class")
         .withColumn(out, F.when(F.col("__r") < F.round(F.col("__n") * F.lit(train_frac)), "train")
                     .otherwise("test"))
         .drop("__h", "__r", "__n")
@@ -82,7 +82,7 @@ def exact_split(df: DataFrame, id_col: str, val_frac: float = 0.15, seed: int =
     n = df.count()
     n_val = int(val_frac * n)
     keyed = df.withColumn("__h", hash_bits(id_col, seed))
-    idx = global_index(keyed, ["__h", id_col], "__i")
+    idx = global_index(keyed, ["__h", id_col], "__i", rows=n)
     return idx.withColumn(out, F.when(F.col("__i") < n_val, "val").otherwise("train")).drop("__h", "__i")
 
 
@@ -91,7 +91,7 @@ def validation_tail(df: DataFrame, order_col: str, val_frac: float = 0.1,
     """The last rows in ``order_col`` order form the validation part (Keras ``validation_split``)."""
     n = df.count()
     cut = int(n * (1.0 - val_frac))
-    idx = global_index(df, [order_col], "__i")
+    idx = global_index(df, [order_col], "__i", rows=n)
     return idx.withColumn(out, F.when(F.col("__i") >= cut, "val").otherwise("train")).drop("__i")
 
 
@@ -106,7 +106,7 @@ def mini_batches(df: DataFrame, id_col: str, batch_size: int = 128, epochs: int
     n = df.count()
     epoch = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")
     per_epoch = df.select(F.col(id_col), epoch).withColumn("__h", epoch_hash(id_col, "epoch", seed))
-    idx = global_index(per_epoch, ["epoch", "__h", id_col], "__i")
+    idx = global_index(per_epoch, ["epoch", "__h", id_col], "__i", rows=n * epochs)
     rank = F.col("__i") - F.col("epoch") * F.lit(n)
     out = idx.select(
         "epoch", id_col,

@@ -2,13 +2,12 @@
 
 Jobs never invent a machine-local scratch location on a cluster: the
 shared folder is whatever the session names in ``spark.checkpoint.dir``.
-Only when that setting is absent (local tests, the bench) do we fall
-back to a fresh folder under ``/tmp``.
+Where that setting is absent, a local master (tests, the bench) gets a
+fresh folder under ``/tmp``; any other master is refused.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -46,25 +45,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """Return the shared checkpoint folder; a local one is made only if it is unset and the master local."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
     if not configured:
-        # Unset: we are in a test or local bench, never on a cluster.
+        if not is_local(sc.master):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def is_local(master: str) -> bool:
+    """True where driver and executors are one process and so share every folder."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, unique path inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+    """A fresh, unique path inside the shared checkpoint folder (a URI if the folder is one)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -58,7 +58,71 @@ def test_sort_based_quantiles_match_percentile(spark):
     rng = random.Random(9)
     rows = [(rng.choice([rng.random() * 100, 7.0, 7.0, None]),) for _ in range(2001)]
     df = spark.createDataFrame(rows, "x double")
-    got = pf.exact_quantiles_by_sort(df, "x")
+    got = pf.exact_quantiles(df, "x")
     want = df.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).first()["q"]
     for p, w in zip((0.25, 0.5, 0.75), want):
         assert math.isclose(got[p], w, rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_describe_and_box_stats_gather_no_value_map(spark, capsys):
+    q = entry.queries()
+    for key in ("describe", "box_stats"):
+        plan = _plan(q[key](spark, SMOKE_DIR), capsys)
+        assert "percentile" not in plan.lower() and "collect_" not in plan, key
+
+
+def test_grouped_quantiles(spark):
+    import random
+    from statistics import quantiles
+
+    rng = random.Random(2)
+    rows = [(g, rng.choice([rng.random(), 0.5])) for g in ("a", "b", None) for _ in range(rng.randint(50, 200))]
+    rows += [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    got = {r["g"]: (r["p25"], r["p50"], r["p75"]) for r in pf.grouped_quantiles(
+        spark.createDataFrame(rows, "g string, x double"), ["g"], "x", (0.25, 0.5, 0.75), ("p25", "p50", "p75")).collect()}
+    for g in ("a", "b", None):
+        want = quantiles([x for k, x in rows if k == g], n=4, method="inclusive")
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got[g], want))
+    assert got["one"] == (3.0, 3.0, 3.0) and got["two"] == (1.25, 1.5, 1.75) and "none" not in got
+
+
+def test_small_inputs_of_profile_operators(spark):
+    df = spark.createDataFrame([(None, None)], "x double, g string")
+    for frame, n in ((df, 0), (df.limit(0), 0)):
+        r = pf.describe(frame, ["x"]).first()
+        assert r["count"] == n and r["mean"] is None and r["p50"] is None
+    r = pf.describe(spark.createDataFrame([(2.0,)], "x double")).first()
+    assert (r["count"], r["p25"], r["p75"], r["std"]) == (1, 2.0, 2.0, None)
+
+
+def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
+    import pytest
+    from tessera import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+    assert session.is_local("local") and session.is_local("local[8]") and not session.is_local("local-cluster[2,1,1024]")
+
+
+def test_broadcast_needs_few_rows_and_bytes(spark, capsys):
+    from tessera.operators.ordering import broadcast_if_small
+
+    small = spark.range(10).withColumn("t", F.lit("x" * 1000))
+    big = spark.range(100).select(F.col("id").alias("id"))
+    for df, hinted in ((broadcast_if_small(small), True), (broadcast_if_small(small, max_rows=5), False),
+                       (broadcast_if_small(small, max_bytes=5000), False)):
+        plan = big.join(df, "id")._jdf.queryExecution().logical().toString()
+        assert ("broadcast" in plan.lower()) == hinted
