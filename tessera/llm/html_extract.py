@@ -33,10 +33,14 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
                   "toolbar form".split())
 NAMES = frozenset("nav navbar navigation menu menubar topnav subnav breadcrumb breadcrumbs header masthead topbar "
                   "footer colophon bottombar sidebar aside rail ad ads adv advert adverts advertisement "
-                  "advertising adsense adbox banner promo promotion sponsor sponsored cookie cookies consent gdpr "
-                  "notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-                  "comment comments commentlist respond replies disqus discussion related recommended recommendations "
-                  "share sharing social search pagination pager toolbar widget widgets".split())
+                  "advertising adsense adsbygoogle adbox adslot adunit banner promo promotion sponsor sponsored cookie "
+                  "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
+                  "signup login copyright comment comments commentlist respond replies disqus discussion related "
+                  "recommended recommendations share sharing social search pagination pager toolbar widget "
+                  "widgets".split())
+ALWAYS = frozenset("comment comments cookie cookies sidebar advert advertisement newsletter".split())
+MODIFIERS = frozenset("has with without no".split())
+ARTICLE_NAMES = frozenset("post entry article content story".split())
 CONTAINERS = frozenset("html body main article section div center table tbody thead tr td font".split())
 CONTENT = frozenset("content article main body post entry story text page".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -47,6 +51,7 @@ KEEPS_OPEN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("
               "th": ("table",), "option": ("select",)}
 # ------------------------------------------------------------------------------------------------
 
+NAME_PARTS = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = regex.compile(r"[.,;:!?。，、；：！？…]")
 #: A tag that the page ends in.
 CUT_OFF = regex.compile(r"</?[a-zA-Z][^<>]*\Z")
@@ -67,11 +72,21 @@ def _own_words(tag: str, attrs: dict[str, str | None]) -> bool:
         return True
     if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
         return True
-    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
-        parts = set(regex.split(r"[-_:]+", name))
-        if parts & NAMES and not parts & CONTENT:
-            return True
-    return False
+    return any(map(_names_an_aside, f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()))
+
+
+def _names_an_aside(name: str) -> bool:
+    """True for class and id names like ``ad``, ``main-nav``, ``siteFooter`` or ``sidebar-2``.
+
+    What a compound name names stands at its end ("post-comments") or its start ("footer-text");
+    "has-sidebar" and "content-with-sidebar" name the page, "entry-header" the article's own head.
+    """
+    parts = [x.lower() for x in NAME_PARTS.findall(name)]
+    if not NAMES.intersection(parts) or MODIFIERS.intersection(parts):
+        return False
+    if parts[-1] == "header" and ARTICLE_NAMES.intersection(parts):
+        return False
+    return bool(ALWAYS.intersection(parts)) or parts[0] in NAMES or parts[-1] not in CONTENT
 
 
 class _Page(HTMLParser):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import stored
+from tessera.operators.ordering import broadcast_if_small
 
 UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}+")
@@ -197,16 +198,23 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Piece probabilities of every language of ``labelled``.
 
     At most ``docs_per_language`` rows of a language are used: those whose id hashes lowest, so the same
-    rows at any partitioning. They are chosen from ids and labels alone; their texts (whole) are read
-    afterwards. Rows with a null id, text or label are not used; no row at all gives a model without
+    rows at any partitioning. They are chosen from ids and labels alone (rows are counted per language, and
+    only ids with hashes in the lowest part that surely holds enough are ranked); their texts (whole) are
+    read afterwards. Rows with a null id, text or label are not used; no row at all gives a model without
     languages, which answers ``und``.
     """
     spark = labelled.sparkSession
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col))
-    chosen = usable.select(id_col, lang_col).withColumn("__rank", F.row_number().over(order))
+    hashed = usable.select(id_col, lang_col, F.xxhash64(F.col(id_col).cast("string")).alias("__hash"))
+    part = F.least(F.lit(1.0), F.lit(4.0 * docs_per_language + 100) / F.col("count"))
+    limits = usable.groupBy(F.col(lang_col).alias("__lang")).count().select(  # a row per language
+        "__lang", (part * 2.0**64 - 2.0**63).alias("__limit"))
+    near = hashed.join(broadcast_if_small(limits), F.col(lang_col) == F.col("__lang")).where(
+        F.col("__hash").cast("double") <= F.col("__limit"))
+    order = Window.partitionBy(lang_col).orderBy("__hash", id_col)
+    chosen = near.withColumn("__rank", F.row_number().over(order))
     chosen = stored(chosen.where(F.col("__rank") <= docs_per_language).select(F.col(id_col).alias("__id")), "lang-rows")
-    sample = usable.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi").select(lang_col, text_col)
+    sample = usable.join(broadcast_if_small(chosen), F.col(id_col) == F.col("__id"), "left_semi").select(lang_col, text_col)
 
     def count(batches):
         for pdf in batches:

@@ -44,6 +44,16 @@ def test_layouts(name):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize("name,aside", [
+    ("ad", True), ("main-nav", True), ("siteFooter", True), ("sidebar-2", True), ("post-comments", True),
+    ("comment-body", True), ("page-header", True), ("cookie_notice", True), ("footer-text", True), ("top:menu", True),
+    ("has-sidebar", False), ("content-with-sidebar", False), ("entry-header", False), ("article-body", False),
+    ("page", False), ("main", False), ("lead", False), ("shadow", False), ("download", False), ("", False)])
+def test_names_of_elements(name, aside):
+    page = f'<body><div class="{name}"><p>inside, of it</p></div><div id="x"><p>{P1}</p><p>{P2}</p></div></body>'
+    assert ("inside" not in html_extract.main_text(f"<main>{page}</main>")) == aside
+
+
 def test_deep_and_long_pages():
     assert html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     text = "word, " * 200_000
