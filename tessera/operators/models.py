@@ -102,9 +102,11 @@ def mlp(layers: Sequence[int], seed: int = 42, max_iter: int = 100, label: str =
 
 
 def kmeans_sweep(data: DataFrame, ks: Sequence[int], restarts: int = 10, seed: int = 42,
-                 parallelism: int = 4) -> DataFrame:
+                 parallelism: int = 4) -> tuple[DataFrame, dict]:
     """Per k: the lowest-cost fit over ``restarts`` seeds; inertia and silhouette (squared Euclidean).
 
+    Returns the table and the chosen model of each k.
+
     The (k, seed) fits are independent, so they are submitted as concurrent
     Spark jobs from a small thread pool (as ``CrossValidator(parallelism)``
     does); each fit is seeded, so the result does not depend on scheduling.
@@ -133,7 +135,8 @@ def kmeans_sweep(data: DataFrame, ks: Sequence[int], restarts: int = 10, seed: i
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         sil = dict(pool.map(score, sorted(best)))
     out = [(k, float(best[k][0]), float(sil[k])) for k in sorted(best)]
-    return spark.createDataFrame(out, "k int, inertia double, silhouette double")
+    return (spark.createDataFrame(out, "k int, inertia double, silhouette double"),
+            {k: m for k, (_, _, m) in best.items()})
 
 
 def pca_fit(df: DataFrame, k: int, features: str = "features"):

@@ -1,21 +1,23 @@
 """Model, clustering and projection queries (rows-only checks: learners are not SQL).
 
-Query settings are small (tens of trees, a few restarts) so the registry
-stays quick; the operator functions expose the reference's full settings
-(300 trees, 10 restarts, ...) as parameters.
+All settings are those of the learners as documented: 100 trees and rounds for
+regression and forecasts, 300 for the classifiers, 10 k-means restarts, the
+full grid. Training frames are written once and laid out in few partitions
+where they are small, since the learners run a job per tree level.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import arrays as ar
+from tessera.operators import density as dn
 from tessera.operators import features as fe
 from tessera.operators import metrics as me
 from tessera.operators import models as mo
@@ -24,11 +26,20 @@ from tessera.operators import timeseries as ts
 from tessera.operators.ordering import global_index
 from tessera.plans.registry import register
 from tessera.session import cut_lineage, scratch_path
+from tessera.sources import files as fs
 from tessera.sources.tables import Tables
 
-TREES, ROUNDS, RESTARTS = 20, 20, 3
+REGRESSION_TREES, REGRESSION_ROUNDS = 100, 100
+CLASSIFIER_TREES, CLASSIFIER_ROUNDS = 300, 300
+RESTARTS = 10
+GRID_TREES, GRID_DEPTHS, GRID_MIN_LEAF = [50, 100, 200], [5, 10, 30], [1, 2]
+#: Passes over the data of the dense classifiers.
+DENSE_EPOCHS = 10
+DENSE_LAYERS = {"dense_small": [512, 256], "dense_deep": [1024, 512, 256, 128]}
+#: Rows of a training partition.
+TRAIN_ROWS = 50_000
 CHURN_FEATURES = ["c_acctbal", "n_orders", "total_spent", "avg_price", "c_nationkey", "segment"]
-CLUSTER_FEATURES = ["c_acctbal", "n_orders", "total_spent", "avg_price"]
+CLUSTER_FEATURES = CHURN_FEATURES
 
 _memo: dict = {}
 
@@ -48,17 +59,24 @@ def customer_table(t) -> DataFrame:
         F.coalesce("avg_price", F.lit(0.0)).alias("avg_price"), churned.cast("double").alias("label"))
 
 
+def _training(df: DataFrame) -> DataFrame:
+    """The frame, written once, in as few partitions as its rows allow."""
+    kept = cut_lineage(df)
+    return kept.coalesce(max(1, -(-kept.count() // TRAIN_ROWS)))
+
+
 def _churn(spark, sf_dir):
     key = ("churn", sf_dir, spark.sparkContext.applicationId)
     if key in _memo:
         return _memo[key]
     t = Tables(spark, sf_dir)
-    cust = fe.with_class_weight(customer_table(t), "label", "weight")
-    split = sp.stratified_split(cust, "label", "c_custkey", 0.8, 42)
-    data = cut_lineage(mo.assemble(split, CHURN_FEATURES))
-    train, test = data.where("split = 'train'"), data.where("split = 'test'")
+    split = sp.stratified_split(customer_table(t), "label", "c_custkey", 0.8, 42)
+    data = _training(mo.assemble(split, CHURN_FEATURES))
+    # weights of the training rows alone
+    train = _training(fe.with_class_weight(data.where("split = 'train'"), "label", "weight"))
+    test = data.where("split = 'test'")
     fitted, scores = {}, []
-    for name, est in mo.classifiers(42, TREES, ROUNDS, "weight").items():
+    for name, est in mo.classifiers(42, CLASSIFIER_TREES, CLASSIFIER_ROUNDS, "weight").items():
         m = est.fit(train)
         fitted[name] = m
         scores.append(mo.classification_scores(m.transform(test), "label").select(F.lit(name).alias("model"), "*"))
@@ -78,8 +96,9 @@ def model_comparison(spark, sf_dir):
 
 
 def _best_name(long: DataFrame) -> DataFrame:
+    """Highest AUC, the smallest name on a tie."""
     auc = long.where(F.col("metric") == "roc_auc")
-    return auc.agg(F.max_by("model", F.struct("value", F.col("model"))).alias("best_model"),
+    return auc.agg(F.min_by("model", F.struct(-F.col("value"), F.col("model"))).alias("best_model"),
                    F.max("value").alias("roc_auc"))
 
 
@@ -106,10 +125,10 @@ def class_report_model(spark, sf_dir):
 
 @register("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
-    _, train, test, _, _ = _churn(spark, sf_dir)
-    raw = train.drop("features")
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=CHURN_FEATURES, outputCol="features"),
-                            mo.classifiers(42, 10, 10)["random_forest"]]).fit(raw)
+    """The chosen classifier, saved with its feature step and loaded again: equal predictions on the test rows."""
+    _, _, test, fitted, long = _churn(spark, sf_dir)
+    best = fitted[_best_name(long).first()["best_model"]]
+    pipe = PipelineModel(stages=[VectorAssembler(inputCols=CHURN_FEATURES, outputCol="features"), best])
     reloaded = mo.save_and_reload(pipe, scratch_path(spark, "model"))
     a = pipe.transform(test.drop("features")).select("c_custkey", F.col("prediction").alias("p1"))
     b = reloaded.transform(test.drop("features")).select("c_custkey", F.col("prediction").alias("p2"))
@@ -127,27 +146,51 @@ def _lineitem_model_frame(t):
 
 @register("regress_compare")
 def regress_compare(spark, sf_dir):
-    data = cut_lineage(_lineitem_model_frame(Tables(spark, sf_dir)).select("features", "label", "split"))
-    train, test = data.where("split = 'train'"), data.where("split = 'test'")
-    return mo.regression_compare(train, test, "label", mo.regressors(42, TREES, ROUNDS))
+    return _regression(spark, sf_dir)
+
+
+def _regression(spark, sf_dir):
+    key = ("regression", sf_dir, spark.sparkContext.applicationId)
+    if key not in _memo:
+        data = _training(_lineitem_model_frame(Tables(spark, sf_dir)).select("features", "label", "split"))
+        train, test = data.where("split = 'train'"), data.where("split = 'test'")
+        models = mo.regressors(42, REGRESSION_TREES, REGRESSION_ROUNDS)
+        _memo[key] = cut_lineage(mo.regression_compare(train, test, "label", models))
+    return _memo[key]
+
+
+@register("best_regressor")
+def best_regressor(spark, sf_dir):
+    """The regressor with the highest R2 above 0 ('' and 0 if none is), the first in order on a tie."""
+    good = _regression(spark, sf_dir).where(F.col("r2") > 0)
+    order = F.when(F.col("model") == "linear_regression", 0).when(F.col("model") == "random_forest", 1).otherwise(2)
+    return good.agg(F.coalesce(F.min_by("model", F.struct(-F.col("r2"), order)), F.lit("")).alias("best_model"),
+                    F.coalesce(F.max("r2"), F.lit(0.0)).alias("r2"))
 
 
 @register("grid_search")
 def grid_search(spark, sf_dir):
+    """Every setting with its cross-validated R2; the best one refitted, with its hold-out errors."""
     cust = customer_table(Tables(spark, sf_dir)).withColumn("label", F.col("total_spent"))
-    n = cust.count()
+    split = sp.hash_split(cust, "c_custkey", 0.8, 42)
+    features = [c for c in CHURN_FEATURES if c != "total_spent"]
+    test = mo.assemble(split.where("split = 'test'"), features)
+    chosen = split.where("split = 'train'")
+    n = chosen.count()
     # contiguous folds in key order (an unshuffled 3-fold split)
-    idx = global_index(cust, ["c_custkey"], "__i")
+    idx = global_index(chosen, ["c_custkey"], "__i", rows=n)
     folded = idx.withColumn("fold", F.floor(F.col("__i") * 3 / F.lit(max(n, 1))).cast("int"))
-    data = cut_lineage(mo.assemble(folded, ["c_acctbal", "n_orders", "avg_price", "c_nationkey"]))
-    model, grid = mo.grid_search(data, "label", "fold", [10, 20], [3, 5], [1, 2])
+    data = _training(mo.assemble(folded, features))
+    model, grid = mo.grid_search(data, "label", "fold", GRID_TREES, GRID_DEPTHS, GRID_MIN_LEAF, parallelism=8)
+    held = me.regression_metrics(model.transform(test), "label", "prediction").first()
     rows = []
     for params, score in zip(grid, model.avgMetrics):
         p = {k.name: v for k, v in params.items()}
         rows.append((int(p["numTrees"]), int(p["maxDepth"]), int(p["minInstancesPerNode"]), float(score)))
     res = spark.createDataFrame(rows, "num_trees int, max_depth int, min_leaf int, cv_r2 double")
     w = Window.orderBy(F.desc("cv_r2"), "num_trees", "max_depth", "min_leaf")
-    return res.withColumn("is_best", F.row_number().over(w) == 1)
+    best = res.withColumn("is_best", F.row_number().over(w) == 1)
+    return best.select("*", *[F.when(F.col("is_best"), F.lit(held[m])).alias(f"holdout_{m}") for m in ("mae", "rmse", "r2")])
 
 
 @register("forecast")
@@ -156,9 +199,9 @@ def forecast(spark, sf_dir):
     if key not in _memo:
         feats = ts.ts_features(Tables(spark, sf_dir).orders, "o_orderdate", "o_totalprice")
         split = ts.ordered_split(feats, "date", 0.8)
-        data = cut_lineage(mo.assemble(split, ["lag_1", "lag_2", "lag_3", "rolling_3"])
-                           .withColumn("label", F.col("total")))
-        model = mo.regressors(42, TREES, ROUNDS)["gradient_boosting"].fit(data.where("split = 'train'"))
+        data = _training(mo.assemble(split, ["lag_1", "lag_2", "lag_3", "rolling_3"])
+                         .withColumn("label", F.col("total")))
+        model = mo.regressors(42, REGRESSION_TREES, REGRESSION_ROUNDS)["gradient_boosting"].fit(data.where("split = 'train'"))
         pred = model.transform(data)
         _memo[key] = cut_lineage(pred.select("date", "split", F.col("total").alias("actual"),
                                              F.round("prediction", 2).alias("forecast"),
@@ -181,12 +224,13 @@ def _embedding_frame(t):
 
 @register("mlp_accuracy")
 def mlp_accuracy(spark, sf_dir):
-    data = cut_lineage(_embedding_frame(Tables(spark, sf_dir)).withColumn("label", F.col("label").cast("double")))
+    data = _training(_embedding_frame(Tables(spark, sf_dir)).withColumn("label", F.col("label").cast("double")))
     k = int(data.agg(F.max("label")).first()[0]) + 1
+    width = data.first()["features"].size
     train, test = data.where("split = 'train'"), data.where("split = 'val'")
     rows = []
-    for name, layers in (("dense_small", [64, 32, k]), ("dense_deep", [64, 64, 32, k])):
-        pred = mo.mlp(layers, 42, 100).fit(train).transform(test)
+    for name, hidden in DENSE_LAYERS.items():
+        pred = mo.mlp([width, *hidden, k], 42, DENSE_EPOCHS).fit(train).transform(test)
         acc = me.class_metrics(pred.withColumn("y", F.col("label").cast("int"))
                                .withColumn("p", F.col("prediction").cast("int")), "y", "p").select("accuracy")
         rows.append(acc.select(F.lit(name).alias("model"), "accuracy"))
@@ -194,20 +238,50 @@ def mlp_accuracy(spark, sf_dir):
 
 
 def _scaled_customers(spark, sf_dir):
+    key = ("scaled", sf_dir, spark.sparkContext.applicationId)
+    if key not in _memo:
+        _memo[key] = _scale(spark, sf_dir)
+    return _memo[key]
+
+
+def _scale(spark, sf_dir):
     cust = customer_table(Tables(spark, sf_dir))
     moments = fe.fit_standard_scaler(cust, CLUSTER_FEATURES)
     scaled = fe.apply_standard_scaler(cust, moments, "_z")
-    return cut_lineage(mo.assemble(scaled, [c + "_z" for c in CLUSTER_FEATURES]))
+    return _training(mo.assemble(scaled, [c + "_z" for c in CLUSTER_FEATURES]))
 
 
 def _sweep(spark, sf_dir):
     key = ("sweep", sf_dir, spark.sparkContext.applicationId)
     if key not in _memo:
         data = _scaled_customers(spark, sf_dir)
-        _memo[key] = (data, mo.kmeans_sweep(data, range(2, 9), RESTARTS, 42))
+        sweep, models = mo.kmeans_sweep(data, range(2, 9), RESTARTS, 42)
+        best_k = sweep.orderBy(F.desc("silhouette"), "k").first()["k"]
+        assigned = models[best_k].transform(data).withColumnRenamed("prediction", "kmeans_cluster")
+        _memo[key] = (data, sweep, cut_lineage(assigned))
     return _memo[key]
 
 
+def _profile(df: DataFrame, cluster: str) -> DataFrame:
+    return df.groupBy(F.col(cluster).alias("cluster")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 4).alias("churn_rate"),
+        *[F.round(F.avg(c), 2).alias(f"mean_{c}") for c in CLUSTER_FEATURES])
+
+
+def _segments(spark, sf_dir) -> DataFrame:
+    """Customers with encodings, features and both cluster ids, one row each."""
+    assigned = _sweep(spark, sf_dir)[2]
+    return assigned.drop("features", *[c + "_z" for c in CLUSTER_FEATURES]).join(
+        _dbscan(spark, sf_dir).select("c_custkey", F.col("cluster").alias("dbscan_cluster")), "c_custkey")
+
+
+@register("customer_segments")
+def customer_segments(spark, sf_dir):
+    """The segment table, written as CSV and read back."""
+    seg = _segments(spark, sf_dir)
+    return fs.read_csv(spark, fs.write_csv(seg, scratch_path(spark, "segments-csv")), seg.schema)
+
+
 @register("kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
     return _sweep(spark, sf_dir)[1]
@@ -215,23 +289,19 @@ def kmeans_sweep(spark, sf_dir):
 
 @register("kmeans_assign")
 def kmeans_assign(spark, sf_dir):
-    from pyspark.ml.clustering import KMeans
-
-    data, sweep = _sweep(spark, sf_dir)
-    best_k = sweep.orderBy(F.desc("silhouette"), "k").first()["k"]
-    model = KMeans(k=best_k, seed=42).fit(data)
-    assigned = model.transform(data).withColumnRenamed("prediction", "cluster")
-    return assigned.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 4).alias("churn_rate"),
-        *[F.round(F.avg(c), 2).alias(f"mean_{c}") for c in CLUSTER_FEATURES])
+    """Profile of the clusters that the sweep chose."""
+    return _profile(_sweep(spark, sf_dir)[2], "kmeans_cluster")
 
 
 @register("pca_2d")
 def pca_2d(spark, sf_dir):
-    data = _scaled_customers(spark, sf_dir)
+    """Two axes of the scaled features, with both cluster ids."""
+    data, _, assigned = _sweep(spark, sf_dir)
     model = mo.pca_fit(data, 2)
-    out = model.transform(data).select("c_custkey", vector_to_array("pca").alias("pc"))
-    return out.select("c_custkey", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
+    out = model.transform(assigned).select("c_custkey", "kmeans_cluster", vector_to_array("pca").alias("pc"))
+    other = _dbscan(spark, sf_dir).select("c_custkey", F.col("cluster").alias("dbscan_cluster"))
+    return out.join(other, "c_custkey").select(
+        "c_custkey", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"), "kmeans_cluster", "dbscan_cluster")
 
 
 def _denoised(spark, sf_dir):
@@ -292,24 +362,16 @@ def silhouette(spark, sf_dir):
     return spark.createDataFrame([(int(k), float(score))], "n_clusters int, silhouette double")
 
 
-# ---- density clustering on two standardized customer features -------------------
-
-from tessera.operators import density as dn  # noqa: E402
+# ---- density clustering on the standardized customer features --------------------
 
 DB_EPS, DB_MIN = 1.2, 10
 
 
-def _density_points(spark, sf_dir):
-    cust = customer_table(Tables(spark, sf_dir))
-    moments = fe.fit_standard_scaler(cust, ["c_acctbal", "total_spent"])
-    return fe.apply_standard_scaler(cust, moments, "_z").select("c_custkey", "c_acctbal_z", "total_spent_z")
-
-
 def _dbscan(spark, sf_dir):
     key = ("dbscan", sf_dir, spark.sparkContext.applicationId)
     if key not in _memo:
-        _memo[key] = cut_lineage(dn.dbscan(_density_points(spark, sf_dir), "c_custkey", "c_acctbal_z",
-                                           "total_spent_z", DB_EPS, DB_MIN))
+        points = _scaled_customers(spark, sf_dir).select("c_custkey", *[c + "_z" for c in CLUSTER_FEATURES])
+        _memo[key] = cut_lineage(dn.dbscan(points, "c_custkey", [c + "_z" for c in CLUSTER_FEATURES], DB_EPS, DB_MIN))
     return _memo[key]
 
 
@@ -318,18 +380,24 @@ def dbscan(spark, sf_dir):
     return _dbscan(spark, sf_dir)
 
 
+_Z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(CLUSTER_FEATURES))
+_D2 = " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(len(CLUSTER_FEATURES)))
+
+
 @register("dbscan_core", sql=f"""
-WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total_spent FROM orders GROUP BY o_custkey),
-c AS (SELECT c_custkey, c_acctbal, coalesce(total_spent, 0.0) AS total_spent
-      FROM customer LEFT JOIN spent ON c_custkey = o_custkey),
-z AS (SELECT c_custkey, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS x,
-             (total_spent - avg(total_spent) OVER ()) / stddev_pop(total_spent) OVER () AS y FROM c),
-n AS (SELECT a.c_custkey, count(*) AS n_neighbors FROM z a JOIN z b
-      ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {DB_EPS * DB_EPS} GROUP BY a.c_custkey)
-SELECT c_custkey, n_neighbors >= {DB_MIN} AS is_core, n_neighbors FROM n
+WITH per AS (SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice) AS total_spent, avg(o_totalprice) AS avg_price
+             FROM orders GROUP BY o_custkey),
+seg AS (SELECT c_mktsegment AS s, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code
+        FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)),
+c AS (SELECT c_custkey, c_acctbal, c_nationkey, coalesce(n_orders, 0) AS n_orders, coalesce(total_spent, 0.0) AS total_spent,
+             coalesce(avg_price, 0.0) AS avg_price, coalesce(code, -1) AS segment
+      FROM customer LEFT JOIN per ON c_custkey = o_custkey LEFT JOIN seg ON c_mktsegment = s),
+z AS (SELECT c_custkey, {_Z} FROM c),
+n AS (SELECT a.c_custkey, count(*) AS n FROM z a JOIN z b ON {_D2} <= {DB_EPS * DB_EPS} GROUP BY a.c_custkey)
+SELECT c_custkey, n >= {DB_MIN} AS is_core FROM n
 """)
 def dbscan_core(spark, sf_dir):
-    return _dbscan(spark, sf_dir).select("c_custkey", "is_core", "n_neighbors")
+    return _dbscan(spark, sf_dir).select("c_custkey", "is_core")
 
 
 @register("dbscan_summary")
@@ -338,3 +406,9 @@ def dbscan_summary(spark, sf_dir):
     return d.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"),
                  F.count_if(F.col("cluster") == -1).alias("n_noise"),
                  F.count_if("is_core").alias("n_core"), F.count(F.lit(1)).alias("n_points"))
+
+
+@register("dbscan_profile")
+def dbscan_profile(spark, sf_dir):
+    """Profile of the density clusters, noise (-1) included."""
+    return _profile(_segments(spark, sf_dir), "dbscan_cluster")

@@ -1,5 +1,6 @@
 """Invariants for array operators and the rows-only model queries."""
 
+import json
 import math
 
 from pyspark.sql import functions as F
@@ -42,8 +43,35 @@ def test_model_queries_invariants(spark):
     assert [r["importance"] for r in imp] == sorted((r["importance"] for r in imp), reverse=True)
     sweep = q["kmeans_sweep"](spark, SMOKE_DIR).collect()
     assert [r["k"] for r in sweep] == list(range(2, 9))
+    best_k = min(sweep, key=lambda r: (-r["silhouette"], r["k"]))["k"]
+    inertia = {r["k"]: r["inertia"] for r in sweep}
+    assert all(inertia[k + 1] <= inertia[k] * 1.001 for k in range(2, 8))  # ten restarts leave no bad fit
+    seg = q["customer_segments"](spark, SMOKE_DIR)
+    assert {"segment", "kmeans_cluster", "dbscan_cluster", "label"} <= set(seg.columns)
+    rows = seg.collect()
+    assert len(rows) == spark.read.parquet(f"{SMOKE_DIR}/customer.parquet").count()
+    assert {r["kmeans_cluster"] for r in rows} == set(range(best_k))
+    profile = {r["cluster"]: r["n"] for r in q["kmeans_assign"](spark, SMOKE_DIR).collect()}
+    assert profile == {k: sum(r["kmeans_cluster"] == k for r in rows) for k in profile}
+    density = {r["cluster"]: r["n"] for r in q["dbscan_profile"](spark, SMOKE_DIR).collect()}
+    assert density == {k: sum(r["dbscan_cluster"] == k for r in rows) for k in density}
+    pca = q["pca_2d"](spark, SMOKE_DIR).collect()
+    assert {r["c_custkey"]: r["kmeans_cluster"] for r in pca} == {r["c_custkey"]: r["kmeans_cluster"] for r in rows}
     rt = q["model_roundtrip"](spark, SMOKE_DIR).first()
     assert rt["n"] == rt["n_equal"] > 0
     cmp = q["model_comparison"](spark, SMOKE_DIR).collect()
     assert {r["model"] for r in cmp} == {"random_forest", "gradient_boosted_trees"}
     assert all(0.0 <= r["accuracy"] <= 1.0 and 0.0 <= r["roc_auc"] <= 1.0 for r in cmp)
+    best = q["best_model"](spark, SMOKE_DIR).first()
+    assert best["best_model"] == min(cmp, key=lambda r: (-r["roc_auc"], r["model"]))["model"]
+    doc = json.loads(q["summary_json"](spark, SMOKE_DIR).first()["summary"])
+    assert set(doc) == {"model_results", "best_model", "feature_importance", "best_k_kmeans", "kmeans_cluster_profile",
+                        "dbscan_n_clusters", "dbscan_n_noise", "dbscan_cluster_profile"}
+    assert doc["best_k_kmeans"] == best_k and doc["best_model"] == best["best_model"]
+    assert sum(doc["kmeans_cluster_profile"]["n"].values()) == len(rows)
+
+
+def test_value_range_of_nothing(spark):
+    empty = spark.createDataFrame([(1, None)], "id long, a array<double>")
+    lo, hi = ar.value_range(empty, "a")
+    assert empty.limit(0).select(ar.to_pixels("a", lo, hi)).count() == 0 and (lo, hi) == (0.0, 0.0)
