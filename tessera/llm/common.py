@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import components
+from tessera.session import stored
+
+__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "ascii_lower", "components", "stored", "width"]
+
 # ---- fixed values: ASCII letters and the white space the text contracts name ----
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -15,29 +17,6 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 # ---------------------------------------------------------------------------------
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tessera-llm-", dir="/tmp")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back.
-
-    It cuts the lineage, is computed a single time and survives lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def width(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions so that none gets more than about ``per_task`` rows; never below the session's width."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
@@ -46,30 +25,3 @@ def width(spark: SparkSession, rows: int, per_task: int) -> int:
 def ascii_lower(col):
     """A-Z to a-z, every other character unchanged."""
     return F.translate(col, UPPER, LOWER)
-
-
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """Connected components of ``edges(u, v)`` as ``(node, component)``, component the smallest node.
-
-    Large-star and small-star in turn: each round hangs every neighbour of a node on the smallest one it
-    sees, which needs about log(n) rounds for any shape of graph. A node with very many neighbours is
-    first reduced by a partial ``min`` and then met in a join, which Spark splits when it is skewed.
-    Nodes without an edge do not appear; loops and null ends are ignored. Each round is written to the
-    shared folder; the driver sees two numbers a round.
-    """
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e = stored(e.where((F.col("u") != F.col("v")) & edges.u.isNotNull() & edges.v.isNotNull()).distinct(), label)
-    seen = None
-    while True:
-        mark = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if mark == seen or mark["n"] == 0:
-            break
-        seen = mark
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.union(root.select("u", F.col("m").alias("v"))).distinct(), label)
-    hung = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return hung.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
