@@ -88,6 +88,40 @@ SELECT page_id, host, path, rule,
 FROM j
 """
 
+OP5_SQL = """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+           FROM documents),
+w AS (SELECT doc_id, CAST(i AS BIGINT) AS i, array_to_string(words[i + 1 : i + 20], ' ') AS s
+      FROM (SELECT doc_id, words, unnest(range(len(words) - 19)) AS i FROM d WHERE len(words) >= 20)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS later FROM w),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM d),
+c AS (SELECT p.doc_id, p.pos, p.word, max(CASE WHEN f.later THEN 1 ELSE 0 END)
+             OVER (PARTITION BY p.doc_id ORDER BY p.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone
+      FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.pos),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+      FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v),
+e AS (SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93),
+r(u, w) AS (SELECT u, w FROM e UNION SELECT r.u, e.w FROM r JOIN e ON r.w = e.u),
+l AS (SELECT u, count(*) AS n FROM e GROUP BY u),
+m AS (SELECT u, min(w) AS w FROM r GROUP BY u)
+SELECT t.vec_id, coalesce(l.n, 0) AS n_links, least(t.vec_id, coalesce(m.w, t.vec_id)) AS component_id,
+       t.vec_id <= coalesce(m.w, t.vec_id) AS kept
+FROM embeddings t LEFT JOIN l ON l.u = t.vec_id LEFT JOIN m ON m.u = t.vec_id
+"""
+
 OP9_SQL = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
@@ -115,5 +149,7 @@ LLM_QUERIES = {
 
 LLM_SQL = {
     "op4_url_filter": OP4_SQL.strip(),
+    "op5_substring_dedup": OP5_SQL.strip(),
+    "op8_embedding_near_dedup": OP8_SQL.strip(),
     "op9_line_dedup": OP9_SQL.strip(),
 }
