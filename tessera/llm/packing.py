@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 
 #: Sequences of one partition are numbered from ``partition << PARTITION_SHIFT``.
 PARTITION_SHIFT = 40
-#: Tokens held at a time; a batch of texts is encoded and cut in such steps.
 SCHEMA = ("{id} {id_type}, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 

@@ -187,7 +187,7 @@ def walk(own: np.ndarray, guests: np.ndarray, top: int, lead: int, budget: int,
         b_mid[~to_own] = n_own + np.searchsorted(guests, first[~to_own])
         b_mid = np.clip(b_mid, b_lo, b_hi)
         same = (a_lo == b_lo) & to_own  # a node with itself: its two children meet once
-        keep_cross = err + 1 <= (budget if depth >= lead else np.where(to_own, lead_budget, lead_budget))
+        keep_cross = err + 1 <= (budget if depth >= lead else lead_budget)
         twice = keep_cross & ~same
         stack.append((depth + 1,
                       np.concatenate([a_lo, a_mid, a_lo[keep_cross], a_mid[twice]]),
