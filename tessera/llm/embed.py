@@ -8,6 +8,13 @@ double precision. A pair that meets in several leaves belongs to the first of
 them, so links are counted once without sending pairs anywhere: a task returns
 one number per vector and a spanning forest of its links.
 
+A group much larger than a leaf would be halved until its pieces fit one. Such
+groups are found on the sample the cuts are fitted on: a vector with very many
+neighbours is a centre, the rows within the threshold of it are its core. Links
+of core rows are exact: whatever links with one lies within twice the threshold's
+angle of the centre, and these rows are compared whole, in pairs of blocks of
+bounded size over many tasks. The trees hold the other rows only.
+
 The directions are drawn from a seed; the cuts are fitted on a bounded sample
 of the vectors. Every vector is indexed. Exact copies are met once, by their
 smallest id.
@@ -16,6 +23,7 @@ smallest id.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +37,9 @@ from tessera.llm.simhash import Forest as Links
 #: Vectors that the cuts are fitted on; a node with fewer of them than ``LEAST`` is not split.
 SAMPLE = 20_000
 LEAST = 48
+#: A vector with so many leaves' rows as neighbours is the centre of a dense group; rows of a block of such a group.
+DENSE_LEAVES = 4
+DENSE_ROWS = 2_048
 #: Rows of a leaf compared with the others at a time.
 ROWS = 1_024
 #: Leaf rows a task is sized for.
@@ -80,6 +91,57 @@ def fit_tree(sample: np.ndarray, depth: int, spill: float, seed: int) -> Tree:
     return Tree(directions, cuts)
 
 
+@dataclass(frozen=True)
+class Dense:
+    """Dense groups: a centre and a number of blocks each; ``rest`` marks the sample's rows outside every core."""
+
+    centres: np.ndarray
+    core: float  # least cosine to the centre of a core row, and of a row that can link with one
+    halo: float
+    blocks: np.ndarray
+    rest: np.ndarray
+
+    def cores(self, cosines: np.ndarray) -> np.ndarray:
+        """First centre whose core holds each row; the number of centres for none."""
+        return np.argmax(np.column_stack([cosines >= self.core, np.ones(len(cosines), bool)]), axis=1)
+
+
+def fit_dense(sample: np.ndarray, n: int, threshold: float, leaf: int) -> Dense:
+    """Centres until no vector of the sample has ``DENSE_LEAVES`` leaves' rows as neighbours outside the cores."""
+    many = max(LEAST, DENSE_LEAVES * leaf * len(sample) / max(1, n))
+    angle = math.acos(min(1.0, max(-1.0, threshold)))
+    core, halo = math.cos(angle), math.cos(min(math.pi, 2 * angle)) - 1e-6
+    open_, degree = np.ones(len(sample), bool), np.zeros(len(sample), np.int64)
+
+    def neighbours(of: np.ndarray) -> np.ndarray:
+        return np.concatenate([(sample[low : low + ROWS] @ of.T >= core).sum(axis=1)
+                               for low in range(0, len(sample), ROWS)]) if len(sample) else degree
+
+    if len(sample) > many:
+        degree = neighbours(sample)
+    centres, blocks = [], []
+    while open_.any():
+        at = int(np.argmax(np.where(open_, degree, -1)))
+        if degree[at] <= many:
+            break
+        own = open_ & (sample @ sample[at] >= core)
+        own[at] = True
+        centre = sample[at]
+        mean = sample[own].sum(axis=0)
+        if np.linalg.norm(mean) > 1e-6:
+            mean = mean / np.linalg.norm(mean)
+            around = open_ & (sample @ mean >= core)
+            if around.sum() >= own.sum():
+                centre, own = mean, around
+        met = int((open_ & (sample @ centre >= halo)).sum())
+        centres.append(centre)
+        blocks.append(max(1, math.ceil(met * n / len(sample) / DENSE_ROWS)))
+        open_ &= ~own
+        degree = degree - neighbours(sample[own])
+    return Dense(np.array(centres).reshape(len(centres), sample.shape[1]), core, halo,
+                 np.array(blocks, np.int64), open_)
+
+
 def usable(vector: Column) -> Column:
     """Not null, not zero, every component a finite number."""
     numbers = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -118,6 +180,32 @@ def compare(x: np.ndarray, copies: np.ndarray, cells: list[np.ndarray], cell: in
     return links, joined.root
 
 
+def compare_blocks(x: np.ndarray, copies: np.ndarray, inner: np.ndarray, side: np.ndarray, same: bool,
+                   threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same among the rows of two blocks of a dense group, or of one (``same``).
+
+    A pair is met here if one of its rows is in the group's core (``inner``).
+    """
+    links, joined = np.zeros(len(x), np.int64), Links(len(x))
+    left, right = (np.arange(len(x)),) * 2 if same else (np.flatnonzero(side == side.min()),
+                                                         np.flatnonzero(side != side.min()))
+    for low in range(0, len(left), ROWS):
+        rows = left[low : low + ROWS]
+        hit = (x[rows] @ x[right].T >= threshold) & (inner[rows][:, None] | inner[right])
+        if same:
+            hit &= rows[:, None] < right
+        links[rows] += np.rint(hit @ copies[right].astype(np.float64)).astype(np.int64)
+        links[right] += np.rint(copies[rows].astype(np.float64) @ hit).astype(np.int64)
+        while True:  # one link of each row that leads to another component
+            hit &= joined.root[rows][:, None] != joined.root[right]
+            first = hit.argmax(axis=1)
+            some = hit[np.arange(len(rows)), first]
+            if not some.any():
+                break
+            joined.link(rows[some], right[first[some]])
+    return links, joined.root
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label", threshold: float = 0.93, trees: int = 8, leaf: int = 400,
                     spill: float = 0.08, seed: int = 17) -> DataFrame:
@@ -127,7 +215,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ``threshold``. Null, zero and non-finite vectors, null labels and null ids link with nothing; a null
     id gives a null component and is not kept. Repeated rows are vectors of their own and link as copies.
     Other columns are not read; an empty table gives no rows. ``leaf`` is the number of rows a leaf is
-    sized for; a leaf that grows beyond it (many alike vectors) is still compared whole, in blocks.
+    sized for; a leaf that grows beyond it (many alike vectors) is still compared whole, in blocks. Groups of
+    more than about ``DENSE_LEAVES`` leaves of mutual neighbours are no tree's business but compared exactly.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x"),
@@ -164,44 +253,90 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                       F.coalesce(F.col("id").cast("long") == component, F.lit(False)).alias("kept"))
 
 
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """Non-negative scattered numbers of the ids."""
+    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(33)).astype(np.int64)
+
+
+def _cut(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, at: np.ndarray, offsets: np.ndarray,
+         values: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of the batch with their cells, and the lists that they have ``at`` the given places, some at a time."""
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
+    for low in range(0, len(row), 20_000):
+        part = pa.array(row[low : low + 20_000])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cell[low : low + 20_000], pa.int64()), batch.column(0).take(part), batch.column(1).take(part),
+             batch.column(2).take(part), batch.column(3).take(part), lists.take(pa.array(at[low : low + 20_000]))], names)
+
+
 def _leaf_links(classes: DataFrame, dim: int, n: int, threshold: float, trees: int, leaf: int, spill: float,
                 seed: int) -> DataFrame:
     """(u, v, n): rows (u, null, links) and rows (u, v, null) of a spanning forest, over all leaves."""
     spark = classes.sparkSession
-    depth = max(0, math.ceil(math.log2(n / leaf))) if n > leaf else 0
     sample = classes.orderBy(F.xxhash64("rep"), "rep").select("x").limit(SAMPLE).toArrow()
     x = _unit(sample.column("x").combine_chunks())
-    forest = spark.sparkContext.broadcast([fit_tree(x, depth, spill, seed + t) for t in range(trees)])  # cuts of a sample
+    dense = fit_dense(x, n, threshold, leaf) if n > DENSE_LEAVES * leaf else fit_dense(x[:0], 0, threshold, leaf)
+    rest = x[dense.rest] if len(dense.centres) else x
+    n_rest = math.ceil(n * len(rest) / max(1, len(x)))
+    depth = max(0, math.ceil(math.log2(n_rest / leaf))) if n_rest > leaf else 0
+    sent = spark.sparkContext.broadcast(  # cuts of a sample
+        ([fit_tree(rest, depth, spill, seed + t) for t in range(trees)], dense))
+    stride = 1 << (depth + 1)
+    base = trees * stride + np.concatenate([[0], np.cumsum(dense.blocks ** 2)])  # first cell of each dense group
 
     def deal(batches):
         names = ["cell", "label", "rep", "copies", "x", "cells"]
-        stride = 1 << (depth + 1)
+        forest, dense = sent.value
         for batch in batches:
             unit = _unit(batch.column(3))
-            found = [(r, t * stride + c) for t, (r, c) in enumerate(tree.leaves(unit) for tree in forest.value)]
+            cosines = unit @ dense.centres.T
+            core = dense.cores(cosines)
+            outside = np.flatnonzero(core == len(dense.centres))
+            found = [(outside[r], t * stride + c) for t, (r, c) in enumerate(tree.leaves(unit[outside])
+                                                                             for tree in forest)]
             row, cell = np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
             order = np.lexsort((cell, row))
             row, cell = row[order], cell[order]
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cell, pa.int64()))
-            for low in range(0, len(row), 20_000):
-                at = pa.array(row[low : low + 20_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[low : low + 20_000], pa.int64()), batch.column(0).take(at), batch.column(1).take(at),
-                     batch.column(2).take(at), batch.column(3).take(at), lists.take(at)], names)
+            yield from _cut(batch, row, cell, row, np.concatenate(
+                [[0], np.cumsum(np.bincount(row, minlength=len(batch)))]), cell, names)
+            salt = _mixed(batch.column(1).to_numpy())
+            for k, blocks in enumerate(dense.blocks.tolist()):
+                # a pair belongs to the first core that one of its rows is in
+                row = np.flatnonzero((cosines[:, k] >= dense.halo) & (core >= k))
+                own = salt[row] % blocks
+                lists = np.column_stack([core[row], own]).ravel()
+                for low in range(0, len(row), max(1, 20_000 // blocks)):
+                    at = np.repeat(np.arange(low, min(len(row), low + max(1, 20_000 // blocks))), blocks)
+                    other = np.tile(np.arange(blocks), len(at) // blocks)
+                    pair = np.minimum(own[at], other) * blocks + np.maximum(own[at], other)
+                    yield from _cut(batch, row[at], base[k] + pair, at, np.arange(len(row) + 1) * 2, lists, names)
 
     label_type = classes.schema["label"].dataType.simpleString()
     dealt = classes.select("label", "rep", "copies", "x").mapInArrow(
         deal, f"cell long, label {label_type}, rep long, copies long, x array<double>, cells array<long>")
-    tasks = width(spark, int(n * trees * (1 + 2 * spill) ** depth), TASK_ROWS)
+    met = sum(b * b * DENSE_ROWS for b in dense.blocks.tolist())
+    tasks = width(spark, int(n_rest * trees * (1 + 2 * spill) ** depth) + met, TASK_ROWS)
     dealt = dealt.repartition(tasks, "cell", "label").sortWithinPartitions("cell", "label", "rep")
 
+    dense_blocks = dense.blocks
+
     def solve(table: pa.Table) -> pa.RecordBatch:
         rep = table.column("rep").to_numpy()
         cells = np.split(table.column("cells").combine_chunks().flatten().to_numpy(),
                          np.cumsum([len(c) for c in table.column("cells")])[:-1])
-        links, root = compare(_unit(table.column("x").combine_chunks()), table.column("copies").to_numpy(), cells,
-                              table.column("cell")[0].as_py(), threshold)
+        unit, copies = _unit(table.column("x").combine_chunks()), table.column("copies").to_numpy()
+        cell = table.column("cell")[0].as_py()
+        if cell < base[0]:
+            links, root = compare(unit, copies, cells, cell, threshold)
+        else:
+            k = int(np.searchsorted(base, cell, "right")) - 1
+            a, b = divmod(cell - int(base[k]), int(dense_blocks[k]))
+            core, side = np.array(cells).T
+            if a != b and (side == side[0]).all():  # only one of the two blocks has rows of this label
+                links, root = np.zeros(len(unit), np.int64), np.arange(len(unit))
+            else:
+                links, root = compare_blocks(unit, copies, core == k, side, a == b, threshold)
         some, tied = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(root)))
         u = np.concatenate([rep[some], rep[tied]])
         v = pa.array([None] * len(some) + rep[root[tied]].tolist(), pa.int64())

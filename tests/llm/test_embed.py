@@ -1,6 +1,7 @@
 """Embedding near-dedup against brute force: links, components, recall."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import embed
@@ -96,3 +97,23 @@ def test_alike_vectors_do_not_stop_a_tree():
     tree = embed.fit_tree(x, 3, 0.1, 1)
     rows, leaves = tree.leaves(x)
     assert set(rows) == set(range(500)) and len(rows) == len(leaves)
+
+
+def test_a_group_of_a_third_keeps_its_links(spark):
+    rng = np.random.default_rng(3)
+    n, group, dim = 60_000, 20_000, 64
+    x = rng.standard_normal((n, dim))
+    centre = rng.standard_normal(dim)
+    x[:group] = centre / np.linalg.norm(centre) + np.sqrt(0.0526 / dim) * rng.standard_normal((group, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.zeros(n, np.int64)
+    for low in range(0, n, 2_000):
+        want += (x[low : low + 2_000] @ x.T >= 0.93).sum(axis=0)
+    want -= 1
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(x.ravel()))
+    table = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": flat, "label": pa.array(np.ones(n, np.int32))})
+    got = embed.near_duplicates(spark.createDataFrame(table)).toArrow().sort_by("vec_id")
+    links = got.column("n_links").to_numpy()
+    assert (links == want).all() and want.sum() > group * group / 2  # trees alone keep 0.60 of them
+    component = got.column("component_id").to_numpy()
+    assert (component[want > 0] == component[np.argmax(want > 0)]).all()
