@@ -8,8 +8,10 @@ are done, for the others block-max WAND finds every item above the threshold. A
 leaked if the passage holds at least ``min_overlap`` of its five-word shingles;
 the shares of its question and of its answer are returned beside that.
 
-An item's impacts are divided by its own score as a query, so that one
-threshold fits short and long items. Items are read in parts of bounded size
+An item's impacts are divided by its own score as a query and by the least share
+of that score that a passage holding ``min_overlap`` of its shingles can have, so
+that the threshold is 1 for every item and retrieval loses none that the overlap
+accepts. Passages are searched with the same words that the overlap looks at. Items are read in parts of bounded size
 (one index each, made in the tasks from the broadcast texts); documents are
 scanned once for each part, without a shuffle.
 """
@@ -60,10 +62,26 @@ def share_held(part: list[bytes], passage: list[bytes]) -> float | None:
     return len(own & shingles(passage, min(SHINGLE, len(part)))) / len(own)
 
 
+def least_share(words: list[bytes], weight: dict[bytes, float], min_overlap: float) -> float:
+    """Lower bound of the weight of the item's terms in a text that holds ``min_overlap`` of its shingles.
+
+    ``weight`` sums to 1. A term is missing only if all shingles with it are, so each missing shingle takes
+    at most an equal part of each of its terms.
+    """
+    own = shingles(words)
+    missing = len(own) - math.ceil(min_overlap * len(own) - 1e-9)
+    among = Counter(t for s in own for t in set(s))
+    parts = sorted((sum(weight[t] / among[t] for t in set(s)) for s in own), reverse=True)
+    return max(1e-9, 1 - sum(parts[:missing]))
+
+
 class Index:
-    """Postings of the items' terms with normalised impacts, and their maxima per block of items."""
+    """Postings of the items' terms with normalised impacts, and their maxima per block of items.
 
-    def __init__(self, items: list[tuple[object, str | None]]):
+    With ``min_overlap`` the impacts are also divided by ``least_share``, kept in ``least``.
+    """
+
+    def __init__(self, items: list[tuple[object, str | None]], min_overlap: float | None = None):
         self.items = [(item, terms_of(text)) for item, text in items]
         self.items = [x for x in self.items if x[1]]
         texts = dict(items)
@@ -74,12 +92,16 @@ class Index:
         n, mean = len(counts), sum(len(w) for _, w in self.items) / max(1, len(self.items))
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in df]
+        self.least = [1.0] * n
         self.n_blocks = -(-n // BLOCK_ITEMS)
         self.block_max = np.zeros((len(df), max(1, self.n_blocks)), np.float32)
         for i, c in enumerate(counts):
             length = sum(c.values())
             raw = {t: idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)) for t, tf in c.items()}
             own = sum(raw.values())
+            if min_overlap is not None:
+                self.least[i] = least_share(self.items[i][1], {t: x / own for t, x in raw.items()}, min_overlap)
+                own *= self.least[i]
             for t, x in raw.items():
                 k = self.number[t]
                 self.postings[k].append((i, x / own))
@@ -140,8 +162,12 @@ def _passages(n: int, size: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + size)) for a in range(0, max(1, n - step), step)]
 
 
-def leaks_of(words: list[bytes], index: Index, threshold: float, min_overlap: float) -> dict[int, tuple]:
-    """item -> (score, overlap, question's share, answer's share) of the leaked items, the best passage of each."""
+def leaks_of(words: list[bytes], index: Index, min_overlap: float) -> dict[int, tuple]:
+    """item -> (score, overlap, question's share, answer's share) of the leaked items, the best passage of each.
+
+    ``index`` is one for ``min_overlap``.
+    """
+    threshold = 1 - 1e-6
     known = index.number
     ids = np.fromiter((known.get(w, -1) for w in words), np.int32, len(words))
     places = np.flatnonzero(ids >= 0)
@@ -150,6 +176,7 @@ def leaks_of(words: list[bytes], index: Index, threshold: float, min_overlap: fl
     ids = ids[places]
     size = max(128, 2 * index.longest)
     spans = _passages(len(words), size)
+    spans = [(max(0, a - index.longest), b + index.longest) for a, b in spans]
     low = np.searchsorted(places, [a for a, _ in spans])
     high = np.searchsorted(places, [b for _, b in spans])
     sums = np.zeros((len(ids) + 1, index.coarse_max.shape[1]))
@@ -161,17 +188,16 @@ def leaks_of(words: list[bytes], index: Index, threshold: float, min_overlap: fl
         if index.block_max[distinct].sum(axis=0).max() < threshold - 1e-3:
             continue
         for item, score in index.search(distinct.tolist(), threshold):
-            around = words[max(0, spans[p][0] - index.longest) : spans[p][1] + index.longest]
+            around = words[spans[p][0] : spans[p][1]]
             share = share_held(index.items[item][1], around)
             if share >= min_overlap:
-                got = (score, share, *(share_held(part, around) for part in index.parts[item]))
+                got = (score * index.least[item], share, *(share_held(part, around) for part in index.parts[item]))
                 best[item] = max(best.get(item, got), got, key=lambda x: (x[1], x[0]))
     return best
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5,
-               min_overlap: float = 0.8) -> DataFrame:
+               item_col: str = "item_id", item_text_col: str = "text", min_overlap: float = 0.8) -> DataFrame:
     """(id, item, score, overlap, question_overlap, answer_overlap): the items that each row leaks.
 
     ``score`` is BM25 of the best passage as a part of the item's own score; ``overlap`` the share of the
@@ -179,7 +205,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     parts (null where the part has no word). Rows with null or empty text leak nothing; items with null
     or empty text are never leaked; repeated rows and items are answered each; null ids are carried;
     other columns are not read; empty tables give no rows. Whole texts are searched, in passages of
-    twice the longest item (128 words at least) that overlap by half.
+    twice the longest item (128 words at least) that overlap by half, each with the length of the longest
+    item before and behind it.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -197,12 +224,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         sent = spark.sparkContext.broadcast(rows)
 
         def search(batches, sent=sent):
-            index = Index([(i, text) for i, _, text in sent.value])
+            index = Index([(i, text) for i, _, text in sent.value], min_overlap)
             names = {i: item for i, item, _ in sent.value}
             for batch in batches:
                 at, hits = [], []
                 for i, text in enumerate(batch.column(1)):
-                    for item, got in leaks_of(terms_of(text.as_py()), index, threshold, min_overlap).items():
+                    for item, got in leaks_of(terms_of(text.as_py()), index, min_overlap).items():
                         at.append(i)
                         hits.append((names[index.items[item][0]], *got))
                 if at:

@@ -117,3 +117,28 @@ def test_query_over_the_corpus(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert got == {(d, i) for d, t in docs for i in brute(t, items)} and got
+
+
+def test_a_common_stem_loses_no_item(spark):
+    stem = "which of the following statements best describes the main function of the"
+    items = [(i, f"{stem} ra{i} rb{i} rc{i}") for i in range(200)]
+    docs = [(i, f"{stem} ra{i}") for i in range(0, 200, 10)]
+    d, i = frames(spark, docs, items)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.find_leaks(d, i).collect()}
+    assert got.keys() == {(d, i) for d, t in docs for i in brute(t, items)} and len(got) == len(docs)
+    assert all(score < 0.5 for score in got.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_least_share_is_a_lower_bound(seed):
+    rng = random.Random(seed)
+    _, items = items_of(seed)
+    index = decontam.Index(items, 0.8)
+    plain = decontam.Index(items)
+    for i, (_, words) in enumerate(index.items):
+        share = {t: x for t, k in plain.number.items() for j, x in plain.postings[k] if j == i}
+        for _ in range(30):
+            kept = sorted(decontam.shingles(words))
+            rng.shuffle(kept)
+            kept = kept[: -(-len(kept) * 4 // 5)]
+            assert sum(share[t] for t in {t for s in kept for t in s}) >= index.least[i] - 1e-9
