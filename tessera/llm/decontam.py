@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of item texts of one index part, items of one block, blocks of one coarse block, words of a shingle.
-PART_BYTES = 16 << 20
+#: Bytes of item texts of one index part (a posting takes two of them at least, about 90 in memory), items of one block, blocks of one coarse block, words of a shingle.
+PART_BYTES = 4 << 20
 BLOCK_ITEMS = 4
 COARSE_BLOCKS = 8
 SHINGLE = 5
@@ -75,6 +75,33 @@ def least_share(words: list[bytes], weight: dict[bytes, float], min_overlap: flo
     return max(1e-9, 1 - sum(parts[:missing]))
 
 
+class Maxima:
+    """The largest impact of each term in each block of items that it occurs in, term by term."""
+
+    def __init__(self, postings: list[list[tuple[int, float]]], items: int, n: int):
+        sizes = np.fromiter((len(own) for own in postings), np.int64, len(postings))
+        term = np.repeat(np.arange(len(postings)), sizes)
+        block = np.fromiter((i // items for own in postings for i, _ in own), np.int32, len(term))
+        impact = np.fromiter((x for own in postings for _, x in own), np.float32, len(term))
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        self.n_blocks = max(1, -(-n // items))
+        self.block = block[first]
+        self.top = np.maximum.reduceat(impact, first) if len(first) else impact
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=len(postings)))])
+
+    def of(self, term: int) -> dict[int, float]:
+        low, high = self.start[term], self.start[term + 1]
+        return dict(zip(self.block[low:high].tolist(), self.top[low:high].tolist()))
+
+    def bound(self, terms: np.ndarray) -> float:
+        """Largest sum of the terms' maxima over one block."""
+        n = self.start[terms + 1] - self.start[terms]
+        at = np.repeat(self.start[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.block[at], self.top[at], self.n_blocks).max()
+
+
 class Index:
     """Postings of the items' terms with normalised impacts, and their maxima per block of items.
 
@@ -93,8 +120,6 @@ class Index:
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in df]
         self.least = [1.0] * n
-        self.n_blocks = -(-n // BLOCK_ITEMS)
-        self.block_max = np.zeros((len(df), max(1, self.n_blocks)), np.float32)
         for i, c in enumerate(counts):
             length = sum(c.values())
             raw = {t: idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)) for t, tf in c.items()}
@@ -103,13 +128,10 @@ class Index:
                 self.least[i] = least_share(self.items[i][1], {t: x / own for t, x in raw.items()}, min_overlap)
                 own *= self.least[i]
             for t, x in raw.items():
-                k = self.number[t]
-                self.postings[k].append((i, x / own))
-                self.block_max[k, i // BLOCK_ITEMS] = max(self.block_max[k, i // BLOCK_ITEMS], x / own)
-        pad = -self.block_max.shape[1] % COARSE_BLOCKS
-        padded = np.pad(self.block_max, ((0, 0), (0, pad)))
-        self.coarse_max = padded.reshape(len(df), padded.shape[1] // COARSE_BLOCKS, COARSE_BLOCKS).max(axis=2)
-        self.term_max = self.block_max.max(axis=1) if len(df) else np.zeros(0, np.float32)
+                self.postings[self.number[t]].append((i, x / own))
+        self.fine = Maxima(self.postings, BLOCK_ITEMS, n)
+        self.coarse = Maxima(self.postings, BLOCK_ITEMS * COARSE_BLOCKS, n)
+        self.term_max = [max(x for _, x in own) for own in self.postings]
         self.longest = max((len(w) for _, w in self.items), default=0)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -119,8 +141,8 @@ class Index:
         slack = threshold - 1e-6  # bounds are single precision
         live = list(range(len(lists)))
         found: list[tuple[int, float]] = []
-        terms_max = self.term_max[terms].tolist()
-        blocks_max = self.block_max[terms].tolist()
+        terms_max = [self.term_max[t] for t in terms]
+        blocks_max = [self.fine.of(t) for t in terms]
         while live:
             live.sort(key=lambda c: lists[c][at[c]][0])
             bound, pivot = 0.0, -1
@@ -135,7 +157,7 @@ class Index:
             while pivot + 1 < len(live) and lists[live[pivot + 1]][at[live[pivot + 1]]][0] == item:
                 pivot += 1
             block = item // BLOCK_ITEMS
-            if sum([blocks_max[c][block] for c in live[: pivot + 1]]) < slack:
+            if sum([blocks_max[c].get(block, 0.0) for c in live[: pivot + 1]]) < slack:
                 # nothing in this block reaches the threshold by the lists up to the pivot
                 target = (block + 1) * BLOCK_ITEMS
                 if pivot + 1 < len(live):
@@ -179,13 +201,10 @@ def leaks_of(words: list[bytes], index: Index, min_overlap: float) -> dict[int,
     spans = [(max(0, a - index.longest), b + index.longest) for a, b in spans]
     low = np.searchsorted(places, [a for a, _ in spans])
     high = np.searchsorted(places, [b for _, b in spans])
-    sums = np.zeros((len(ids) + 1, index.coarse_max.shape[1]))
-    np.cumsum(index.coarse_max[ids], axis=0, dtype=np.float64, out=sums[1:])
-    bound = sums[high] - sums[low]  # repeated terms counted again: never too low
     best: dict[int, tuple] = {}
-    for p in np.flatnonzero((bound >= threshold - 1e-3).any(axis=1)):
+    for p in range(len(spans)):
         distinct = np.unique(ids[low[p] : high[p]])
-        if index.block_max[distinct].sum(axis=0).max() < threshold - 1e-3:
+        if not len(distinct) or any(x.bound(distinct) < threshold - 1e-3 for x in (index.coarse, index.fine)):
             continue
         for item, score in index.search(distinct.tolist(), threshold):
             around = words[spans[p][0] : spans[p][1]]
@@ -212,26 +231,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     id_type = docs.schema[id_col].dataType.simpleString()
     item_type = items.schema[item_col].dataType.simpleString()
     own = items.select(item_col, F.col(item_text_col).alias("__text")).where(F.col("__text").isNotNull())
+    own = own.groupBy(item_col, "__text").agg(F.count("*").alias("__rows"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
     n_parts = max(1, -(-total // PART_BYTES))
     schema = (f"`{id_col}` {id_type}, `{item_col}` {item_type}, score double, overlap double, "
               "question_overlap double, answer_overlap double")
     out = None
     for k in range(n_parts):
-        part = own if n_parts == 1 else own.where(F.pmod(F.xxhash64("__text"), F.lit(n_parts)) == k)
-        # about PART_BYTES of items; each is a row of its own, so that repeated ids stay apart
-        rows = [(i, r[0], r[1]) for i, r in enumerate(part.collect())]
+        part = own if n_parts == 1 else own.where(F.pmod(F.xxhash64("__text", item_col), F.lit(n_parts)) == k)
+        # about PART_BYTES of items; one repeated with its id is sent once with its number of rows
+        rows = [(i, r[0], r[1], r[2]) for i, r in enumerate(part.collect())]
         sent = spark.sparkContext.broadcast(rows)
 
         def search(batches, sent=sent):
-            index = Index([(i, text) for i, _, text in sent.value], min_overlap)
-            names = {i: item for i, item, _ in sent.value}
+            index = Index([(i, text) for i, _, text, _ in sent.value], min_overlap)
+            names = {i: (item, n) for i, item, _, n in sent.value}
             for batch in batches:
                 at, hits = [], []
                 for i, text in enumerate(batch.column(1)):
                     for item, got in leaks_of(terms_of(text.as_py()), index, min_overlap).items():
-                        at.append(i)
-                        hits.append((names[index.items[item][0]], *got))
+                        name, n = names[index.items[item][0]]
+                        at += [i] * n
+                        hits += [(name, *got)] * n
                 if at:
                     columns = list(zip(*hits))
                     yield pa.RecordBatch.from_arrays(

@@ -142,3 +142,25 @@ def test_least_share_is_a_lower_bound(seed):
             rng.shuffle(kept)
             kept = kept[: -(-len(kept) * 4 // 5)]
             assert sum(share[t] for t in {t for s in kept for t in s}) >= index.least[i] - 1e-9
+
+
+def test_index_holds_a_value_per_posting_at_most():
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(30)) + " common") for i in range(8_000)]
+    index = decontam.Index(items, 0.8)
+    n = sum(len(own) for own in index.postings)
+    arrays = [a for m in (index.fine, index.coarse) for a in vars(m).values() if isinstance(a, np.ndarray)]
+    assert sum(a.nbytes for a in arrays) < 40 * n  # terms x blocks would be about 2 GB
+    words = decontam.terms_of(" ".join(["filler common"] * 9_000 + [items[77][1]]))
+    assert decontam.leaks_of(words, index, 0.8).keys() == {77}
+
+
+def test_one_repeated_text_is_dealt_over_the_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PART_BYTES", 600)
+    sizes = []
+    broadcast = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda rows: sizes.append(len(rows)) or broadcast(rows))
+    text = "one two three four five six seven eight nine ten"
+    d, i = frames(spark, [(1, text)], [(k, text) for k in range(60)])
+    found = decontam.find_leaks(d, i)
+    assert len(sizes) > 3 and max(sizes) < 40
+    assert sorted(r["item_id"] for r in found.collect()) == list(range(60))
