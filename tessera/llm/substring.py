@@ -187,7 +187,7 @@ def _unpacked(column: pa.Array) -> Iterator[bytes]:
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, doc, n): distinct anchors of each document, n the number of places (2 for more)."""
+    """(anchor, doc, n): distinct anchors of each document, n the number of places."""
     def compute(batches):
         hasher = Hasher()
         for batch in batches:
@@ -197,14 +197,14 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                 if len(anchors):
                     value, n = np.unique(anchors[_place_starts(places)], return_counts=True)
                     found.append(value.view(np.int64))
-                    many.append(np.minimum(n, 2))
+                    many.append(n)
                     owner.append(np.full(len(value), i))
             if found:
                 ids = batch.column(0).take(pa.array(np.concatenate(owner)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), ids,
-                                                  pa.array(np.concatenate(many), pa.int32())], ["anchor", "doc", "n"])
+                                                  pa.array(np.concatenate(many), pa.int64())], ["anchor", "doc", "n"])
 
-    return docs.mapInArrow(compute, "anchor long, doc long, n int")
+    return docs.mapInArrow(compute, "anchor long, doc long, n long")
 
 
 def _places(asked: DataFrame, window: int) -> DataFrame:

@@ -109,3 +109,13 @@ def test_nulls_repeats_extra_columns_and_empty(spark):
     rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got.collect())
     assert rows == [(False, 2, 0, 0), (False, 3, 0, 0), (False, 5, 30, 0), (False, 5, 30, 0), (False, 9, 31, 30), (True, 0, 30, 0)]
     assert substring.parse(docs.limit(0)).count() == 0
+
+
+def test_places_inside_a_document_make_an_anchor_hot(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_PLACES", 50)
+    held = []
+    solved = substring._solved_hot
+    monkeypatch.setattr(substring, "_solved_hot", lambda places: held.append(places.count()) or solved(places))
+    rows = [(d, "x " * 40 + f"only{d}") for d in range(6)]  # 6 documents: 12 places if counted up to 2 in each
+    check(spark, rows)
+    assert held and held[0] > 100
