@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 
 #: Sequences of one partition are numbered from ``partition << PARTITION_SHIFT``.
 PARTITION_SHIFT = 40
+#: The one special string of the byte-level vocabularies.
+END_OF_TEXT = "<|endoftext|>"
 SCHEMA = ("{id} {id_type}, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
@@ -87,18 +89,47 @@ def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
             start += part
 
 
-def load_encoder(name: str):
-    """Byte-level BPE ranks of ``public_tokenizers``: text -> uint32 ids, special strings as plain text.
+class Encoder:
+    """Byte-level BPE of ``public_tokenizers``. ``specials`` names the strings that are one id; others are plain text.
 
-    The same vocabulary as ``name``.json, several times faster than the ``tokenizers`` library on this
-    work; a test holds the ids of both against each other.
+    ``tiktoken`` reads the same vocabulary several times faster than ``tokenizers``, but its pattern matcher gives up
+    on very long runs of white space; such a text goes to ``tokenizers``. Tests hold both against each other.
     """
-    import public_tokenizers
-    import tiktoken
 
-    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, name: str, specials: bool = False):
+        import public_tokenizers
+        import tiktoken
+
+        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
+            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.name, self.specials, self.whole = name, specials, None
+        known = {END_OF_TEXT: len(self.ranks)} if specials else {}
+        self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens=known)
+
+    def _whole(self, text: str) -> list[int]:
+        if self.whole is None:
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(public_tokenizers.path(f"{self.name}.json"))
+            self.whole.encode_special_tokens = not self.specials
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: str) -> list[int]:
+        try:
+            return self.fast.encode(text, allowed_special="all" if self.specials else set(), disallowed_special=())
+        except ValueError:
+            return self._whole(text)
+
+    def to_numpy(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all" if self.specials else set(), disallowed_special=())
+        except ValueError:
+            return np.array(self._whole(text), np.uint32)
+
+
+def load_encoder(name: str, specials: bool = False) -> Encoder:
+    return Encoder(name, specials)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024,
@@ -107,7 +138,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A document is its tokens and ``end_id``. ``capacity`` must be a power of two. Null text counts as
     empty (one piece that holds ``end_id``), null ids are carried, repeated rows are packed each,
-    other columns are not read, an empty table gives no rows. A very long text is cut like any other;
+    other columns are not read, an empty table gives no rows. ``<|endoftext|>`` inside a text is its one id,
+    as ``tokenizers`` has it. A very long text, one of white space too, is cut like any other;
     memory holds one Arrow batch and, per class, the pieces of one open bin.
     """
     if capacity & (capacity - 1):
@@ -117,7 +149,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def pack(batches):
         from pyspark import TaskContext
 
-        encoder = load_encoder(vocabulary)
+        encoder = load_encoder(vocabulary, specials=True)
         bins = Harmonic(capacity, TaskContext.get().partitionId() << PARTITION_SHIFT)
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         kinds = None
@@ -131,7 +163,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             placed = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                ids = np.append(encoder.encode_to_numpy(text), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encoder.to_numpy(text), np.uint32(end_id)).astype("<u4")
                 raw, n = memoryview(ids).cast("B"), len(ids)
                 for start, length in cuts(n, capacity):
                     crc = zlib.crc32(raw[4 * start : 4 * (start + length)])

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, embed, html_extract, langid, license_scan, linededup, packing, simhash, substring, urlfilter
+from tessera.llm import (
+    align, decontam, embed, html_extract, langid, license_scan, linededup, packing, prefix_trie, sharding, simhash, substring,
+    urlfilter,
+)
 from tessera.sources.tables import load
 
 # ---- fixed values: the URL rules (verdict, host, path prefix) ----
@@ -70,6 +73,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), capacity=1024, vocabulary="byte_bpe_50k", end_id=0)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(load(spark, sf_dir, "documents"), [1.0] * 16, added=[1.0])
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(load(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    rebuilt = prefix_trie.with_heads(lists, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, most=3)
+    return prefix_trie.trie(rebuilt)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(load(spark, sf_dir, "documents"))
+
+
 OP4_SQL = """
 WITH u AS (
   SELECT page_id,
@@ -134,6 +152,60 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+# CRC-32 in SQL: a table of 256 remainders, then a fold over the bytes
+_CRC_TABLE = """
+crc_steps AS (SELECT range AS i, list_reduce(list_concat([range], range(8)), lambda x, b:
+                CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256)),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM crc_steps)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a non-null string, with ``t`` (the table) in scope."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return (f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), "
+            f"lambda x, b: xor(x >> 8, t[CAST(xor(x, b) & 255 AS INTEGER) + 1])), 4294967295)")
+
+
+OP11_SQL = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), '') AS key,
+             row_number() OVER () AS r FROM documents),
+s AS (SELECT r, shard, 1 / -ln((CAST('0x' || substr(md5(key || '/' || shard), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS score
+      FROM d, range(17) n(shard)),
+b AS (SELECT r, arg_max(shard, score) FILTER (shard < 16) AS shard, arg_max(shard, score) AS grown FROM s GROUP BY r),
+a AS (SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size, {_crc32("text")} AS text_crc32, shard, grown
+      FROM d JOIN b USING (r), crc_table)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM a
+"""
+
+OP12_SQL = f"""
+WITH {_CRC_TABLE},
+o AS (SELECT conv_id, md5(CAST(octet_length(encode(coalesce(role, ''))) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS dg,
+             CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS w, turn
+      FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(struct_pack(dg := dg, w := w) ORDER BY turn NULLS FIRST, dg, w) AS own FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, own, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM l, crc_table),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1 : len(h.own)]) AS seq
+      FROM h LEFT JOIN l b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, len(seq) = d AS ends, md5(list_aggregate(list_concat([''], list_transform(seq[1:d], lambda x: x.dg)), 'string_agg', '')) AS node,
+             CASE WHEN d > 0 THEN md5(list_aggregate(list_concat([''], list_transform(seq[1:d - 1], lambda x: x.dg)), 'string_agg', '')) END AS up,
+             CASE WHEN d > 0 THEN seq[d].w ELSE 0 END AS w
+      FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM r)),
+n AS (SELECT d, node, up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM p GROUP BY d, node, up),
+k AS (SELECT up AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, d)),
+t AS (SELECT a.node, a.d, CAST(sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(m.own) AS BIGINT) AS saved_tokens
+      FROM (SELECT DISTINCT a.node, a.d, b.node AS below, b.d AS below_d FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.d <= b.d) a
+      JOIN m ON m.node = a.below AND m.d = a.below_d GROUP BY a.node, a.d)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, m.n_convs, CAST(m.n_children AS BIGINT) AS n_children,
+       t.n_leaves, t.saved_tokens, m.ends_sha256
+FROM m JOIN t ON t.node = m.node AND t.d = m.d LEFT JOIN n u ON u.node = m.up AND u.d = m.d - 1
+"""
+
 LLM_QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -145,6 +217,9 @@ LLM_QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_sharding": op11_sharding,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 LLM_SQL = {
@@ -152,4 +227,6 @@ LLM_SQL = {
     "op5_substring_dedup": OP5_SQL.strip(),
     "op8_embedding_near_dedup": OP8_SQL.strip(),
     "op9_line_dedup": OP9_SQL.strip(),
+    "op11_sharding": OP11_SQL.strip(),
+    "op12_prefix_trie": OP12_SQL.strip(),
 }

@@ -15,8 +15,7 @@ def reference_ids(texts):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))  # as it comes: <|endoftext|> in a text is its id
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -98,3 +97,10 @@ def test_cuts(n):
     parts = list(packing.cuts(n, 1024))
     assert sum(x for _, x in parts) == n and [s for s, _ in parts] == list(np.cumsum([0] + [x for _, x in parts])[:-1])
     assert all(x & (x - 1) == 0 for _, x in parts)
+
+
+def test_a_million_spaces(spark):
+    """Longer runs of white space than the fast matcher takes, among other documents."""
+    texts = ["a" + " " * 1_000_000 + "b", "short", " \n" * 400_000, "x<|endoftext|>" + " " * 1_000_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert check(packing.pack_documents(docs).collect(), dict(enumerate(reference_ids(texts))), 1024) == 0
