@@ -39,11 +39,16 @@ class Tokens:
     """Encoder of one vocabulary with the bytes of its entries."""
 
     def __init__(self, entries: list[bytes], encode):
-        self.entries, self.encode = entries, encode
+        self.encode = encode
         self.lengths = np.array([len(e) for e in entries], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.pool = np.frombuffer(b"".join(entries), np.uint8)
 
-    def exact(self, texts: list[bytes], ids: list[list[int]]) -> list[bool]:
-        return [b"".join(map(self.entries.__getitem__, i)) == t for t, i in zip(texts, ids)]
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the entries ``ids``, joined."""
+        lengths = self.lengths[ids]
+        before = np.cumsum(lengths) - lengths
+        return self.pool[np.arange(lengths.sum()) + np.repeat(self.starts[ids] - before, lengths)]
 
 
 @functools.cache
@@ -53,7 +58,7 @@ def byte_level(name: str) -> Tokens:
     entries = [b""] * (max(encoder.ranks.values()) + 1)
     for token, number in encoder.ranks.items():
         entries[number] = token
-    return Tokens(entries, lambda texts: [encoder.encode(" " + t) for t in texts])
+    return Tokens(entries, lambda texts: [encoder.to_numpy(" " + t) for t in texts])
 
 
 @functools.cache
@@ -67,60 +72,68 @@ def piece_level(name: str) -> Tokens:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         entries.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return Tokens(entries, lambda texts: model.encode(texts, num_threads=1))
+    return Tokens(entries, lambda texts: [np.array(ids, np.uint32) for ids in model.encode(texts, num_threads=1)])
 
 
 @functools.cache
-def _written(n: int, sep: str) -> list[str]:
-    return [f"{i}{sep}" for i in range(n)]
+def _written(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of "i,", "i|" and "i;" for every i below ``n``, at i, n + i and 2 n + i."""
+    forms = [f"{i}{sep}".encode() for sep in ",|;" for i in range(n)]
+    widest = max(map(len, forms))
+    table = np.frombuffer(b"".join(f.ljust(widest) for f in forms), np.uint8).reshape(-1, widest)
+    return table, np.array([len(f) for f in forms])
 
 
 def align(texts: list[str], a: Tokens, b: Tokens) -> list[tuple]:
     """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of each text, pairs as ``a id * |B| + b id``, ascending."""
-    raw = [(" " + t).encode("utf-8", "surrogatepass") for t in texts]
-    ids_a, ids_b = a.encode(texts), b.encode(texts)
-    good = [bool(t) and x and y for t, x, y in zip(texts, a.exact(raw, ids_a), b.exact(raw, ids_b))]
+    raw = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    own, ids_a, ids_b = [], [], []
+    for i, (whole, x, y) in enumerate(zip(raw, a.encode(texts), b.encode(texts))):
+        if whole and a.spelled(x).tobytes() == whole and b.spelled(y).tobytes() == whole:
+            own.append(i)
+            ids_a.append(x)
+            ids_b.append(y)
     out: list[tuple] = [(0, 0, 0, 0, "", [], [])] * len(texts)
-    own = [i for i, g in enumerate(good) if g]
     if not own:
         return out
-    n_a, n_b = (np.array([len(ids[i]) for i in own]) for ids in (ids_a, ids_b))
-    ids_a = np.fromiter((x for i in own for x in ids_a[i]), np.int64, n_a.sum())
-    ids_b = np.fromiter((x for i in own for x in ids_b[i]), np.int64, n_b.sum())
-    # one line of bytes for all texts: where a text ends, both end
-    ends_a, ends_b = np.cumsum(a.lengths[ids_a]), np.cumsum(b.lengths[ids_b])
-    common_a = np.isin(ends_a, ends_b, assume_unique=True)
-    common_b = np.isin(ends_b, ends_a, assume_unique=True)
-    stretches = np.union1d(ends_a, ends_b)
-    at_a, at_b = np.searchsorted(ends_a, stretches), np.searchsorted(ends_b, stretches)
-    text_of_a = np.repeat(np.arange(len(own)), n_a)
-    group_a = np.concatenate([[0], np.cumsum(common_a[:-1])])  # of every token, counted through
-    group_b = np.concatenate([[0], np.cumsum(common_b[:-1])])
+    n_a, n_b = (np.array([len(x) for x in ids]) for ids in (ids_a, ids_b))
+    ids_a, ids_b = np.concatenate(ids_a).astype(np.int64), np.concatenate(ids_b).astype(np.int64)
+    # one line of bytes for all texts, with the ends of both marked; where a text ends, both end
+    ends_a, ends_b = np.cumsum(a.lengths[ids_a]) - 1, np.cumsum(b.lengths[ids_b]) - 1
+    size = ends_a[-1] + 1
+    mark_a, mark_b = np.zeros(size, bool), np.zeros(size, bool)
+    mark_a[ends_a], mark_b[ends_b] = True, True
+    stretches = np.flatnonzero(mark_a | mark_b)
+    in_a, in_b = mark_a[stretches], mark_b[stretches]
+    at_a, at_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b  # the tokens that a stretch lies in
+    both = in_a & in_b
+    group = np.cumsum(both) - both
+    group_a, group_b = group[in_a], group[in_b]  # of every token, counted through
+    text_of_link = np.repeat(np.arange(len(own)), n_a)[at_a]
+    groups = np.bincount(text_of_link, both, len(own)).astype(np.int64)
+    links = np.bincount(text_of_link, minlength=len(own))
     # written form: the A ids of a group, then its B ids
-    order_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)
-    order_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
-    known = max(len(a.entries), len(b.entries))
-    forms = _written(known, ",") + _written(known, "|") + _written(known, ";")
+    n_groups = group[-1] + 1
+    before_a = np.concatenate([[0], np.cumsum(np.bincount(group_a, minlength=n_groups))])
+    before_b = np.concatenate([[0], np.cumsum(np.bincount(group_b, minlength=n_groups))])
+    known = max(len(a.lengths), len(b.lengths))
     line = np.empty(len(ids_a) + len(ids_b), np.int64)
-    line[order_a] = ids_a + known * common_a
-    line[order_b] = ids_b + 2 * known * common_b
-    bounds = np.concatenate([[0], np.cumsum(n_a + n_b)])
-    groups = np.bincount(text_of_a, common_a, len(own)).astype(np.int64)
-    text_of_link = text_of_a[at_a]
-    links = np.bincount(text_of_link, minlength=len(own))
+    line[np.arange(len(ids_a)) + before_b[group_a]] = ids_a + known * mark_b[ends_a]
+    line[np.arange(len(ids_b)) + before_a[group_b + 1]] = ids_b + 2 * known * mark_a[ends_b]
+    forms, widths = _written(known)
+    widths = widths[line]
+    written = forms[line][np.arange(forms.shape[1]) < widths[:, None]].tobytes()
+    bounds = np.concatenate([[0], np.cumsum(widths)])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
     # distinct pairs of each text
-    pair = ids_a[at_a] * len(b.entries) + ids_b[at_b]
-    order = np.lexsort((pair, text_of_link))
-    pair, text_of_link = pair[order], text_of_link[order]
-    new = np.append(True, (pair[1:] != pair[:-1]) | (text_of_link[1:] != text_of_link[:-1]))
-    starts = np.flatnonzero(new)
-    times = np.diff(np.append(starts, len(pair)))
-    pair, cuts = pair[starts], np.searchsorted(text_of_link[starts], np.arange(len(own) + 1))
-    line = line.tolist()
-    for k, i in enumerate(own):
-        text = "".join(map(forms.__getitem__, line[bounds[k] : bounds[k + 1]]))[:-1]
-        out[i] = (int(n_a[k]), int(n_b[k]), int(groups[k]), int(links[k]), hashlib.sha256(text.encode()).hexdigest(),
-                  pair[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]])
+    code = len(a.lengths) * len(b.lengths)
+    keys = np.sort(text_of_link * code + ids_a[at_a] * len(b.lengths) + ids_b[at_b])
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    times = np.diff(np.append(starts, len(keys)))
+    text_of_pair, pair = np.divmod(keys[starts], code)
+    cuts = np.searchsorted(text_of_pair, np.arange(len(own) + 1)).tolist()
+    for k, (i, *counts) in enumerate(zip(own, n_a.tolist(), n_b.tolist(), groups.tolist(), links.tolist())):
+        sha = hashlib.sha256(written[bounds[k] : bounds[k + 1] - 1]).hexdigest()
+        out[i] = (*counts, sha, pair[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]])
     return out
 
 
@@ -221,7 +234,7 @@ def align_documents(docs: DataFrame, vocabulary_a: str = "byte_bpe_50k", vocabul
     given = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     texts = given.where("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
     aligned = stored(align_texts(texts.select("text", "copies"), vocabulary_a, vocabulary_b), "align-texts")
-    counts = pair_counts(aligned, len(piece_level(vocabulary_b).entries))
+    counts = pair_counts(aligned, len(piece_level(vocabulary_b).lengths))
     own = aligned.select("sha", "copies", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     measures = stored(own.join(text_measures(aligned, counts).withColumnRenamed("sha", "__sha"),
                                F.col("sha") == F.col("__sha"), "left").drop("__sha"), "align-measures")
