@@ -32,8 +32,10 @@ UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}+")
 #: Marks the start of a word in the vocabulary.
 START = "▁"
-#: Words longer than this are scored in parts of this many letters.
-LONGEST = 512
+#: Words longer than this are passed over one at a time, in chunks of positions; others together with those as long.
+ALONE, CHUNK = 512, 1 << 16
+#: Positions between two scalings: what lies between is far within the range of doubles.
+RESCALE = 8
 #: Characters and words of text handled at a time; words whose scores a worker remembers.
 SLICE_CHARS = 2_000_000
 SLICE_WORDS = 400_000
@@ -132,49 +134,143 @@ def _spans(pieces: Pieces, codes: np.ndarray) -> Iterator[tuple[int, int, np.nda
                 yield end - back, end, number
 
 
+def _ends(pieces: Pieces, codes: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Piece numbers of the substrings of one word that end before the positions low + 1 .. high, by length (1 first)."""
+    first = max(0, low - pieces.longest + 1)
+    code = codes[first:high].astype(np.uint64) + np.uint64(1)
+    out = np.full((high - low, pieces.longest), pieces.n + 1, np.int32)
+    rolling = code
+    for back in range(1, pieces.longest + 1):
+        if back > 1:
+            rolling = rolling[:-1] * _BASE + code[back - 1 :]
+        number = pieces.find(rolling)
+        if back == 1:
+            number = np.minimum(number, pieces.n)  # a letter of its own
+        ends = np.arange(first + back, high + 1)
+        out[ends[ends > low] - low - 1, back - 1] = number[ends > low]
+    return out
+
+
+def _long_log_likelihood(word: str, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
+    """``log_likelihood`` of one word of any length, with a window of the longest piece."""
+    codes = np.frombuffer((START + word).encode("utf-32-le"), np.uint32)
+    d, scale = pieces.longest, np.zeros(probs.shape[1])
+    window = np.zeros((d, probs.shape[1]))
+    window[-1] = 1
+    for low in range(0, len(codes), CHUNK):
+        steps = probs[_ends(pieces, codes, low, min(low + CHUNK, len(codes)))[:, ::-1]]
+        held = np.concatenate([window, np.zeros((len(steps), probs.shape[1]))])
+        for j, step in enumerate(steps):
+            held[d + j] = (held[j : j + d] * step).sum(axis=0)
+            if j % RESCALE == RESCALE - 1:
+                top = held[j + 1 : j + d + 1].max(axis=0)
+                held[j + 1 : j + d + 1] /= top
+                scale += np.log(top)
+        window = held[len(steps) :].copy()
+    return np.log(window[-1]) + scale
+
+
 def log_likelihood(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.ndarray:
     """Log of the sum over all segmentations, for each word (rows) and language (columns of ``probs``).
 
     ``probs`` has a row per piece, one for a letter that is no piece, and a row of zeros.
     """
     out = np.zeros((len(words), probs.shape[1]))
-    for own, codes in _by_length(words):
+    alone = [i for i, w in enumerate(words) if len(w) > ALONE]
+    for i in alone:
+        out[i] = _long_log_likelihood(words[i], pieces, probs)
+    rest = np.array([i for i, w in enumerate(words) if len(w) <= ALONE], np.int64) if alone else np.arange(len(words))
+    for own, codes in _by_length([words[i] for i in rest] if alone else words):
         m, n = codes.shape
         forward = np.zeros((n + 1, m, probs.shape[1]))
         forward[0] = 1
         scale, at = np.zeros((m, probs.shape[1])), 0
         for start, end, number in _spans(pieces, codes):
-            if end > at and end % 16 == 1 and end > 1:  # keep long words within the range of doubles
-                low = max(0, end - 1 - pieces.longest)
+            if end > at and end % RESCALE == 1 and end > 1:
+                low = max(0, end - pieces.longest)
                 top = forward[low:end].max(axis=0)
                 forward[low:end] /= top
                 scale += np.log(top)
             at = end
             forward[end] += forward[start] * probs[number]
-        out[own] = np.log(forward[n]) + scale
+        out[rest[own]] = np.log(forward[n]) + scale
     return out
 
 
-def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
-    """Expected number of uses of each piece under ``probs`` (one language), words counted ``weights`` times.
+def _long_expected_counts(word: str, weight: float, pieces: Pieces, probs: np.ndarray, out: np.ndarray) -> None:
+    """Add the expected counts of one word of any length."""
+    codes = np.frombuffer((START + word).encode("utf-32-le"), np.uint32)
+    n, d = len(codes), pieces.longest
+    # values are scaled in the window that is still used; logs[i] is what position i was divided by in all
+    forward, forward_log = np.zeros(n + 1 + d), np.zeros(n + 1 + d)  # position i is at i + d
+    forward[d], now = 1, 0.0
+    for low in range(0, n, CHUNK):
+        steps = probs[_ends(pieces, codes, low, min(low + CHUNK, n))[:, ::-1]]
+        for j, step in enumerate(steps, low + 1):
+            forward[d + j], forward_log[d + j] = (forward[j : j + d] * step).sum(), now
+            if j % RESCALE == 0:
+                top = forward[j + 1 : j + d + 1].max()
+                forward[j + 1 : j + d + 1] /= top
+                forward_log[j + 1 : j + d + 1] += np.log(top)
+                now += np.log(top)
+    backward, backward_log = np.zeros(n + 1 + d), np.zeros(n + 1 + d)  # position i is at i
+    backward[n], now = 1, 0.0
+    total = np.log(forward[d + n]) + forward_log[d + n]
+    for low in reversed(range(0, n, CHUNK)):
+        high = min(low + CHUNK, n)
+        ends = _ends(pieces, codes, low, min(high + d, n))  # by end; taken by start below
+        number = np.full((high - low, d), pieces.n + 1, np.int32)
+        for back in range(1, d + 1):
+            starts = np.arange(low, min(high, n - back + 1))
+            number[starts - low, back - 1] = ends[starts + back - low - 1, back - 1]
+        steps = probs[number]
+        for i in range(high - 1, low - 1, -1):
+            backward[i], backward_log[i] = (backward[i + 1 : i + d + 1] * steps[i - low]).sum(), now
+            if (n - i) % RESCALE == 0:
+                top = backward[i : i + d].max()
+                backward[i : i + d] /= top
+                backward_log[i : i + d] += np.log(top)
+                now += np.log(top)
+        starts = np.arange(low, high)
+        for back in range(1, d + 1):
+            at = starts[starts + back <= n]
+            share = np.exp(forward_log[d + at] + backward_log[at + back] - total)
+            used = forward[d + at] * steps[at - low, back - 1] * backward[at + back] * share
+            out += np.bincount(number[at - low, back - 1], used * weight, len(out))
 
-    The words are at most ``LONGEST`` letters; those beyond 64 are left to the others.
-    """
+
+def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
+    """Expected number of uses of each piece under ``probs`` (one language), words counted ``weights`` times."""
     out = np.zeros(pieces.n + 2)
-    short = [i for i, w in enumerate(words) if len(w) <= 64]
+    for w, weight in zip(words, weights):
+        if len(w) > ALONE:
+            _long_expected_counts(w, weight, pieces, probs, out)
+    short = [i for i, w in enumerate(words) if len(w) <= ALONE]
     words, weights = [words[i] for i in short], weights[short]
     for own, codes in _by_length(words):
         m, n = codes.shape
         spans = list(_spans(pieces, codes))
-        forward, backward = np.zeros((n + 1, m)), np.zeros((n + 1, m))
-        forward[0] = backward[n] = 1
-        for start, end, number in spans:
-            forward[end] += forward[start] * probs[number]
-        for start, end, number in sorted(spans, key=lambda s: -s[0]):
-            backward[start] += backward[end] * probs[number]
+        passes = []
+        for order, first, turn in ((spans, 0, 1), (sorted(spans, key=lambda s: -s[0]), n, -1)):
+            value, logs, now, at = np.zeros((n + 1, m)), np.zeros((n + 1, m)), np.zeros(m), first
+            value[first] = 1
+            for start, end, number in order:
+                source, to = (start, end) if turn == 1 else (end, start)
+                if to != at:
+                    if abs(at - first) % RESCALE == 0 and at != first:
+                        near = slice(max(0, at - pieces.longest + 1), at + 1) if turn == 1 else slice(at, at + pieces.longest)
+                        top = value[near].max(axis=0)
+                        value[near] /= top
+                        logs[near] += np.log(top)
+                        now = now + np.log(top)
+                    at, logs[to] = to, now
+                value[to] += value[source] * probs[number]
+            passes.append((value, logs))
+        (forward, forward_log), (backward, backward_log) = passes
         weight = weights[own] / forward[n]
         for start, end, number in spans:
-            out += np.bincount(number, forward[start] * probs[number] * backward[end] * weight, len(out))
+            share = np.exp(forward_log[start] + backward_log[end] - forward_log[n])
+            out += np.bincount(number, forward[start] * probs[number] * backward[end] * share * weight, len(out))
     out[-1] = 0
     return out
 
@@ -188,10 +284,6 @@ class Model:
     probs: np.ndarray
 
 
-def _parts(word: str) -> list[str]:
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           vocabulary: str = "piece_bpe_32k.model", docs_per_language: int = 400, rounds: int = 3,
           smoothing: float = 0.05) -> Model:
@@ -241,8 +333,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             for pdf in batches:
                 for lang, group in pdf.groupby("lang"):
                     p = sent.value[:, languages.index(lang)]
-                    parts = [(x, n) for w, n in zip(group.word, group.n) for x in _parts(w)]
-                    c = expected_counts([x for x, _ in parts], np.array([n for _, n in parts], float), pieces, p)
+                    c = expected_counts(group.word.tolist(), group.n.to_numpy(float), pieces, p)
                     got[lang] = got.get(lang, 0) + c
             for lang, c in got.items():
                 used = np.flatnonzero(c)
@@ -254,6 +345,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         counts[sums.piece.to_numpy(int), [languages.index(x) for x in sums.lang]] = sums.n.to_numpy(float)
         counts[:-1] += smoothing
         probs = counts / counts.sum(axis=0)
+        if not np.isfinite(probs).all():
+            raise ArithmeticError("piece probabilities are not finite")
     return Model(languages, vocabulary, probs)
 
 
@@ -283,10 +376,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: Seque
                 numbers.clear()
                 table, new = table[:0], list(set(found))
             if new:
-                parts = [(i, p) for i, w in enumerate(new) for p in _parts(w)]
-                each = log_likelihood([p for _, p in parts], pieces, probs)
-                rows = np.zeros((len(new), probs.shape[1]))
-                np.add.at(rows, [i for i, _ in parts], each)
+                rows = log_likelihood(new, pieces, probs)
                 numbers.update(zip(new, range(len(table), len(table) + len(new))))
                 table = np.concatenate([table, rows])
             return table[np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))]

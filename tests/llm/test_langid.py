@@ -77,6 +77,41 @@ def test_expected_counts_against_enumeration():
     assert np.allclose(got, want)
 
 
+def test_long_words_are_summed_and_counted_whole(monkeypatch):
+    """Words beyond ALONE, in one or several chunks, give what the passes over equal lengths give."""
+    pieces, probs = tables(6, 2)
+    words = ["abx" * 50, "babc" * 33, "cab", "x" * 97]
+    whole = langid.log_likelihood(words, pieces, probs)
+    counts = langid.expected_counts(words, np.array([1.0, 2.0, 3.0, 1.5]), pieces, probs[:, 0])
+    for chunk in (7, 64, 1 << 16):
+        monkeypatch.setattr(langid, "ALONE", 20)
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert np.allclose(langid.log_likelihood(words, pieces, probs), whole)
+        assert np.allclose(langid.expected_counts(words, np.array([1.0, 2.0, 3.0, 1.5]), pieces, probs[:, 0]), counts)
+
+
+def test_rare_letters_neither_underflow_nor_are_left_out():
+    pieces, probs = tables(7, 1)
+    probs[-2] = 1e-12
+    for word in ("".join(map(chr, range(0x3B1, 0x3B1 + 60))), "ж" * 500, "ж" * 3000):
+        assert np.isfinite(langid.log_likelihood([word], pieces, probs)).all()
+        counts = langid.expected_counts([word], np.ones(1), pieces, probs[:, 0])
+        assert np.isclose(counts[len(NAMES)], len(word))
+
+
+def test_one_strange_document_leaves_the_model_alone(spark):
+    """60 different Greek letters in a row, and 3,000 letters without a space, in one training document."""
+    strange = "".join(chr(c) for c in range(0x370, 0x400) if chr(c).isalpha() and chr(c).lower() == chr(c))[:60]
+    rows = [(i, "the house and the garden with that tree are here", "en") for i in range(90)]
+    rows += [(100 + i, "la maison et le jardin avec cet arbre sont ici", "fr") for i in range(90)]
+    rows += [(300, strange, "en"), (301, "наш" * 1000, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert np.isfinite(model.probs).all()
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert all(got[i].lang_pred == lang and 0.5 < got[i].score <= 1 for i, _, lang in rows[:180])
+
+
 def test_held_out_accuracy_and_columns(spark):
     got = op3_language_id(spark, "/root/testdata/sf0.01")
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
