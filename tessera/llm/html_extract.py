@@ -6,9 +6,11 @@ its punctuation ratio the punctuation marks per node. Long, punctuated text
 repeats under few paths, while menus and notices are many short nodes without
 punctuation. Both ratios are smoothed along the page, so that a short paragraph
 between long ones keeps the company it is in, fused into one score per path and
-cut at a part of the best score. The element that holds (nearly) all of the
-selected nodes is the article; all its text is returned, but for elements that
-say themselves that they are something else (navigation, forms, comments...).
+cut at a part of the best score. The deepest element that holds all selected
+nodes is the article (an article or main element around it is a hint, and counts
+in the score). Inside it, text stays but for blocks of links and elements named
+as something else, which stay only if their path is selected; elements that are
+surely something else (navigation, forms, comments...) are never read.
 
 Pages are independent, so this is one pass over the table without a shuffle.
 """
@@ -39,6 +41,7 @@ NAMES = frozenset("nav navbar navigation menu menubar topnav subnav breadcrumb b
                   "recommended recommendations share sharing social search pagination pager toolbar widget "
                   "widgets".split())
 ALWAYS = frozenset("comment comments cookie cookies sidebar advert advertisement newsletter".split())
+DOUBTFUL = frozenset("alert discussion header notice notices rail related replies respond search social".split())
 MODIFIERS = frozenset("has with without no".split())
 ARTICLE_NAMES = frozenset("post entry article content story".split())
 CONTAINERS = frozenset("html body main article section div center table tbody thead tr td font".split())
@@ -57,22 +60,27 @@ PUNCTUATION = regex.compile(r"[.,;:!?。，、；：！？…]")
 CUT_OFF = regex.compile(r"</?[a-zA-Z][^<>]*\Z")
 #: Neighbours that a node's ratio is smoothed over, with weights of a bell curve.
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-#: A path is content from this part of the best score; the article holds this part of the content's characters.
-LEAST_SCORE = 0.2
+#: A path is content from this part of the best score; a block is links if they are this part of its characters.
+LEAST_SCORE = 0.6
 MOST_OF_IT = 0.9
-#: Text below an article or main element counts so many times.
+#: Text below an article or main element counts so many times; below a name that speaks against it so much.
 ARTICLE_WEIGHT = 4.0
+DOUBT_WEIGHT = 0.75
 
 
-def _own_words(tag: str, attrs: dict[str, str | None]) -> bool:
-    """True if the element says that it is not part of the article."""
+def _own_words(tag: str, attrs: dict[str, str | None]) -> str:
+    """Whether the element says that it is not part of the article: "surely", "perhaps" (by a name alone) or ""."""
     if tag in ("html", "body", "article", "main") and "comment" not in (attrs.get("class") or "").lower():
-        return False
+        return ""
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
-        return True
+        return "surely"
     if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
-    return any(map(_names_an_aside, f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()))
+        return "surely"
+    named = [n for n in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split() if _names_an_aside(n)]
+    parts = {x.lower() for n in named for x in NAME_PARTS.findall(n)}
+    if not named:
+        return ""
+    return "surely" if NAMES.intersection(parts) - DOUBTFUL else "perhaps"
 
 
 def _names_an_aside(name: str) -> bool:
@@ -90,15 +98,19 @@ def _names_an_aside(name: str) -> bool:
 
 
 class _Page(HTMLParser):
-    """Text nodes of a page in order: (element numbers from the root, path, text, block)."""
+    """Text nodes of a page in order: (element, path, text, block). Elements and paths are numbered, each with its parent."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, str]] = []  # tag, element, left out, name in the path
-        self.tags = [""]  # of the elements, by number
+        self.stack = [0]  # open elements; 0 is the page
+        self.tags, self.parent, self.last, self.path = [""], [0], [0], [0]  # last: the highest number below an element
+        self.out, self.inside, self.doubt, self.linked = [False], [False], [False], [False]
+        self.open_at: dict[str, list[int]] = {}  # places of a tag in the stack
+        self.blocks_at: list[int] = []  # places of elements that are not inline
+        self.paths: dict[tuple[int, str], int] = {}
         self.block = 0
         self.parts: list[str] = []
-        self.nodes: list[tuple[tuple[int, ...], str, str, int, bool]] = []
+        self.nodes: list[tuple[int, str, int]] = []
 
     def updatepos(self, i, j):
         return j  # line numbers are not needed
@@ -107,46 +119,57 @@ class _Page(HTMLParser):
         return self.parse_bogus_comment(i)
 
     def _flush(self) -> None:
-        text = "".join(self.parts)
-        self.parts = []
-        if text and not (self.stack and self.stack[-1][2]):
-            path = "/".join(name for tag, _, _, name in self.stack if tag not in INLINE or tag == "a")
-            inside = any(tag in ("article", "main") for tag, _, _, _ in self.stack)
-            self.nodes.append((tuple(e for _, e, _, _ in self.stack), path, text, self.block, inside))
+        if self.parts:
+            text = "".join(self.parts)
+            self.parts = []
+            if text and not self.out[self.stack[-1]]:
+                self.nodes.append((self.stack[-1], text, self.block))
 
     def _close(self, at: int) -> None:
-        del self.stack[at:]
+        while len(self.stack) > at:
+            element = self.stack.pop()
+            self.last[element] = len(self.tags) - 1
+            self.open_at[self.tags[element]].pop()
+            if self.blocks_at and self.blocks_at[-1] == len(self.stack):
+                self.blocks_at.pop()
+
+    def _last_open(self, tags) -> int:
+        return max((self.open_at[t][-1] for t in tags if self.open_at.get(t)), default=0)
 
     def handle_starttag(self, tag, attrs):
         self._flush()
         if tag not in INLINE:
             self.block += 1
-            tags = [x[0] for x in self.stack]
-            if tag not in VOID and "p" in tags and tag not in ("button", "object"):
-                at = len(tags) - 1 - tags[::-1].index("p")
-                if not any(x not in INLINE for x in tags[at + 1 :]):
-                    self._close(at)
-                    tags = tags[:at]
+            if tag not in VOID and tag not in ("button", "object") and self.blocks_at:
+                if self.tags[self.stack[self.blocks_at[-1]]] == "p":
+                    self._close(self.blocks_at[-1])
             for other in CLOSES.get(tag, ()):
-                if other in tags:
-                    at = len(tags) - 1 - tags[::-1].index(other)
-                    if not any(x in KEEPS_OPEN[tag] for x in tags[at + 1 :]):
-                        self._close(at)
-                        tags = tags[:at]
+                at = self._last_open((other,))
+                if at and self._last_open(KEEPS_OPEN[tag]) < at:
+                    self._close(at)
         if tag in VOID:
             return
-        attrs = {k: v for k, v in attrs}
-        above = {x[0] for x in self.stack}
-        out = bool(self.stack) and self.stack[-1][2]
-        if tag in ASIDE:
-            # the heading of an article may stand in a header of its own
-            out = out or not (tag == "header" and above & {"article", "main"})
-        if out and self.stack and self.stack[-1][0] == "header" and tag in HEADINGS and not self.stack[-1][2]:
+        attrs, up = dict(attrs), self.stack[-1]
+        inside = self.inside[up] or tag in ("article", "main")
+        # the heading of an article may stand in a header of its own
+        out = self.out[up] or (tag in ASIDE and not (tag == "header" and self.inside[up]))
+        if self.tags[up] == "header" and tag in HEADINGS and not self.out[up]:
             out = False
-        out = out or tag in UNSEEN or _own_words(tag, attrs)
-        self.tags.append(tag)
-        name = tag + "".join("." + c for c in (attrs.get("class") or "").split()[:3])
-        self.stack.append((tag, len(self.tags) - 1, out, name))
+        named = _own_words(tag, attrs)
+        # inside an article a name is a hint only, unless it leaves no doubt
+        unsure = named == "perhaps" and self.inside[up]
+        out = out or tag in UNSEEN or (bool(named) and not unsure)
+        path = self.path[up]
+        if tag not in INLINE or tag == "a":
+            name = tag + "".join("." + c for c in (attrs.get("class") or "").split()[:3])
+            path = self.paths.setdefault((path, name), len(self.paths) + 1)
+        self.stack.append(len(self.tags))
+        self.open_at.setdefault(tag, []).append(len(self.stack) - 1)
+        if tag not in INLINE:
+            self.blocks_at.append(len(self.stack) - 1)
+        for of_element, value in ((self.parent, up), (self.tags, tag), (self.last, 0), (self.path, path), (self.out, out),
+                                  (self.inside, inside), (self.doubt, self.doubt[up] or unsure), (self.linked, self.linked[up] or tag == "a")):
+            of_element.append(value)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -157,14 +180,18 @@ class _Page(HTMLParser):
         self._flush()
         if tag not in INLINE:
             self.block += 1
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self._close(at)
-                return
+        if self.open_at.get(tag):
+            self._close(self.open_at[tag][-1])
 
     def handle_data(self, data):
         self.parts.append(data)
 
+    def finish(self) -> None:
+        self.close()
+        self._flush()
+        self._close(1)
+        self.last[0] = len(self.tags) - 1
+
 
 def _smooth(values: np.ndarray) -> np.ndarray:
     n = len(values)
@@ -172,60 +199,75 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return around / np.convolve(np.ones(n), KERNEL)[2 : n + 2]
 
 
-def content_nodes(paths: list[str], lengths: np.ndarray, marks: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Which nodes are content: ratios per path, smoothed along the page, fused per path and cut."""
-    _, group = np.unique(np.array(paths, dtype=object).astype(str), return_inverse=True)
+def content_nodes(paths: np.ndarray, lengths: np.ndarray, marks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Which nodes are content: ratios per path, bare and smoothed along the page, fused per path and cut."""
+    _, group = np.unique(paths, return_inverse=True)
     count = np.bincount(group)
     fused = np.ones(len(count))
     for amount, least in ((lengths, 0.0), (marks, 0.2)):
         ratio = np.bincount(group, amount) / count
-        fused *= np.bincount(group, _smooth(ratio[group]) + least) / count
-    score = np.sqrt(fused) * (np.bincount(group, weights) / count)
+        fused *= (ratio + least) * np.bincount(group, _smooth(ratio[group]) + least) / count
+    score = fused**0.25 * (np.bincount(group, weights) / count)
     return (score >= LEAST_SCORE * score.max())[group]
 
 
+def _container(page: _Page, elements: np.ndarray, chosen: np.ndarray) -> int:
+    """The deepest element that holds all chosen nodes; the article or main element around it, if there is one."""
+    low, high = int(elements[chosen].min()), int(elements[chosen].max())
+    at = low
+    while page.last[at] < high or (page.tags[at] not in CONTAINERS and at):
+        at = page.parent[at]
+    hint, up = at, at
+    while up:
+        if page.tags[up] in ("article", "main") and (page.tags[hint] != "article"):
+            hint = up
+        up = page.parent[up]
+    return hint
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by one space; empty if there is none."""
     page = _Page()
     page.feed(CUT_OFF.sub("", html or ""))
-    page.close()
-    page._flush()
-    nodes = page.nodes
-    texts = [" ".join(n[2].split()) for n in nodes]
+    page.finish()
+    texts = [" ".join(text.split()) for _, text, _ in page.nodes]
     seen = [i for i, t in enumerate(texts) if t]
     if not seen:
         return ""
+    elements = np.array([page.nodes[i][0] for i in seen])
     lengths = np.array([len(texts[i]) for i in seen], float)
     marks = np.array([len(PUNCTUATION.findall(texts[i])) for i in seen], float)
-    weights = np.array([ARTICLE_WEIGHT if nodes[i][4] else 1.0 for i in seen])
-    chosen = content_nodes([nodes[i][1] for i in seen], lengths, marks, weights)
-    mass = lengths * weights * chosen
-    # the deepest element that holds most of the content; the root if there is no single one
-    depth, at, inside_of = 0, np.ones(len(seen), bool), ""
-    while True:
-        below: dict[int, float] = {}
-        for k, i in enumerate(seen):
-            if at[k] and len(nodes[i][0]) > depth:
-                below[nodes[i][0][depth]] = below.get(nodes[i][0][depth], 0.0) + mass[k]
-        best = max(below, key=below.get, default=None)
-        if best is None or below[best] < MOST_OF_IT * mass.sum() or page.tags[best] not in CONTAINERS:
+    doubt, linked = (np.array(flags)[elements] for flags in (page.doubt, page.linked))
+    weights = np.where(np.array(page.inside)[elements], ARTICLE_WEIGHT, 1.0) * np.where(doubt, DOUBT_WEIGHT, 1.0)
+    paths = np.array(page.path)[elements]
+    chosen = content_nodes(paths, lengths, marks, weights)
+    box = _container(page, elements, chosen)
+    kept = (elements >= box) & (elements <= page.last[box])
+    # a block of nothing but links goes with its path's score; so does what its name speaks against
+    block = np.array([page.nodes[i][2] for i in seen])
+    _, group = np.unique(block, return_inverse=True)
+    all_links = (np.bincount(group, lengths * linked) >= MOST_OF_IT * np.bincount(group, lengths))[group]
+    kept &= chosen | ~(all_links | doubt)
+    # the title before the element, if nothing but text stands between them
+    first = int(np.flatnonzero(kept)[0])
+    for k in range(first - 1, -1, -1):
+        if all_links[k] or doubt[k] or not page.tags[box] or page.inside[elements[k]] != page.inside[elements[first]]:
+            break
+        up = int(elements[k])
+        while page.tags[up] in INLINE:
+            up = page.parent[up]
+        if page.tags[up] == "h1":
+            kept[k:first] = True
             break
-        if inside_of == "article" or (inside_of == "main" and page.tags[best] != "article"):
-            break  # what an article holds beside its largest part belongs to it, as its title does
-        if depth and any(at[k] and len(nodes[i][0]) == depth for k, i in enumerate(seen)):
-            break  # text stands here between the elements
-        inside_of = page.tags[best]
-        at &= np.array([len(nodes[i][0]) > depth and nodes[i][0][depth] == best for i in seen])
-        depth += 1
-    inside = {seen[k] for k in np.flatnonzero(at)}
+    inside = {seen[k] for k in np.flatnonzero(kept)}
     blocks: list[list[str]] = []
     last = None
-    for i, node in enumerate(nodes):
-        if i in inside or (not texts[i] and last == node[3]):
-            if node[3] != last:
+    for i, (_, text, number) in enumerate(page.nodes):
+        if i in inside or (not texts[i] and last == number):
+            if number != last:
                 blocks.append([])
-                last = node[3]
-            blocks[-1].append(node[2])
+                last = number
+            blocks[-1].append(text)
     return " ".join(w for b in blocks for w in "".join(b).split())
 
 
@@ -236,9 +278,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     Character references are decoded, white space inside a block is one space. Null and empty html, and
     pages without an article, give the empty text; html without tags is its own text; broken markup is
     read as browsers do, as far as it matters here; repeated rows are extracted each; null ids are
-    carried; columns not named in ``carry`` are not read; an empty table gives no rows.
+    carried; columns not named in ``carry`` are not read, carried ones with the names of the two new columns
+    are replaced; an empty table gives no rows. A page is held as its elements and text nodes, numbered, so
+    its memory follows its length at any depth.
     """
-    kept = [id_col, *carry]
+    kept = [id_col, *[c for c in carry if c not in (id_col, "text", "n_chars")]]
     schema = pages.select(kept).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):

@@ -34,6 +34,13 @@ CASES = {
     "plain text": ("just  some\ntext", "just some text"),
     "empty": ("", ""), "null": (None, ""), "only a menu": (f"<nav>{MENU}</nav>", ""), "tags only": ("<div><p></p></div>", ""),
     "list inside": (f"<article><p>{P1}</p><ul><li>a</li><li>b</li></ul><blockquote>q</blockquote></article>", f"{P1} a b q"),
+    "split body": (f'<body><div>{MENU}</div><div><p>{P1 * 4}</p></div><div>{MENU}</div><div><p>{P2 * 4}</p></div><div>{MENU}</div></body>',
+                   f"{P1 * 4} {P2 * 4}"),
+    "title, lead and a long text": (f'<div>{MENU}</div><div id=content><h1>Title</h1><div class=lead><p>{P2}</p></div>'
+                                    f"<div class=text>{f'<p>{P1}</p>' * 15}</div></div><div>{MENU}</div>",
+                                    " ".join(["Title", P2, *[P1] * 15])),
+    "names inside the article": (f'<article><p>{P1}</p><div class="discussion"><p>{P2}</p></div><section id="search"><p>{P1}</p></section>'
+                                 f'<div class="share">Share it!</div><p>{P2}</p></article>', f"{P1} {P2} {P1} {P2}"),
     "broken": ("<p>x <![if y]> <3 & more</p", "x <3 & more"),
 }
 
@@ -89,6 +96,32 @@ def test_given_pages(spark):
 def test_nulls_repeats_and_extra_columns(spark):
     df = spark.createDataFrame([(None, "<p>a</p>", "t"), (1, None, "t"), (2, "b", "t"), (2, "b", "t")],
                                "page_id long, html string, text string")
+    assert html_extract.extract(df, carry=("text",)).columns == ["page_id", "text", "n_chars"]
     got = html_extract.extract(df)
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got.collect()) == [(0, "a", 1), (1, "", 0), (2, "b", 1), (2, "b", 1)]
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_unclosed_tags_take_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert html_extract.main_text("<div>word " * 20_000) == " ".join(["word"] * 20_000)
+    assert html_extract.main_text("<div><b><i>word " * 5_000).count("word") == 5_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_selection_decides(spark, monkeypatch):
+    """Pages without one telling name or element: the paths' scores find most articles exactly, a random choice few."""
+    import numpy as np
+
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    unnamed = [re.sub("<(/?)(?:article|nav|footer)>", r"<\1div>", p).replace(' class="ad"', "") for p in pages]
+    wanted = [article(p) for p in pages]
+    right = sum(html_extract.main_text(p) == w for p, w in zip(unnamed, wanted))
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(html_extract, "content_nodes", lambda paths, *_: np.arange(len(paths)) == rng.integers(len(paths)))
+    by_chance = sum(html_extract.main_text(p) == w for p, w in zip(unnamed, wanted))
+    assert right >= 0.6 * len(pages) and by_chance < 0.5 * right
