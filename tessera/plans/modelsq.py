@@ -21,6 +21,7 @@ from tessera.operators import density as dn
 from tessera.operators import features as fe
 from tessera.operators import metrics as me
 from tessera.operators import models as mo
+from tessera.operators import spatial as sa
 from tessera.operators import splits as sp
 from tessera.operators import timeseries as ts
 from tessera.operators.ordering import global_index
@@ -373,6 +374,7 @@ def silhouette(spark, sf_dir):
 # ---- density clustering on the standardized customer features --------------------
 
 DB_EPS, DB_MIN = 1.2, 10
+PAIR_EPS = 0.6
 
 
 def _dbscan(spark, sf_dir):
@@ -383,24 +385,53 @@ def _dbscan(spark, sf_dir):
     return _memo[key]
 
 
-@register("dbscan")
-def dbscan(spark, sf_dir):
-    return _dbscan(spark, sf_dir)
-
-
 _Z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(CLUSTER_FEATURES))
 _D2 = " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(len(CLUSTER_FEATURES)))
-
-
-@register("dbscan_core", sql=f"""
-WITH per AS (SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice) AS total_spent, avg(o_totalprice) AS avg_price
-             FROM orders GROUP BY o_custkey),
+_CUSTOMER_SQL = """
+per AS (SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice) AS total_spent, avg(o_totalprice) AS avg_price,
+               max(o_orderdate) AS last_order
+        FROM orders GROUP BY o_custkey),
 seg AS (SELECT c_mktsegment AS s, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code
         FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)),
 c AS (SELECT c_custkey, c_acctbal, c_nationkey, coalesce(n_orders, 0) AS n_orders, coalesce(total_spent, 0.0) AS total_spent,
-             coalesce(avg_price, 0.0) AS avg_price, coalesce(code, -1) AS segment
-      FROM customer LEFT JOIN per ON c_custkey = o_custkey LEFT JOIN seg ON c_mktsegment = s),
-z AS (SELECT c_custkey, {_Z} FROM c),
+             coalesce(avg_price, 0.0) AS avg_price, coalesce(code, -1) AS segment,
+             CASE WHEN last_order IS NULL OR last_order < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY
+                  THEN 1.0 ELSE 0.0 END AS label
+      FROM customer LEFT JOIN per ON c_custkey = o_custkey LEFT JOIN seg ON c_mktsegment = s)"""
+_SCALED_SQL = f"""{_CUSTOMER_SQL},
+z AS (SELECT c_custkey, {_Z} FROM c)"""
+# neighbours, core points, what core points reach through core points, clusters by their smallest core id
+_DBSCAN_SQL = f"""{_SCALED_SQL},
+e AS MATERIALIZED (SELECT a.c_custkey AS u, b.c_custkey AS w FROM z a JOIN z b ON {_D2} <= {DB_EPS * DB_EPS}),
+k AS (SELECT u AS id, count(*) >= {DB_MIN} AS is_core FROM e GROUP BY u),
+ce AS MATERIALIZED (SELECT u, w FROM e WHERE u <> w AND u IN (SELECT id FROM k WHERE is_core) AND w IN (SELECT id FROM k WHERE is_core)),
+r(u, w) AS (SELECT u, w FROM ce UNION SELECT r.u, ce.w FROM r JOIN ce ON r.w = ce.u),
+co AS (SELECT id, least(id, coalesce((SELECT min(w) FROM r WHERE r.u = id), id)) AS comp FROM k WHERE is_core),
+nb AS (SELECT e.u AS id, min(co.comp) AS comp FROM e JOIN co ON co.id = e.w GROUP BY e.u),
+nu AS (SELECT comp, row_number() OVER (ORDER BY comp) - 1 AS cluster FROM (SELECT DISTINCT comp FROM co)),
+db AS (SELECT k.id AS c_custkey, CAST(coalesce(nu.cluster, -1) AS INTEGER) AS cluster, is_core
+       FROM k LEFT JOIN co USING (id) LEFT JOIN nb USING (id) LEFT JOIN nu ON nu.comp = coalesce(co.comp, nb.comp))"""
+
+
+@register("eps_pairs", sql=f"""
+WITH {_SCALED_SQL}
+SELECT a.c_custkey AS a, b.c_custkey AS b, round(sqrt({_D2}), 6) AS distance
+FROM z a JOIN z b ON a.c_custkey < b.c_custkey AND {_D2} <= {PAIR_EPS * PAIR_EPS}
+""")
+def eps_pairs(spark, sf_dir):
+    """Customers at most ``PAIR_EPS`` apart in the standardized features."""
+    points = _scaled_customers(spark, sf_dir).select("c_custkey", *[c + "_z" for c in CLUSTER_FEATURES])
+    found = sa.eps_pairs(points, "c_custkey", [c + "_z" for c in CLUSTER_FEATURES], PAIR_EPS)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@register("dbscan", sql=f"WITH RECURSIVE {_DBSCAN_SQL} SELECT c_custkey, cluster, is_core FROM db")
+def dbscan(spark, sf_dir):
+    return _dbscan(spark, sf_dir)
+
+
+@register("dbscan_core", sql=f"""
+WITH {_SCALED_SQL},
 n AS (SELECT a.c_custkey, count(*) AS n FROM z a JOIN z b ON {_D2} <= {DB_EPS * DB_EPS} GROUP BY a.c_custkey)
 SELECT c_custkey, n >= {DB_MIN} AS is_core FROM n
 """)
@@ -408,7 +439,12 @@ def dbscan_core(spark, sf_dir):
     return _dbscan(spark, sf_dir).select("c_custkey", "is_core")
 
 
-@register("dbscan_summary")
+@register("dbscan_summary", sql=f"""
+WITH RECURSIVE {_DBSCAN_SQL}
+SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters, count(*) FILTER (cluster = -1) AS n_noise,
+       count(*) FILTER (is_core) AS n_core, count(*) AS n_points
+FROM db
+""")
 def dbscan_summary(spark, sf_dir):
     d = _dbscan(spark, sf_dir)
     return d.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"),
@@ -416,7 +452,13 @@ def dbscan_summary(spark, sf_dir):
                  F.count_if("is_core").alias("n_core"), F.count(F.lit(1)).alias("n_points"))
 
 
-@register("dbscan_profile")
+_MEANS_SQL = ", ".join(f"round(avg({c}), 2) AS mean_{c}" for c in CLUSTER_FEATURES)
+
+
+@register("dbscan_profile", sql=f"""
+WITH RECURSIVE {_DBSCAN_SQL}
+SELECT cluster, count(*) AS n, round(avg(label), 4) AS churn_rate, {_MEANS_SQL} FROM db JOIN c USING (c_custkey) GROUP BY cluster
+""")
 def dbscan_profile(spark, sf_dir):
     """Profile of the density clusters, noise (-1) included."""
     return _profile(_segments(spark, sf_dir), "dbscan_cluster")
