@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators import blockindex as bi
 from tessera.operators import retrieval as rv
 from tessera.operators import text as te
 from tessera.plans.registry import register
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, stored
 from tessera.sources.tables import Tables
 
 WS = tx.PY_WHITESPACE_CLASS
@@ -176,22 +177,22 @@ _INDEX: dict = {}
 def _fit(t):
     """Build the retrieval index once per session and scale factor.
 
-    Chunk table, IDF table and postings are written to the shared checkpoint
-    folder; every retrieval query then reads these tables instead of
-    re-chunking and re-fitting (the reference builds its index once too).
+    Chunk table, IDF table and the posting blocks are written to the shared
+    checkpoint folder; every retrieval query then reads these tables instead of
+    re-chunking and re-fitting.
     """
     key = (t.sf_dir, t.spark.sparkContext.applicationId)
     if key not in _INDEX:
         ch = cut_lineage(_chunks(t))
         idf, post = rv.tfidf_fit(ch, ["doc_id", "chunk_id"], "chunk")
-        _INDEX[key] = (ch, cut_lineage(idf), cut_lineage(post))
+        _INDEX[key] = (ch, cut_lineage(idf), bi.build(post, ch.count()))
     return _INDEX[key]
 
 
 @register("tfidf", sql=f"WITH {_TFIDF_SQL} SELECT doc_id, chunk_id, term, tf, round(weight, 9) AS weight FROM dp")
 def tfidf(spark, sf_dir):
-    _, _, post = _fit(Tables(spark, sf_dir))
-    return post.withColumn("weight", F.round("weight", 9))
+    _, _, index = _fit(Tables(spark, sf_dir))
+    return bi.postings(index).withColumn("weight", F.round("weight", 9))
 
 
 @register("tfidf_query", sql=f"WITH {_TFIDF_SQL} SELECT item_id, term, tf, round(weight, 9) AS weight FROM qp")
@@ -207,23 +208,40 @@ SELECT (SELECT n FROM nc) AS n_chunks, (SELECT count(*) FROM idf) AS n_terms, (S
        (SELECT max(df) FROM idf) AS max_df
 """)
 def index_stats(spark, sf_dir):
-    ch, idf, post = _fit(Tables(spark, sf_dir))
+    ch, idf, index = _fit(Tables(spark, sf_dir))
     n_chunks = ch.count()
     terms = idf.agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("m")).first()
-    n_postings = post.count()
+    n_postings = index.terms.agg(F.sum("n")).first()[0] or 0
     return spark.createDataFrame(
         [(n_chunks, terms["n"], n_postings, terms["m"])],
         "n_chunks long, n_terms long, n_postings long, max_df long")
 
 
+@register("index_lookup", sql=f"""
+WITH {_TFIDF_SQL},
+pt AS (SELECT term, count(*) AS n, max(weight) AS top FROM dp GROUP BY term)
+SELECT item_id, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_postings, round(sum(qp.weight * top), 9) AS best_possible
+FROM qp JOIN pt USING (term) GROUP BY item_id
+""")
+def index_lookup(spark, sf_dir):
+    """What the stored index holds for each question: terms, postings, and the highest score a chunk could have."""
+    t = Tables(spark, sf_dir)
+    _, idf, index = _fit(t)
+    asked = rv.tfidf_transform(t.benchmark, idf, ["item_id"], "text").select("item_id", "term", F.col("weight").alias("wq"))
+    per_term = bi.lookup(asked, index).groupBy("item_id", "term", "wq").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    return per_term.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("n_postings"),
+        F.round(F.sum(F.col("wq") * F.col("top")), 9).alias("best_possible"))
+
+
 def _ranked(t):
     """Top-3 chunks per benchmark question, computed once per session (answers,
     prompts and the ranking query all read the same retrieval)."""
     key = ("ranked", t.sf_dir, t.spark.sparkContext.applicationId)
     if key not in _INDEX:
-        ch, idf, post = _fit(t)
-        q = rv.tfidf_transform(t.benchmark, idf, ["item_id"], "text")
-        scores = rv.sparse_scores(q, post, ["item_id"], ["doc_id", "chunk_id"])
+        ch, idf, index = _fit(t)
+        q = stored(rv.tfidf_transform(t.benchmark, idf, ["item_id"], "text"), "question-postings")
+        scores = bi.retrieve(q, index, "item_id", ("doc_id", "chunk_id"), TOP)
         every = rv.with_unmatched(scores, t.benchmark, ch, ["item_id"], ["doc_id", "chunk_id"], TOP)
         _INDEX[key] = (ch, cut_lineage(rv.top_k(every, ["item_id"], ["doc_id", "chunk_id"], TOP)))
     return _INDEX[key]
