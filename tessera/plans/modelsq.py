@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import arrays as ar
+from tessera.operators import clusters as cl
 from tessera.operators import density as dn
 from tessera.operators import features as fe
 from tessera.operators import metrics as me
@@ -26,7 +27,7 @@ from tessera.operators import splits as sp
 from tessera.operators import timeseries as ts
 from tessera.operators.ordering import global_index
 from tessera.plans.registry import register
-from tessera.session import cut_lineage, scratch_path
+from tessera.session import cut_lineage, scratch_path, stored
 from tessera.sources import files as fs
 from tessera.sources.tables import Tables
 
@@ -261,13 +262,19 @@ def _scale(spark, sf_dir):
 
 
 def _sweep(spark, sf_dir):
+    """(scaled customers, (k, inertia, silhouette), the same with the cluster of the best k); Euclidean silhouettes decide."""
     key = ("sweep", sf_dir, spark.sparkContext.applicationId)
     if key not in _memo:
         data = _scaled_customers(spark, sf_dir)
-        sweep, models = mo.kmeans_sweep(data, range(2, 9), RESTARTS, 42)
-        best_k = sweep.orderBy(F.desc("silhouette"), "k").first()["k"]
-        assigned = models[best_k].transform(data).withColumnRenamed("prediction", "kmeans_cluster")
-        _memo[key] = (data, sweep, cut_lineage(assigned))
+        scaled = [c + "_z" for c in CLUSTER_FEATURES]
+        best = cl.kmeans(data, "c_custkey", scaled, range(2, 9), RESTARTS, 42)
+        assigned = stored(cl.assign(data.drop("features"), scaled, {f"__k{k}": c for k, (_, c) in best.items()}), "kmeans")
+        found = cl.silhouettes(assigned, "c_custkey", scaled, [f"__k{k}" for k in best]).collect()
+        score = {int(r["clustering"][3:]): r["silhouette"] for r in found}
+        sweep = spark.createDataFrame([(k, inertia, score[k]) for k, (inertia, _) in sorted(best.items())],
+                                      "k int, inertia double, silhouette double")
+        best_k = max(sorted(score), key=lambda k: score[k])
+        _memo[key] = (data, sweep, assigned.withColumn("kmeans_cluster", F.col(f"__k{best_k}")).drop(*[f"__k{k}" for k in best]))
     return _memo[key]
 
 
@@ -280,7 +287,7 @@ def _profile(df: DataFrame, cluster: str) -> DataFrame:
 def _segments(spark, sf_dir) -> DataFrame:
     """Customers with encodings, features and both cluster ids, one row each."""
     assigned = _sweep(spark, sf_dir)[2]
-    return assigned.drop("features", *[c + "_z" for c in CLUSTER_FEATURES]).join(
+    return assigned.drop(*[c + "_z" for c in CLUSTER_FEATURES]).join(
         _dbscan(spark, sf_dir).select("c_custkey", F.col("cluster").alias("dbscan_cluster")), "c_custkey")
 
 
@@ -307,7 +314,7 @@ def pca_2d(spark, sf_dir):
     """Two axes of the scaled features, with both cluster ids."""
     data, _, assigned = _sweep(spark, sf_dir)
     model = mo.pca_fit(data, 2)
-    out = model.transform(assigned).select("c_custkey", "kmeans_cluster", vector_to_array("pca").alias("pc"))
+    out = model.transform(mo.assemble(assigned, [c + "_z" for c in CLUSTER_FEATURES])).select("c_custkey", "kmeans_cluster", vector_to_array("pca").alias("pc"))
     other = _dbscan(spark, sf_dir).select("c_custkey", F.col("cluster").alias("dbscan_cluster"))
     return out.join(other, "c_custkey").select(
         "c_custkey", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"), "kmeans_cluster", "dbscan_cluster")
@@ -371,6 +378,26 @@ def silhouette(spark, sf_dir):
     return spark.createDataFrame([(int(k), float(score))], "n_clusters int, silhouette double")
 
 
+@register("silhouette_exact", sql="""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+n AS (SELECT label, count(*) AS n FROM v GROUP BY label),
+s AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS d FROM v a, v b GROUP BY ALL),
+m AS (SELECT vec_id, any_value(o.n) AS n, max(CASE WHEN other = s.label THEN d / greatest(o.n - 1, 1) END) AS a,
+             min(CASE WHEN other <> s.label THEN d / t.n END) AS b
+      FROM s JOIN n o ON o.label = s.label JOIN n t ON t.label = s.other GROUP BY vec_id)
+SELECT count(*) AS n_points, CAST((SELECT count(*) FROM n) AS INTEGER) AS n_clusters,
+       round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 9) AS silhouette FROM m
+""")
+def silhouette_exact(spark, sf_dir):
+    """Euclidean silhouette of the given embedding labels as clusters, from all pairs."""
+    emb = Tables(spark, sf_dir).embeddings
+    wide = len(emb.where(F.col("embedding").isNotNull()).first()["embedding"])
+    rows = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(wide)])
+    return cl.silhouettes(rows, "vec_id", [f"e{i}" for i in range(wide)], ["label"]).select(
+        "n_points", "n_clusters", F.round("silhouette", 9).alias("silhouette"))
+
+
 # ---- density clustering on the standardized customer features --------------------
 
 DB_EPS, DB_MIN = 1.2, 10
