@@ -78,7 +78,7 @@ def pie_shares(df: DataFrame, col: str, top: int = 30, digits: int = 1) -> DataF
 def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5, digits: int = 6) -> DataFrame:
     """Per group: quartiles, whisker ends (last data point within 1.5 IQR), outlier count.
 
-    Quartiles come from a range sort (``profile.grouped_quantiles``); the fences, one row per group, are
+    Quartiles come from brackets (``profile.bracket_quantiles``); the fences, one row per group, are
     joined back to the rows (broadcast once measured to be small) and whiskers are conditional min/max,
     so no group is ever gathered in one task.
     """
@@ -143,21 +143,21 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0,
 def pair_bins(df: DataFrame, cols: Sequence[str], hue: str, bins: int = 10) -> DataFrame:
     """Pair-plot data: for every column pair, counts per (hue, x bin, y bin).
 
-    One scan: each row emits one struct per pair (a fixed number set by the
-    column list), counted with partial aggregation.
+    One scan: each row emits one number per pair (a fixed number set by the column list), which stands for the pair
+    and both bins; it is counted with partial aggregation and taken apart afterwards.
     """
     mm = _moments(df, cols)
     b = {c: bin_expr(c, mm[c][0], mm[c][1], bins) for c in cols}
-    pairs = [
-        F.struct(F.lit(a).alias("x_col"), F.lit(c).alias("y_col"), b[a].alias("x_bin"), b[c].alias("y_bin"))
-        for a, c in combinations(cols, 2)
-    ]
-    return (
-        df.select(hue, F.inline(F.array(*pairs)))
-        .where(F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull())
-        .groupBy("x_col", "y_col", hue, "x_bin", "y_bin")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    staged = df.select(F.col(hue).alias("__hue"), *[b[c].alias(f"__b{i}") for i, c in enumerate(cols)])
+    pairs = list(combinations(range(len(cols)), 2))
+    codes = F.array(*[F.col(f"__b{i}") * bins + F.col(f"__b{j}") + k * bins * bins for k, (i, j) in enumerate(pairs)])
+    counted = staged.select("__hue", F.explode(codes).alias("code")).where("code IS NOT NULL").groupBy("__hue", "code").agg(
+        F.count(F.lit(1)).alias("count"))
+    names = F.array(*[F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y")) for i, j in pairs])
+    pair = F.element_at(names, F.floor(F.col("code") / (bins * bins)).cast("int") + 1)
+    return counted.select(pair["x"].alias("x_col"), pair["y"].alias("y_col"), F.col("__hue").alias(hue),
+                          F.floor(F.col("code") % (bins * bins) / bins).cast("int").alias("x_bin"),
+                          (F.col("code") % bins).cast("int").alias("y_bin"), "count")
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, pairs_per_pass: int = 15) -> DataFrame:

@@ -41,7 +41,7 @@ def column_info(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = 6) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (linear interpolation), max per column.
 
-    Quantiles are exact and come from one range sort of all (column, value) pairs; see ``grouped_quantiles``.
+    Quantiles are exact, from two scans of all columns and the few values between brackets; see ``bracket_quantiles``.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     aggs = []
@@ -50,9 +50,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int | Non
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                  F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
     one = df.agg(*aggs)
-    cells = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("__column"), F.col(c).cast("double").alias("__value")) for i, c in enumerate(cols)])))
-    quantiles = grouped_quantiles(cells, ["__column"], "__value", (0.25, 0.5, 0.75), ("p25", "p50", "p75"))
+    quantiles = bracket_quantiles(df, [], cols, (0.25, 0.5, 0.75)).groupBy("col").agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75)])
 
     def r(col: Column) -> Column:
         return F.round(col, digits) if digits is not None else col
@@ -71,7 +70,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int | Non
     ]
     moments = one.select(F.inline(F.array(*rows)))
     # a row per column on either side
-    return moments.join(F.broadcast(quantiles), F.col("__i") == F.col("__column"), "left").select(
+    return moments.join(F.broadcast(quantiles), F.col("column_name") == F.col("col"), "left").select(
         "column_name", "count", "mean", "std", "min", r(F.col("p25")).alias("p25"), r(F.col("p50")).alias("p50"),
         r(F.col("p75")).alias("p75"), "max")
 
@@ -148,37 +147,125 @@ def safe_ratio(num: Column | str, den: Column | str, scale: float = 1.0,
     return v
 
 
-def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value: str, probs: Sequence[float],
-                      names: Sequence[str]) -> DataFrame:
-    """Exact linear-interpolation quantiles of every group: (*group_cols, *names); nulls are left out.
+#: Size of a sketch (its rank error is about 0.05 %) and the margin taken around a rank; what a sketch for a second
+#: round is worth; brackets with more values than ``KEEP`` have one.
+SKETCH, MARGIN = 8000, 0.001
+ACCURACY = 10_000
+KEEP = 1_000_000
+GRID = 200
+
+
+def bracket_quantiles(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles of ``cols`` in every group: (*group_cols, col, prob, value), nulls left out.
+
+    1. A mergeable sketch per group and column (KLL, one scan) gives two values that very likely enclose each wanted rank.
+    2. A second scan counts the values below and up to these brackets. A bracket of one value is settled; one that misses
+       its rank or holds very many values is drawn again from a sketch of its own rows.
+    3. The values strictly inside the other brackets, counted by value, are the only ones that are shuffled.
 
-    No group is gathered anywhere: (group, value) pairs are range-sorted and numbered with
-    ``ordering.global_index``, a group's first number and count (partially aggregated) give the at most
-    two numbers that each quantile needs, and only these rows are read back by a join on the number.
+    Groups are joined to the rows by a broadcast measured to be small, else as Spark chooses. No group is gathered.
     """
-    from tessera.operators.ordering import broadcast_if_small, global_index
-
-    values = df.select(*group_cols, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    placed = global_index(values, [*group_cols, "__v"], "__at")
-    spans = placed.groupBy(*group_cols).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    wanted = []
-    for p, name in zip(probs, names):
-        at = F.lit(float(p)) * (F.col("__n") - 1)
-        low = F.floor(at)
-        wanted += [F.struct(F.lit(name).alias("__name"), (F.col("__first") + low).alias("__want"),
-                            (1 - (at - low)).alias("__share")),
-                   F.struct(F.lit(name).alias("__name"), (F.col("__first") + F.ceil(at)).alias("__want"),
-                            (at - low).alias("__share"))]
-    asked = spans.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group_cols)], F.inline(F.array(*wanted)))
-    found = placed.select("__at", "__v").join(broadcast_if_small(asked), F.col("__at") == F.col("__want"))
-    # low + (high - low) * part, as the two ends weighted: exact where both ends are equal
-    ends = found.groupBy(*[f"__g{i}" for i in range(len(group_cols))], "__name").agg(
-        F.min("__v").alias("__low"), F.max("__v").alias("__high"),
-        F.max(F.struct("__want", "__share"))["__share"].alias("__part"))
-    value_of = F.col("__low") + F.col("__part") * (F.col("__high") - F.col("__low"))
-    wide = ends.groupBy(*[f"__g{i}" for i in range(len(group_cols))]).agg(
-        *[F.max(F.when(F.col("__name") == name, value_of)).alias(name) for name in names])
-    return wide.select(*[F.col(f"__g{i}").alias(c) for i, c in enumerate(group_cols)], *names)
+    from tessera.operators.ordering import broadcast_if_small
+    from tessera.session import stored
+
+    gs = [f"__g{i}" for i in range(len(group_cols))]
+    vs = [f"__v{i}" for i in range(len(cols))]
+    slots = [(i, float(p)) for i in range(len(cols)) for p in probs]
+    values = df.select(*[F.col(c).alias(g) for c, g in zip(group_cols, gs)], *[F.col(c).cast("double").alias(v) for c, v in zip(cols, vs)])
+
+    def grouped(rows: DataFrame, aggs: list[str]) -> DataFrame:
+        exprs = [F.expr(a) for a in aggs]
+        return rows.groupBy(*gs).agg(*exprs) if gs else rows.agg(*exprs)
+
+    def joined(rows: DataFrame, marks: DataFrame) -> DataFrame:
+        """The rows with what ``marks`` (stored) says of their group; of all rows if there are no groups."""
+        if not gs:
+            row = marks.first()
+            return rows.selectExpr("*", *[f"{_literal(row[f.name], f.dataType)} AS {f.name}" for f in marks.schema.fields])
+        named = broadcast_if_small(marks.withColumnsRenamed({g: f"__m{g}" for g in gs}))
+        return rows.join(named, F.expr(" AND ".join(f"{g} <=> __m{g}" for g in gs))).drop(*[f"__m{g}" for g in gs])
+
+    def counted(marks: DataFrame) -> DataFrame:
+        """The marks with, per slot, values below (b) and up to (u) the bracket, and the next value beyond it (x)."""
+        aggs = [a for s, (i, _) in enumerate(slots) for a in (
+            f"count(IF({vs[i]} < lo{s}, 1, NULL)) AS b{s}", f"count(IF({vs[i]} <= hi{s}, 1, NULL)) AS u{s}",
+            f"min(IF({vs[i]} > hi{s}, {vs[i]}, NULL)) AS x{s}")]
+        met = joined(values, marks)
+        for start in range(0, len(aggs), 36):  # an aggregate of more fields would not be compiled
+            marks = joined(marks, grouped(met, aggs[start : start + 36]))
+        return stored(marks, "quantile-marks")
+
+    wanted = ", ".join(f"{min(1.0, max(0.0, p + d))!r}D" for p in probs for d in (-MARGIN, MARGIN))
+    sketches = grouped(values, [a for i, v in enumerate(vs) for a in (
+        f"count({v}) AS n{i}", f"kll_sketch_agg_double({v}, {SKETCH}) AS k{i}")])
+    drawn = sketches.selectExpr(*gs, *[f"n{i}" for i in range(len(vs))], *[
+        f"IF(kll_sketch_get_n_double(k{i}) > 0, kll_sketch_get_quantile_double(k{i}, array({wanted})), NULL) AS q{i}" for i in range(len(vs))])
+    of_slot = [*gs, *[f"n{i}" for i in range(len(vs))]]
+    place = {s: (i, 2 * (s % len(probs))) for s, (i, _) in enumerate(slots)}
+    marks = counted(stored(drawn.selectExpr(*of_slot, *[f"q{i}[{at + d}] AS {side}{s}" for s, (i, at) in place.items()
+                                                        for d, side in enumerate(("lo", "hi"))]), "quantile-sketch"))
+    low = {s: f"floor({p!r}D * (n{i} - 1))" for s, (i, p) in enumerate(slots)}
+    missed = {s: f"(n{i} > 0 AND (lo{s} IS NULL OR {low[s]} < b{s} OR ({low[s]} > u{s} AND NOT isnan(x{s}))))"
+              for s, (i, _) in enumerate(slots)}
+    again = {s: f"({missed[s]} OR (lo{s} < hi{s} AND u{s} - b{s} > {KEEP}))" for s in missed}
+    while True:
+        state = marks.agg(*[F.expr(f"coalesce(max({again[s]}), false) AS s{s}") for s in again]).first()
+        todo = [s for s in again if state[f"s{s}"]]
+        if not todo:
+            break
+        # a bracket that misses its rank takes in all values, one that holds too many is cut down
+        opened = marks.selectExpr(*of_slot, *[e for s in again for e in (
+            f"IF({missed[s]}, CAST('-Infinity' AS DOUBLE), lo{s}) AS lo{s}", f"IF({missed[s]}, CAST('Infinity' AS DOUBLE), hi{s}) AS hi{s}",
+            f"IF({missed[s]}, 0, b{s}) AS b{s}", f"IF({missed[s]}, n{slots[s][0]}, u{s}) - IF({missed[s]}, 0, b{s}) AS size{s}",
+            f"{again[s]} AS again{s}")])
+        opened = stored(opened, "quantile-open")
+        grid = "array(" + ", ".join(f"{k / GRID!r}D" for k in range(GRID + 1)) + ")"
+        fine = stored(grouped(joined(values, opened), [
+            f"percentile_approx(IF({vs[slots[s][0]]} BETWEEN lo{s} AND hi{s}, {vs[slots[s][0]]}, NULL), {grid}, {ACCURACY}) AS f{s}"
+            for s in todo]), "quantile-grid")
+        at = {s: f"floor(({low[s]} - b{s}) / greatest(size{s}, 1) * {GRID})" for s in todo}
+        cut = {(s, side): f"IF(again{s}, get(f{s}, CAST({k} AS INT)), {side}{s})" for s in todo
+               for side, k in (("lo", f"greatest({at[s]} - 1, 0)"), ("hi", f"least({at[s]} + 3, {GRID})"))}
+        marks = counted(stored(joined(opened, fine).selectExpr(*of_slot, *[
+            f"{cut.get((s, side), side + str(s))} AS {side}{s}" for s in again for side in ("lo", "hi")]), "quantile-sketch"))
+
+    inside = {s: f"({vs[i]} >= lo{s} AND {vs[i]} <= hi{s} AND lo{s} < hi{s})" for s, (i, _) in enumerate(slots)}
+    cells = ", ".join(f"IF({c}, struct({s} AS slot, {vs[slots[s][0]]} AS v), NULL)" for s, c in inside.items())
+    held = joined(values, marks).where(" OR ".join(inside.values())).selectExpr(
+        *gs, f"inline(filter(array({cells}), c -> c IS NOT NULL))").groupBy(*gs, "slot", "v").agg(F.count(F.lit(1)).alias("n"))
+    over = f"(PARTITION BY {', '.join([*gs, 'slot'])} ORDER BY v)"  # at most KEEP values
+    held = held.selectExpr(*[f"{g} AS __h{g}" for g in gs], "slot AS __slot", "v", "n", f"sum(n) OVER {over} AS upto")
+    rows = ", ".join(f"struct({s} AS slot, {i} AS i, {p!r}D AS prob, n{i} AS total, lo{s} AS lo, hi{s} AS hi, b{s} AS b, u{s} AS u, x{s} AS x)"
+                     for s, (i, p) in enumerate(slots))
+    asked = marks.selectExpr(*gs, f"inline(array({rows}))")
+    ends = asked.join(held, F.expr(" AND ".join(["slot = __slot", *[f"{g} <=> __h{g}" for g in gs]])), "left")
+
+    def at_rank(r: str) -> str:
+        return (f"max(CASE WHEN {r} >= u THEN x WHEN lo = hi THEN lo WHEN {r} >= b + upto - n AND {r} < b + upto THEN v END)")
+
+    place_of = "(prob * (total - 1))"
+    got = ends.groupBy(*gs, "i", "prob", "total").agg(
+        F.expr(f"{at_rank(f'floor{place_of}')} AS low"), F.expr(f"{at_rank(f'ceil{place_of}')} AS high"))
+    names = "array(" + ", ".join("'" + c.replace("'", "\\'") + "'" for c in cols) + ")"
+    return got.selectExpr(*[f"{g} AS `{c}`" for g, c in zip(gs, group_cols)], f"{names}[i] AS col", "prob",
+                          f"IF(low = high, low, low + ({place_of} - floor{place_of}) * (high - low)) AS value")
+
+
+def _literal(value, kind) -> str:
+    """A value of a row in SQL."""
+    if value is None:
+        return f"CAST(NULL AS {kind.simpleString()})"
+    if kind.typeName() == "array":
+        return "array(" + ", ".join(_literal(v, kind.elementType) for v in value) + ")"
+    return f"CAST('{'NaN' if value != value else repr(value)}' AS {kind.simpleString()})"
+
+
+def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value: str, probs: Sequence[float],
+                      names: Sequence[str]) -> DataFrame:
+    """Exact quantiles of every group that has a value: (*group_cols, *names); see ``bracket_quantiles``."""
+    found = bracket_quantiles(df.where(F.col(value).isNotNull()), group_cols, [value], probs)
+    return found.groupBy(*group_cols).agg(
+        *[F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(name) for p, name in zip(probs, names)])
 
 
 def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> dict[float, float | None]:
