@@ -41,11 +41,20 @@ def regressors(seed: int = 42, trees: int = 100, boost_rounds: int = 100, label:
     }
 
 
+def fit_all(estimators: dict, train: DataFrame) -> dict:
+    """Fit independent estimators on the same rows at the same time: their jobs share the executors."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=len(estimators)) as pool:
+        fits = {name: pool.submit(est.fit, train) for name, est in estimators.items()}
+        return {name: f.result() for name, f in fits.items()}
+
+
 def regression_compare(train: DataFrame, test: DataFrame, label: str, models: dict) -> DataFrame:
     """Fit each model on ``train``; (model, n, mae, rmse, r2) on ``test``."""
     rows = []
-    for name, est in models.items():
-        pred = est.fit(train).transform(test)
+    for name, model in fit_all(models, train).items():
+        pred = model.transform(test)
         rows.append(me.regression_metrics(pred, label, "prediction").select(F.lit(name).alias("model"), "*"))
     return reduce(DataFrame.unionByName, rows)
 

@@ -35,11 +35,11 @@ REGRESSION_TREES, REGRESSION_ROUNDS = 100, 100
 CLASSIFIER_TREES, CLASSIFIER_ROUNDS = 300, 300
 RESTARTS = 10
 GRID_TREES, GRID_DEPTHS, GRID_MIN_LEAF = [50, 100, 200], [5, 10, 30], [1, 2]
-#: Passes over the data of the dense classifiers.
-DENSE_EPOCHS = 10
+#: Most L-BFGS iterations of the dense classifiers (they end earlier where the loss stands still).
+DENSE_ITERATIONS = 100
 DENSE_LAYERS = {"dense_small": [512, 256], "dense_deep": [1024, 512, 256, 128]}
-#: Rows of a training partition.
-TRAIN_ROWS = 50_000
+#: Rows of a training partition: at most, and at least where there are cores for more partitions.
+TRAIN_ROWS, LEAST_ROWS = 50_000, 1_500
 CHURN_FEATURES = ["c_acctbal", "n_orders", "total_spent", "avg_price", "c_nationkey", "segment"]
 CLUSTER_FEATURES = CHURN_FEATURES
 
@@ -62,9 +62,11 @@ def customer_table(t) -> DataFrame:
 
 
 def _training(df: DataFrame) -> DataFrame:
-    """The frame, written once, in as few partitions as its rows allow."""
+    """The frame, written once: a partition per core, but not below ``LEAST_ROWS`` rows nor beyond ``TRAIN_ROWS``."""
     kept = cut_lineage(df)
-    return kept.coalesce(max(1, -(-kept.count() // TRAIN_ROWS)))
+    n, cores = kept.count(), df.sparkSession.sparkContext.defaultParallelism
+    wanted = max(1, -(-n // TRAIN_ROWS), min(cores, n // LEAST_ROWS))
+    return kept.coalesce(wanted) if wanted <= kept.rdd.getNumPartitions() else cut_lineage(kept.repartition(wanted))
 
 
 def _churn(spark, sf_dir):
@@ -77,10 +79,9 @@ def _churn(spark, sf_dir):
     # weights of the training rows alone
     train = _training(fe.with_class_weight(data.where("split = 'train'"), "label", "weight"))
     test = data.where("split = 'test'")
-    fitted, scores = {}, []
-    for name, est in mo.classifiers(42, CLASSIFIER_TREES, CLASSIFIER_ROUNDS, "weight").items():
-        m = est.fit(train)
-        fitted[name] = m
+    fitted = mo.fit_all(mo.classifiers(42, CLASSIFIER_TREES, CLASSIFIER_ROUNDS, "weight"), train)
+    scores = []
+    for name, m in fitted.items():
         scores.append(mo.classification_scores(m.transform(test), "label").select(F.lit(name).alias("model"), "*"))
     long = cut_lineage(scores[0].unionByName(scores[1]))
     _memo[key] = (data, train, test, fitted, long)
@@ -238,9 +239,10 @@ def mlp_accuracy(spark, sf_dir):
     k = int(data.agg(F.max("label")).first()[0]) + 1
     width = data.first()["features"].size
     train, test = data.where("split = 'train'"), data.where("split = 'val'")
+    nets = {name: mo.mlp([width, *hidden, k], 42, DENSE_ITERATIONS) for name, hidden in DENSE_LAYERS.items()}
     rows = []
-    for name, hidden in DENSE_LAYERS.items():
-        pred = mo.mlp([width, *hidden, k], 42, DENSE_EPOCHS).fit(train).transform(test)
+    for name, net in mo.fit_all(nets, train).items():
+        pred = net.transform(test)
         acc = me.class_metrics(pred.withColumn("y", F.col("label").cast("int"))
                                .withColumn("p", F.col("prediction").cast("int")), "y", "p").select("accuracy")
         rows.append(acc.select(F.lit(name).alias("model"), "accuracy"))
