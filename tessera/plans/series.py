@@ -49,3 +49,18 @@ FROM f
 def ts_split(spark, sf_dir):
     feats = ts.ts_features(Tables(spark, sf_dir).orders, "o_orderdate", "o_totalprice")
     return ts.ordered_split(feats.select("date", "total"), "date", 0.8)
+
+
+_EVENT_WINDOW = "(PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@register("event_features", sql=f"""
+SELECT event_id, user_id, lag(value, 1) OVER {_EVENT_WINDOW} AS lag_1, lag(value, 2) OVER {_EVENT_WINDOW} AS lag_2,
+       lag(value, 3) OVER {_EVENT_WINDOW} AS lag_3,
+       CASE WHEN count(value) OVER w = 3 THEN round(avg(value) OVER w, 4) END AS rolling_3
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+""")
+def event_features(spark, sf_dir):
+    """Lags and rolling mean of every user's events; a user with very many events is cut into several tasks."""
+    events = Tables(spark, sf_dir).events.select("event_id", "user_id", "ts", "value")
+    return ts.long_lag_features(events, "user_id", ["ts", "event_id"], "value").drop("ts", "value")
