@@ -3,16 +3,20 @@
 The test items form an inverted index with BM25 impacts, in blocks of items of
 which each term keeps the largest impact. Every passage of every document is a
 query. Its upper bound over a block is the sum of the block maxima of its
-terms, over coarse blocks first; passages that reach the threshold in no block
+terms, for many passages in one step; passages that reach the threshold in no block
 are done, for the others block-max WAND finds every item above the threshold. A retrieved item counts as
 leaked if the passage holds at least ``min_overlap`` of its five-word shingles;
-the shares of its question and of its answer are returned beside that.
+the shares of its question and of its answer are returned beside that and decide nothing.
+
+Items are indexed by length class (a power of two words, ``LEAST_CLASS`` at least), and a class has passages of
+its own: four times its length, one beginning with every length. So a stretch of three lengths lies whole in a passage,
+and whether an item is found does not depend on which other items there are.
 
 An item's impacts are divided by its own score as a query and by the least share
 of that score that a passage holding ``min_overlap`` of its shingles can have, so
 that the threshold is 1 for every item and retrieval loses none that the overlap
 accepts. Passages are searched with the same words that the overlap looks at. Items are read in parts of bounded size
-(one index each, made in the tasks from the broadcast texts); documents are
+(an index for each class of each, made in the tasks from the broadcast texts); documents are
 scanned once for each part, without a shuffle.
 """
 
@@ -22,17 +26,24 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of item texts of one index part (a posting takes two of them at least, about 90 in memory), items of one block, blocks of one coarse block, words of a shingle.
+#: Bytes of item texts of one index part (a posting takes two of them at least, about 90 in memory), items of one block, words of a shingle, words of the shortest class.
 PART_BYTES = 4 << 20
 BLOCK_ITEMS = 4
-COARSE_BLOCKS = 8
 SHINGLE = 5
+LEAST_CLASS = 64
+#: A passage is so many lengths of its class.
+STEPS = 4
+#: Words of texts searched in one step (a longer text is a step of its own), and block maxima added up in one.
+SLICE_WORDS = 200_000
+SLICE_MAXIMA = 4_000_000
 K1, B = 1.2, 0.75
 _LETTERS = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()),
                            b" " * sum(not chr(c).isalnum() for c in range(128)))
@@ -95,11 +106,21 @@ class Maxima:
         low, high = self.start[term], self.start[term + 1]
         return dict(zip(self.block[low:high].tolist(), self.top[low:high].tolist()))
 
-    def bound(self, terms: np.ndarray) -> float:
-        """Largest sum of the terms' maxima over one block."""
-        n = self.start[terms + 1] - self.start[terms]
-        at = np.repeat(self.start[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.block[at], self.top[at], self.n_blocks).max()
+    def bounds(self, window: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """For each of ``n`` windows the largest sum over one block of its terms' maxima; pairs come sorted by window."""
+        sizes = self.start[term + 1] - self.start[term]
+        cost = np.cumsum(np.bincount(window, sizes + 1, n) + self.n_blocks)
+        out, low = np.zeros(n), 0
+        while low < n:
+            done = cost[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(cost, done + SLICE_MAXIMA)))
+            own = slice(*np.searchsorted(window, (low, high)))
+            k = sizes[own]
+            at = np.repeat(self.start[term[own]] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            place = (np.repeat(window[own], k) - low) * self.n_blocks + self.block[at]
+            out[low:high] = np.bincount(place, self.top[at], (high - low) * self.n_blocks).reshape(high - low, -1).max(axis=1)
+            low = high
+        return out
 
 
 class Index:
@@ -130,9 +151,8 @@ class Index:
             for t, x in raw.items():
                 self.postings[self.number[t]].append((i, x / own))
         self.fine = Maxima(self.postings, BLOCK_ITEMS, n)
-        self.coarse = Maxima(self.postings, BLOCK_ITEMS * COARSE_BLOCKS, n)
         self.term_max = [max(x for _, x in own) for own in self.postings]
-        self.longest = max((len(w) for _, w in self.items), default=0)
+        self.step = length_class(max((len(w) for _, w in self.items), default=0))
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: every (item, score) of at least ``threshold``; ``terms`` are distinct."""
@@ -178,41 +198,57 @@ class Index:
         return found
 
 
-def _passages(n: int, size: int) -> list[tuple[int, int]]:
-    """Windows of ``size`` words that overlap by half, the last one at the end of the text."""
-    step = size // 2
-    return [(a, min(n, a + size)) for a in range(0, max(1, n - step), step)]
-
-
-def leaks_of(words: list[bytes], index: Index, min_overlap: float) -> dict[int, tuple]:
-    """item -> (score, overlap, question's share, answer's share) of the leaked items, the best passage of each.
+def length_class(words: int) -> int:
+    return max(LEAST_CLASS, 1 << max(0, words - 1).bit_length())
+
+
+def _open_passages(texts: list[list[bytes]], index: Index, threshold: float) -> Iterator[tuple[int, int, list[int]]]:
+    """(text, first word, distinct terms) of the passages that may reach the threshold: ``STEPS`` steps every step."""
+    known, step = index.number, index.step
+    n = np.array([len(words) for words in texts])
+    ids = np.concatenate([np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words)) for words in texts])
+    passages = np.maximum(1, -(-n // step) - STEPS + 1)
+    first = np.cumsum(passages) - passages
+    text = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+    seen = ids >= 0
+    ids, text, at = ids[seen], text[seen], place[seen] // step
+    # a word lies in the passage that begins with its step and in those that began with the steps before
+    per_step = np.unique((text * (int(at.max(initial=0)) + 1) + at) * len(known) + ids)
+    rest, ids = np.divmod(per_step, len(known))
+    text, at = np.divmod(rest, int(at.max(initial=0)) + 1)
+    held = [(at >= back) & (at - back < passages[text]) for back in range(STEPS)]
+    pairs = np.unique(np.concatenate([(first[text] + at - back)[own] * len(known) + ids[own] for back, own in enumerate(held)]))
+    if not len(pairs):
+        return
+    window, term = np.divmod(pairs, len(known))
+    total = int(passages.sum())
+    for w in np.flatnonzero(index.fine.bounds(window, term, total) >= threshold - 1e-3).tolist():
+        k = int(np.searchsorted(first, w, "right")) - 1
+        yield k, (w - int(first[k])) * step, term[slice(*np.searchsorted(window, (w, w + 1)))].tolist()
+
+
+def leaks_in(texts: list[list[bytes]], index: Index, min_overlap: float) -> Iterator[tuple[int, int, tuple]]:
+    """(text, item, (score, overlap, question's share, answer's share)) of all leaks, the best passage of each.
 
     ``index`` is one for ``min_overlap``.
     """
     threshold = 1 - 1e-6
-    known = index.number
-    ids = np.fromiter((known.get(w, -1) for w in words), np.int32, len(words))
-    places = np.flatnonzero(ids >= 0)
-    if not len(places):
-        return {}
-    ids = ids[places]
-    size = max(128, 2 * index.longest)
-    spans = _passages(len(words), size)
-    spans = [(max(0, a - index.longest), b + index.longest) for a, b in spans]
-    low = np.searchsorted(places, [a for a, _ in spans])
-    high = np.searchsorted(places, [b for _, b in spans])
-    best: dict[int, tuple] = {}
-    for p in range(len(spans)):
-        distinct = np.unique(ids[low[p] : high[p]])
-        if not len(distinct) or any(x.bound(distinct) < threshold - 1e-3 for x in (index.coarse, index.fine)):
-            continue
-        for item, score in index.search(distinct.tolist(), threshold):
-            around = words[spans[p][0] : spans[p][1]]
+    best: dict[tuple[int, int], tuple] = {}
+    for k, start, terms in _open_passages(texts, index, threshold):
+        for item, score in index.search(terms, threshold):
+            around = texts[k][start : start + STEPS * index.step]
             share = share_held(index.items[item][1], around)
             if share >= min_overlap:
                 got = (score * index.least[item], share, *(share_held(part, around) for part in index.parts[item]))
-                best[item] = max(best.get(item, got), got, key=lambda x: (x[1], x[0]))
-    return best
+                best[k, item] = max(best.get((k, item), got), got, key=lambda x: (x[1], x[0]))
+    for (k, item), got in best.items():
+        yield k, item, got
+
+
+def leaks_of(words: list[bytes], index: Index, min_overlap: float) -> dict[int, tuple]:
+    """item -> (score, overlap, question's share, answer's share) of the items that one text leaks."""
+    return {item: got for _, item, got in leaks_in([words], index, min_overlap)} if words else {}
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -223,9 +259,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     item's five-word shingles in that passage, ``question_overlap`` and ``answer_overlap`` those of its two
     parts (null where the part has no word). Rows with null or empty text leak nothing; items with null
     or empty text are never leaked; repeated rows and items are answered each; null ids are carried;
-    other columns are not read; empty tables give no rows. Whole texts are searched, in passages of
-    twice the longest item (128 words at least) that overlap by half, each with the length of the longest
-    item before and behind it.
+    other columns are not read; empty tables give no rows. Whole texts are searched. Which items are found does not
+    depend on the others; ``score`` does, as its idf and mean length are those of the item's part and class.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -244,15 +279,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         sent = spark.sparkContext.broadcast(rows)
 
         def search(batches, sent=sent):
-            index = Index([(i, text) for i, _, text, _ in sent.value], min_overlap)
+            classes: dict[int, list] = {}
+            for i, _, text, _ in sent.value:
+                classes.setdefault(length_class(len(terms_of(text))), []).append((i, text))
+            indexes = [Index(own, min_overlap) for own in classes.values()]
             names = {i: (item, n) for i, item, _, n in sent.value}
             for batch in batches:
-                at, hits = [], []
+                at, hits, held, first = [], [], [], 0
+
+                def settle(first, held):
+                    for index in indexes:
+                        for k, item, got in leaks_in(held, index, min_overlap):
+                            name, n = names[index.items[item][0]]
+                            at.extend([first + k] * n)
+                            hits.extend([(name, *got)] * n)
+
+                size = 0
                 for i, text in enumerate(batch.column(1)):
-                    for item, got in leaks_of(terms_of(text.as_py()), index, min_overlap).items():
-                        name, n = names[index.items[item][0]]
-                        at += [i] * n
-                        hits += [(name, *got)] * n
+                    words = terms_of(text.as_py())
+                    if held and size + len(words) > SLICE_WORDS:
+                        settle(first, held)
+                        first, held, size = i, [], 0
+                    held.append(words)
+                    size += len(words)
+                if held:
+                    settle(first, held)
                 if at:
                     columns = list(zip(*hits))
                     yield pa.RecordBatch.from_arrays(

@@ -148,7 +148,7 @@ def test_index_holds_a_value_per_posting_at_most():
     items = [(i, " ".join(f"w{i}x{j}" for j in range(30)) + " common") for i in range(8_000)]
     index = decontam.Index(items, 0.8)
     n = sum(len(own) for own in index.postings)
-    arrays = [a for m in (index.fine, index.coarse) for a in vars(m).values() if isinstance(a, np.ndarray)]
+    arrays = [a for m in (index.fine,) for a in vars(m).values() if isinstance(a, np.ndarray)]
     assert sum(a.nbytes for a in arrays) < 40 * n  # terms x blocks would be about 2 GB
     words = decontam.terms_of(" ".join(["filler common"] * 9_000 + [items[77][1]]))
     assert decontam.leaks_of(words, index, 0.8).keys() == {77}
@@ -164,3 +164,33 @@ def test_one_repeated_text_is_dealt_over_the_parts(spark, monkeypatch):
     found = decontam.find_leaks(d, i)
     assert len(sizes) > 3 and max(sizes) < 40
     assert sorted(r["item_id"] for r in found.collect()) == list(range(60))
+
+
+def test_an_item_does_not_depend_on_the_others(spark):
+    """Halves that stand 900 words apart are no leak, alone or beside an item of 800 words; a gap of some words is one."""
+    item = " ".join(f"t{i}" for i in range(40))
+    w = item.split()
+    filler = [f"f{i % 300}" for i in range(900)]
+    docs = [(1, " ".join([*w[:20], *filler, *w[20:]])), (2, " ".join([*filler, *w[:20], *filler[:30], *w[20:], *filler])), (3, item)]
+    others = [(100 + k, " ".join(f"o{k}x{i}" for i in range(n))) for k, n in enumerate((800, 5, 130, 64, 65))]
+    for items in ([(7, item)], [(7, item), *others], [*others[:2], (7, item)]):
+        d, i = frames(spark, docs, items)
+        assert sorted(r["doc_id"] for r in decontam.find_leaks(d, i).collect() if r["item_id"] == 7) == [2, 3]
+
+
+def test_bounds_in_small_steps(monkeypatch):
+    vocab, items = items_of(5)
+    rng = random.Random(6)
+    texts = [[w.encode() for w in rng.choices(vocab, k=n)] + decontam.terms_of(items[n % 40][1]) for n in (0, 5, 700, 64, 2000)]
+    index = decontam.Index(items, 0.8)
+    whole = sorted(decontam.leaks_in(texts, index, 0.8))
+    assert {(k, n % 40) for k, n in enumerate((0, 5, 700, 64, 2000))} <= {(k, i) for k, i, _ in whole}
+    monkeypatch.setattr(decontam, "SLICE_MAXIMA", 10)
+    assert sorted(decontam.leaks_in(texts, index, 0.8)) == whole
+
+
+def test_a_very_long_document_and_a_very_long_item(spark):
+    item = " ".join(f"w{i}" for i in range(3000))
+    docs = [(1, " ".join(["filler words here"] * 200_000 + [item] + ["more"] * 50_000)), (2, "w1 w2 w3 w4 w5 w6")]
+    d, i = frames(spark, docs, [(1, item), (2, "w1 w2 w3 w4 w5 w6")])
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(d, i).collect()) == [(1, 1), (1, 2), (2, 2)]
