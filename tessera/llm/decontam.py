@@ -42,8 +42,8 @@ LEAST_CLASS = 64
 #: A passage is so many lengths of its class.
 STEPS = 4
 #: Words of texts searched in one step (a longer text is a step of its own), and block maxima added up in one.
-SLICE_WORDS = 200_000
-SLICE_MAXIMA = 4_000_000
+SLICE_WORDS = 100_000
+SLICE_MAXIMA = 400_000
 K1, B = 1.2, 0.75
 _LETTERS = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()),
                            b" " * sum(not chr(c).isalnum() for c in range(128)))
