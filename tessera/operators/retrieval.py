@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators.skewjoin import split_join
+from tessera.session import stored
 
 SCORE_DIGITS = 9
 
@@ -49,13 +51,14 @@ def tfidf_fit(docs: DataFrame, id_cols: Sequence[str], text_col: str = "text",
     """Fit smooth IDF on ``docs``; return (idf table, L2-normalised postings).
 
     idf = ln((1 + n) / (1 + df)) + 1 with n counting every document, empty
-    ones included (MLlib's IDF lacks the +1, hence this formula).
+    ones included (MLlib's IDF lacks the +1, hence this formula). Counts per document are written once;
+    frequent terms meet their IDF without a shuffle.
     """
     n = docs.count()
-    tf = term_rows(docs, id_cols, text_col, stop_words)
+    tf = stored(term_rows(docs, id_cols, text_col, stop_words), "term-counts")
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn(
         "idf", F.ln(F.lit(1.0 + n) / (F.col("df") + 1)) + 1)
-    postings = _l2(tf.join(idf.select("term", "idf"), "term"), id_cols, F.col("tf") * F.col("idf"))
+    postings = _l2(split_join(tf, idf.select("term", "idf"), "term"), id_cols, F.col("tf") * F.col("idf"))
     return idf, postings.select(*id_cols, "term", "tf", "weight")
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators.features import lookup
 from tessera.operators.ordering import global_index
+from tessera.operators.skewjoin import split_join
 
 
 def text_lines(df: DataFrame, id_cols: Sequence[str], text_col: str = "text") -> DataFrame:
@@ -68,8 +68,11 @@ def vocabulary(token_rows: DataFrame, order_cols: Sequence[str], token_col: str
 
 def id_sequences(token_rows: DataFrame, vocab: DataFrame, group_cols: Sequence[str],
                  pos_col: str = "pos", token_col: str = "token", id_col: str = "token_id") -> DataFrame:
-    """Re-assemble token ids per group in position order; unknown tokens are dropped."""
-    ids = lookup(token_rows, vocab.select(token_col, id_col), token_col, "inner")
+    """Re-assemble token ids per group in position order; unknown tokens are dropped.
+
+    Frequent tokens are joined where their rows are, the others by a shuffle (``split_join``).
+    """
+    ids = split_join(token_rows, vocab.select(token_col, id_col), token_col)
     seq = F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(id_col).alias("i"))))
     return ids.groupBy(*group_cols).agg(F.transform(seq, lambda s: s["i"]).alias("seq"))
 
