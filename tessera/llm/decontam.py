@@ -5,8 +5,9 @@ which each term keeps the largest impact. Every passage of every document is a
 query. Its upper bound over a block is the sum of the block maxima of its
 terms, for many passages in one step; passages that reach the threshold in no block
 are done, for the others block-max WAND finds every item above the threshold. A retrieved item counts as
-leaked if the passage holds at least ``min_overlap`` of its five-word shingles;
-the shares of its question and of its answer are returned beside that and decide nothing.
+leaked if the passage holds at least ``min_overlap`` of its five-word shingles and both its question and its
+answer are verified there: at least ``min_part`` of the different words of each. So a whole question with
+another answer, or without one, is no leak, however long the question; an item of one sentence has no answer to verify.
 
 Items are indexed by length class (a power of two words, ``LEAST_CLASS`` at least), and a class has passages of
 its own: four times its length, one beginning with every length. So a stretch of three lengths lies whole in a passage,
@@ -45,6 +46,8 @@ STEPS = 4
 SLICE_WORDS = 100_000
 SLICE_MAXIMA = 400_000
 K1, B = 1.2, 0.75
+#: Least share of the different words of an item's question, and of its answer, that a passage must hold.
+MIN_PART = 0.5
 _LETTERS = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()),
                            b" " * sum(not chr(c).isalnum() for c in range(128)))
 
@@ -73,6 +76,12 @@ def share_held(part: list[bytes], passage: list[bytes]) -> float | None:
     return len(own & shingles(passage, min(SHINGLE, len(part)))) / len(own)
 
 
+def words_held(part: list[bytes], passage: set[bytes]) -> float:
+    """Share of the part's different words that the passage holds; 1 for a part without words."""
+    own = set(part)
+    return len(own & passage) / len(own) if own else 1.0
+
+
 def least_share(words: list[bytes], weight: dict[bytes, float], min_overlap: float) -> float:
     """Lower bound of the weight of the item's terms in a text that holds ``min_overlap`` of its shingles.
 
@@ -228,7 +237,7 @@ def _open_passages(texts: list[list[bytes]], index: Index, threshold: float) ->
         yield k, (w - int(first[k])) * step, term[slice(*np.searchsorted(window, (w, w + 1)))].tolist()
 
 
-def leaks_in(texts: list[list[bytes]], index: Index, min_overlap: float) -> Iterator[tuple[int, int, tuple]]:
+def leaks_in(texts: list[list[bytes]], index: Index, min_overlap: float, min_part: float = MIN_PART) -> Iterator[tuple[int, int, tuple]]:
     """(text, item, (score, overlap, question's share, answer's share)) of all leaks, the best passage of each.
 
     ``index`` is one for ``min_overlap``.
@@ -239,25 +248,27 @@ def leaks_in(texts: list[list[bytes]], index: Index, min_overlap: float) -> Iter
         for item, score in index.search(terms, threshold):
             around = texts[k][start : start + STEPS * index.step]
             share = share_held(index.items[item][1], around)
-            if share >= min_overlap:
+            if share >= min_overlap and all(words_held(part, set(around)) >= min_part for part in index.parts[item]):
                 got = (score * index.least[item], share, *(share_held(part, around) for part in index.parts[item]))
                 best[k, item] = max(best.get((k, item), got), got, key=lambda x: (x[1], x[0]))
     for (k, item), got in best.items():
         yield k, item, got
 
 
-def leaks_of(words: list[bytes], index: Index, min_overlap: float) -> dict[int, tuple]:
+def leaks_of(words: list[bytes], index: Index, min_overlap: float, min_part: float = MIN_PART) -> dict[int, tuple]:
     """item -> (score, overlap, question's share, answer's share) of the items that one text leaks."""
-    return {item: got for _, item, got in leaks_in([words], index, min_overlap)} if words else {}
+    return {item: got for _, item, got in leaks_in([words], index, min_overlap, min_part)} if words else {}
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               item_col: str = "item_id", item_text_col: str = "text", min_overlap: float = 0.8) -> DataFrame:
+               item_col: str = "item_id", item_text_col: str = "text", min_overlap: float = 0.8,
+               min_part: float = MIN_PART) -> DataFrame:
     """(id, item, score, overlap, question_overlap, answer_overlap): the items that each row leaks.
 
     ``score`` is BM25 of the best passage as a part of the item's own score; ``overlap`` the share of the
     item's five-word shingles in that passage, ``question_overlap`` and ``answer_overlap`` those of its two
-    parts (null where the part has no word). Rows with null or empty text leak nothing; items with null
+    parts (null where the part has no word). The passage must also hold ``min_part`` of the different words of the
+    question and of the answer (0 switches that off). Rows with null or empty text leak nothing; items with null
     or empty text are never leaked; repeated rows and items are answered each; null ids are carried;
     other columns are not read; empty tables give no rows. Whole texts are searched. Which items are found does not
     depend on the others; ``score`` does, as its idf and mean length are those of the item's part and class.
@@ -289,7 +300,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
                 def settle(first, held):
                     for index in indexes:
-                        for k, item, got in leaks_in(held, index, min_overlap):
+                        for k, item, got in leaks_in(held, index, min_overlap, min_part):
                             name, n = names[index.items[item][0]]
                             at.extend([first + k] * n)
                             hits.extend([(name, *got)] * n)

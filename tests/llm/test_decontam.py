@@ -194,3 +194,23 @@ def test_a_very_long_document_and_a_very_long_item(spark):
     docs = [(1, " ".join(["filler words here"] * 200_000 + [item] + ["more"] * 50_000)), (2, "w1 w2 w3 w4 w5 w6")]
     d, i = frames(spark, docs, [(1, item), (2, "w1 w2 w3 w4 w5 w6")])
     assert sorted((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(d, i).collect()) == [(1, 1), (1, 2), (2, 2)]
+
+
+def test_question_and_answer_are_verified(spark):
+    question = " ".join(f"word{i}" for i in range(40)) + "?"
+    items = [(1, question + " the right answer"), (2, "only " + question)]
+    texts = {
+        1: f"before {question} the right answer after",
+        2: f"before {question} some wrong reply after",
+        3: f"before {question}",
+        4: f"before {question} the right reply after",
+        5: f"the right answer {question}",
+        6: " ".join(f"word{i}" for i in range(20)) + " the right answer",
+    }
+    d, i = frames(spark, list(texts.items()), items)
+    found = lambda **given: {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(d, i, **given).collect()}
+    # item 2 is one sentence: its overlap decides alone; 4 holds two of three answer words
+    every = {(doc, 2) for doc in (1, 2, 3, 4, 5)}
+    assert found() == every | {(1, 1), (4, 1), (5, 1)}
+    assert found(min_part=0.9) == every | {(1, 1), (5, 1)}
+    assert found(min_part=0.0) == every | {(doc, 1) for doc in (1, 2, 3, 4, 5)}
