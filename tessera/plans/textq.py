@@ -132,10 +132,10 @@ q AS (SELECT conv_id, turn, line_no, prefix_len,
 SELECT conv_id, turn, line_no, prefix_len, padded[1 : len(padded) - 1] AS x, padded[len(padded)] AS y FROM q
 """)
 def padded_sequences(spark, sf_dir):
-    lines = _conv_line_tokens(Tables(spark, sf_dir))
+    lines = stored(_conv_line_tokens(Tables(spark, sf_dir)), "line-tokens")
     tok_rows = lines.select("conv_id", "turn", "line_no", F.posexplode("toks").alias("pos", "token"))
     vocab = te.vocabulary(tok_rows, ["conv_id", "turn", "line_no", "pos"])
-    seqs = te.id_sequences(tok_rows, vocab, ["conv_id", "turn", "line_no"])
+    seqs = stored(te.id_sequences(tok_rows, vocab, ["conv_id", "turn", "line_no"]), "id-sequences")  # read twice
     pre = te.prefixes(seqs, "seq")
     max_len = pre.agg(F.max("prefix_len")).first()[0] or 1
     return te.pad_and_cut(pre, max_len, "prefix").select("conv_id", "turn", "line_no", "prefix_len", "x", "y")
@@ -320,7 +320,7 @@ def _next_model(t):
     """The next-word count table, built once per session (read by generation too)."""
     key = ("next_word", t.sf_dir, t.spark.sparkContext.applicationId)
     if key not in _INDEX:
-        _INDEX[key] = cut_lineage(ng.next_word_table(_lines(t), "toks", 3))
+        _INDEX[key] = stored(ng.next_word_table(_lines(t), "toks", 3), "next-words")
     return _INDEX[key]
 
 
