@@ -159,9 +159,10 @@ def bracket_quantiles(df: DataFrame, group_cols: Sequence[str], cols: Sequence[s
     """Exact linear-interpolation quantiles of ``cols`` in every group: (*group_cols, col, prob, value), nulls left out.
 
     1. A mergeable sketch per group and column (KLL, one scan) gives two values that very likely enclose each wanted rank.
-    2. A second scan counts the values below and up to these brackets. A bracket of one value is settled; one that misses
-       its rank or holds very many values is drawn again from a sketch of its own rows.
-    3. The values strictly inside the other brackets, counted by value, are the only ones that are shuffled.
+    2. A second scan counts the values below, strictly inside and up to these brackets. A bracket of one value is settled;
+       one that misses its rank or has very many values strictly inside is drawn again from a sketch of its own rows.
+       What repeats at the ends of a bracket does not count, so a round leaves few of these values, however often they repeat.
+    3. The values of the other brackets, counted by value, are the only ones that are shuffled.
 
     Groups are joined to the rows by a broadcast measured to be small, else as Spark chooses. No group is gathered.
     """
@@ -186,10 +187,10 @@ def bracket_quantiles(df: DataFrame, group_cols: Sequence[str], cols: Sequence[s
         return rows.join(named, F.expr(" AND ".join(f"{g} <=> __m{g}" for g in gs))).drop(*[f"__m{g}" for g in gs])
 
     def counted(marks: DataFrame) -> DataFrame:
-        """The marks with, per slot, values below (b) and up to (u) the bracket, and the next value beyond it (x)."""
+        """The marks with, per slot, values below (b) and up to (u) the bracket, strictly inside (w), and the next value beyond it (x)."""
         aggs = [a for s, (i, _) in enumerate(slots) for a in (
             f"count(IF({vs[i]} < lo{s}, 1, NULL)) AS b{s}", f"count(IF({vs[i]} <= hi{s}, 1, NULL)) AS u{s}",
-            f"min(IF({vs[i]} > hi{s}, {vs[i]}, NULL)) AS x{s}")]
+            f"count(IF({vs[i]} > lo{s} AND {vs[i]} < hi{s}, 1, NULL)) AS w{s}", f"min(IF({vs[i]} > hi{s}, {vs[i]}, NULL)) AS x{s}")]
         met = joined(values, marks)
         for start in range(0, len(aggs), 36):  # an aggregate of more fields would not be compiled
             marks = joined(marks, grouped(met, aggs[start : start + 36]))
@@ -197,17 +198,18 @@ def bracket_quantiles(df: DataFrame, group_cols: Sequence[str], cols: Sequence[s
 
     wanted = ", ".join(f"{min(1.0, max(0.0, p + d))!r}D" for p in probs for d in (-MARGIN, MARGIN))
     sketches = grouped(values, [a for i, v in enumerate(vs) for a in (
-        f"count({v}) AS n{i}", f"kll_sketch_agg_double({v}, {SKETCH}) AS k{i}")])
-    drawn = sketches.selectExpr(*gs, *[f"n{i}" for i in range(len(vs))], *[
+        f"count({v}) AS n{i}", f"count(IF(isnan({v}), NULL, {v})) AS m{i}", f"kll_sketch_agg_double({v}, {SKETCH}) AS k{i}")])
+    of_slot = [*gs, *[f"{c}{i}" for c in "nm" for i in range(len(vs))]]
+    drawn = sketches.selectExpr(*of_slot, *[
         f"IF(kll_sketch_get_n_double(k{i}) > 0, kll_sketch_get_quantile_double(k{i}, array({wanted})), NULL) AS q{i}" for i in range(len(vs))])
-    of_slot = [*gs, *[f"n{i}" for i in range(len(vs))]]
     place = {s: (i, 2 * (s % len(probs))) for s, (i, _) in enumerate(slots)}
     marks = counted(stored(drawn.selectExpr(*of_slot, *[f"q{i}[{at + d}] AS {side}{s}" for s, (i, at) in place.items()
                                                         for d, side in enumerate(("lo", "hi"))]), "quantile-sketch"))
     low = {s: f"floor({p!r}D * (n{i} - 1))" for s, (i, p) in enumerate(slots)}
-    missed = {s: f"(n{i} > 0 AND (lo{s} IS NULL OR {low[s]} < b{s} OR ({low[s]} > u{s} AND NOT isnan(x{s}))))"
-              for s, (i, _) in enumerate(slots)}
-    again = {s: f"({missed[s]} OR (lo{s} < hi{s} AND u{s} - b{s} > {KEEP}))" for s in missed}
+    # the value beyond a bracket is that of rank u alone: a rank of u and a half lies between two values that are not held
+    missed = {s: f"(n{i} > 0 AND (lo{s} IS NULL OR {low[s]} < b{s} OR (ceil({p!r}D * (n{i} - 1)) > u{s} AND NOT isnan(x{s}))))"
+              for s, (i, p) in enumerate(slots)}
+    again = {s: f"({missed[s]} OR (lo{s} < hi{s} AND w{s} > {KEEP}))" for s in missed}
     while True:
         state = marks.agg(*[F.expr(f"coalesce(max({again[s]}), false) AS s{s}") for s in again]).first()
         todo = [s for s in again if state[f"s{s}"]]
@@ -216,7 +218,7 @@ def bracket_quantiles(df: DataFrame, group_cols: Sequence[str], cols: Sequence[s
         # a bracket that misses its rank takes in all values, one that holds too many is cut down
         opened = marks.selectExpr(*of_slot, *[e for s in again for e in (
             f"IF({missed[s]}, CAST('-Infinity' AS DOUBLE), lo{s}) AS lo{s}", f"IF({missed[s]}, CAST('Infinity' AS DOUBLE), hi{s}) AS hi{s}",
-            f"IF({missed[s]}, 0, b{s}) AS b{s}", f"IF({missed[s]}, n{slots[s][0]}, u{s}) - IF({missed[s]}, 0, b{s}) AS size{s}",
+            f"IF({missed[s]}, 0, b{s}) AS b{s}", f"IF({missed[s]}, m{slots[s][0]}, u{s}) - IF({missed[s]}, 0, b{s}) AS size{s}",
             f"{again[s]} AS again{s}")])
         opened = stored(opened, "quantile-open")
         grid = "array(" + ", ".join(f"{k / GRID!r}D" for k in range(GRID + 1)) + ")"

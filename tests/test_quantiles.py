@@ -63,3 +63,51 @@ def test_few_values_are_shuffled(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     bounds = [float(x) for x in __import__("re").findall(r">= (\d+\.\d+)\)", plan)]
     assert len(bounds) >= 3 and all(min(abs(b - p * 199_999 / 3) for p in (0.25, 0.5, 0.75)) < 0.0033 * 200_000 / 3 / 2 for b in bounds)
+
+
+def test_rank_between_two_values_beyond_a_bracket(spark, monkeypatch):
+    """Sketches of 8 often end a bracket just below a rank: both neighbours of the rank are needed."""
+    monkeypatch.setattr(pf, "SKETCH", 8)
+    monkeypatch.setattr(pf, "MARGIN", 0.0)
+    probs = [(k + 0.5) / 39 for k in range(2, 39, 7)]
+    df = spark.createDataFrame([(float(k * k),) for k in range(40)], "x double").repartition(4)
+    for _ in range(2):  # sketches are drawn at random
+        got = {r.prob: r.value for r in pf.bracket_quantiles(df, [], ["x"], probs).collect()}
+        assert [got[p] for p in probs] == pytest.approx([float(np.quantile([k * k for k in range(40)], p)) for p in probs])
+
+
+def test_values_that_repeat_beyond_a_bracket_end(spark, monkeypatch):
+    """Two values of 300 rows each can be no bracket of 20 rows; redrawing it must come to an end."""
+    monkeypatch.setattr(pf, "KEEP", 20)
+    from tessera import session
+
+    kept, rounds = session.stored, []
+
+    def counted(df, label):
+        rounds.append(label)
+        assert rounds.count("quantile-open") < 6, "brackets are drawn again without an end"
+        return kept(df, label)
+
+    monkeypatch.setattr(session, "stored", counted)
+    values = [float(k // 300) for k in range(1200)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    probs = (0.25, 0.5, 0.75)
+    got = {r.prob: r.value for r in pf.bracket_quantiles(df, [], ["x"], probs).collect()}
+    assert [got[p] for p in probs] == pytest.approx([float(np.quantile(values, p)) for p in probs])
+
+
+def test_many_nans(spark, monkeypatch):
+    """Sketches leave NaN out, ranks do not."""
+    from tessera import session
+
+    kept, rounds = session.stored, []
+
+    def counted(df, label):
+        rounds.append(label)
+        assert rounds.count("quantile-open") < 6, "brackets are drawn again without an end"
+        return kept(df, label)
+
+    monkeypatch.setattr(session, "stored", counted)
+    df = spark.createDataFrame([(float(k),) for k in range(901)] + [(float("nan"),)] * 100, "x double")
+    got = {r.prob: r.value for r in pf.bracket_quantiles(df, [], ["x"], (0.25, 0.5, 1.0)).collect()}
+    assert (got[0.25], got[0.5]) == (250.0, 500.0) and got[1.0] != got[1.0]
