@@ -61,3 +61,16 @@ def test_dense_topk(spark, block):
     assert dict(got.dtypes)["qid"] == "int"
     assert rv.dense_topk(vectors, queries.limit(0), "vid", "v", "qid", "w").count() == 0
     assert rv.dense_topk(vectors.where(F.lit(False)), queries, "vid", "v", "qid", "w").count() == 0
+
+
+def test_index_of_one_file_is_built_by_many_tasks(spark, tmp_path):
+    """All texts in one row group: chunks are still written by several tasks of about the same size."""
+    from tessera.plans import textq
+    from tessera.sources.tables import Tables
+
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(40))) for i in range(400)] + [(None, "one two"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    ch, idf, index = textq._fit(Tables(spark, str(tmp_path)))
+    sizes = ch.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert max(sizes) < 200 and sum(sizes) == 402
+    index.drop(spark)
