@@ -71,6 +71,26 @@ def test_model_queries_invariants(spark):
     assert sum(doc["kmeans_cluster_profile"]["n"].values()) == len(rows)
 
 
+def test_grid_search_keeps_node_numbers_with_the_rows(spark):
+    """Deep forests are not sent to the tasks of every level; the scores are those of a search that sends them."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from tessera.operators import models as mo
+
+    rows = [(float(i % 7), float(i * i % 11), float(i % 7 + i % 3), i % 3) for i in range(90)]
+    data = mo.assemble(spark.createDataFrame(rows, "a double, b double, label double, fold int").coalesce(1), ["a", "b"])
+    model, grid = mo.grid_search(data, "label", "fold", [3], [2, 8], [1], parallelism=2)
+    assert model.bestModel.getCacheNodeIds()
+    plain = RandomForestRegressor(seed=42, featureSubsetStrategy="all", numTrees=3, minInstancesPerNode=1)
+    ev = RegressionEvaluator(metricName="r2")
+    for params, score in zip(grid, model.avgMetrics):
+        depth = next(v for k, v in params.items() if k.name == "maxDepth")
+        each = [ev.evaluate(plain.copy({plain.maxDepth: depth}).fit(data.where(F.col("fold") != f)).transform(
+            data.where(F.col("fold") == f))) for f in range(3)]
+        assert math.isclose(score, sum(each) / 3, rel_tol=1e-12)
+
+
 def test_value_range_of_nothing(spark):
     empty = spark.createDataFrame([(1, None)], "id long, a array<double>")
     lo, hi = ar.value_range(empty, "a")
