@@ -91,6 +91,29 @@ def test_grid_search_keeps_node_numbers_with_the_rows(spark):
         assert math.isclose(score, sum(each) / 3, rel_tol=1e-12)
 
 
+def test_training_rows_lie_in_a_partition_per_core(spark):
+    """Many rows do not make more partitions than cores: each sends the statistics of all nodes."""
+    from tessera.plans import modelsq as mq
+
+    cores = spark.sparkContext.defaultParallelism
+    laid_out = mq._training(spark.range(cores * 100_000).repartition(4 * cores))
+    assert laid_out.rdd.getNumPartitions() == cores and laid_out.count() == cores * 100_000
+
+
+def test_forest_classifier_keeps_node_numbers_within_a_bound(spark, monkeypatch):
+    from tessera.operators import models as mo
+
+    rows = [(float(i % 7), float(i * i % 11), float(i % 7 > 3)) for i in range(60)]
+    data = mo.assemble(spark.createDataFrame(rows, "a double, b double, label double").coalesce(2), ["a", "b"])
+    trees = {}
+    for most in (1_000, 10):
+        monkeypatch.setattr(mo, "KEPT_NODES", most)
+        forest = mo.classifiers(42, 3, 2)["random_forest"]
+        trees[most] = mo.fit_all({"random_forest": forest}, data)["random_forest"].toDebugString.split("\n", 1)[1]
+        assert forest.getCacheNodeIds() == (most == 1_000)
+    assert trees[1_000] == trees[10]
+
+
 def test_value_range_of_nothing(spark):
     empty = spark.createDataFrame([(1, None)], "id long, a array<double>")
     lo, hi = ar.value_range(empty, "a")
