@@ -114,6 +114,31 @@ def test_forest_classifier_keeps_node_numbers_within_a_bound(spark, monkeypatch)
     assert trees[1_000] == trees[10]
 
 
+def test_estimators_of_many_rows_are_fitted_one_after_another(spark, monkeypatch):
+    import threading
+    import time
+
+    from tessera.operators import models as mo
+
+    class Slow:
+        running, most, lock = 0, 0, threading.Lock()
+
+        def fit(self, train):
+            with Slow.lock:
+                Slow.running += 1
+                Slow.most = max(Slow.most, Slow.running)
+            time.sleep(0.5)
+            with Slow.lock:
+                Slow.running -= 1
+            return train.count()
+
+    for bound, most in ((100, 2), (99, 1)):
+        monkeypatch.setattr(mo, "TOGETHER_ROWS", bound)
+        Slow.most = 0
+        assert mo.fit_all({"a": Slow(), "b": Slow()}, spark.range(100)) == {"a": 100, "b": 100}
+        assert Slow.most == most
+
+
 def test_value_range_of_nothing(spark):
     empty = spark.createDataFrame([(1, None)], "id long, a array<double>")
     lo, hi = ar.value_range(empty, "a")
