@@ -78,3 +78,29 @@ def test_saved_with_its_feature_step_and_loaded_again(spark, tmp_path):
     loaded = mo.save_and_reload(pipe, f"file://{tmp_path}/model")
     got = [m.transform(df.drop("features")).select("id", "prediction", "probability").orderBy("id").collect() for m in (pipe, loaded)]
     assert got[0] == got[1]
+
+
+def test_a_grid_search_holds_a_bounded_number_of_nodes(spark, monkeypatch):
+    """Large forests are fitted in parts; the score is that of the mean of the parts' predictions."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = [(float(i % 7), float(i * i % 11), float(i % 7 + i % 3), i % 3, i) for i in range(90)]
+    data = mo.assemble(spark.createDataFrame(rows, "a double, b double, label double, fold int, id int").coalesce(1), ["a", "b"])
+    fitted, fit = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, df, *a: fitted.append(self.getNumTrees()) or fit(self, df, *a))
+    monkeypatch.setattr(mo, "NODES_AT_ONCE", 64)  # two trees of depth 2 a fit (four fits at once)
+    monkeypatch.setattr(mo, "PART_ROWS", 1_000)
+    model, grid = mo.grid_search(data, "label", "fold", [3], [2], [1, 2], parallelism=8)
+    assert fitted == [2, 1] * 6 or sorted(fitted) == [1] * 6 + [2] * 6
+    plain = RandomForestRegressor(maxDepth=2, featureSubsetStrategy="all")
+    ev, scores = RegressionEvaluator(metricName="r2"), []
+    for f in range(3):
+        held = data.where(F.col("fold") == f)
+        for n, seed in ((2, 42), (1, 43)):
+            m = plain.copy({plain.numTrees: n, plain.seed: seed}).fit(data.where(F.col("fold") != f))
+            held = m.transform(held).withColumnRenamed("prediction", f"p{n}")
+        scores.append(ev.evaluate(held.withColumn("prediction", (2 * F.col("p2") + F.col("p1")) / 3)))
+    assert math.isclose(model.avgMetrics[0], sum(scores) / 3, rel_tol=1e-12)
+    assert len(model.avgMetrics) == len(grid) == 2
+    assert model.transform(data).where(F.col("prediction").isNull()).count() == 0
