@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -14,6 +15,11 @@ from tessera.operators import boosting as bo
 from tessera.operators import models as mo
 
 
+@pytest.fixture(autouse=True)
+def own_learner(monkeypatch):
+    monkeypatch.setattr(bo, "FEW_ROWS", 0)
+
+
 def _rows(spark, n=900):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(n, 3))
@@ -65,10 +71,12 @@ def test_blocks_lie_in_a_partition_per_core_and_bounds_come_from_a_bounded_sampl
     assert model.featureImportances[0] > 0.9
 
 
-def test_constant_labels_and_few_rows(spark):
+def test_constant_labels_and_few_rows(spark, monkeypatch):
     df = mo.assemble(spark.createDataFrame([(1.0, 2.0)] * 3, "a double, label double"), ["a"])
-    model = mo.regressors(42, 2, 3)["gradient_boosting"].fit(df)
-    assert {r["prediction"] for r in model.transform(df).collect()} == {2.0}
+    learner = mo.regressors(42, 2, 3)["gradient_boosting"]
+    assert {r["prediction"] for r in learner.fit(df).transform(df).collect()} == {2.0}
+    monkeypatch.setattr(bo, "FEW_ROWS", 3)
+    assert type(learner.fit(df)).__name__ == "GBTRegressionModel"
 
 
 def test_saved_with_its_feature_step_and_loaded_again(spark, tmp_path):
